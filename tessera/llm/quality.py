@@ -17,7 +17,8 @@ WINDOW = 8
 
 
 def _text() -> Column:
-    return F.coalesce(F.col("text"), F.lit(""))
+    """The text that the features read: null once a rule has rejected the row, so that every later feature is null at no cost."""
+    return F.col("_t")
 
 
 def words() -> Column:
@@ -28,39 +29,35 @@ def _left_of(dropped: str) -> Column:
     return F.length(F.regexp_replace(_text(), dropped + "+", "")).cast("long")
 
 
-def _when(alive: Column | None, value: Column) -> Column:
-    return value if alive is None else F.when(alive, value)
-
-
-def with_words(df: DataFrame, alive: Column | None = None) -> DataFrame:
+def with_words(df: DataFrame) -> DataFrame:
     return df if "_n_words" in df.columns else df.withColumn("_n_words", F.size("_hashes" if "_hashes" in df.columns else words()).cast("long"))
 
 
-def with_word_chars(df: DataFrame, alive: Column | None = None) -> DataFrame:
-    return df if "_word_chars" in df.columns else df.withColumn("_word_chars", _when(alive, _left_of(SPACE)))
+def with_word_chars(df: DataFrame) -> DataFrame:
+    return df if "_word_chars" in df.columns else df.withColumn("_word_chars", (_left_of(SPACE)))
 
 
-def with_symbols(df: DataFrame, alive: Column | None = None) -> DataFrame:
-    return df if "_n_symbols" in df.columns else df.withColumn("_n_symbols", _when(alive, _left_of("[^#*$%&|<>]")))
+def with_symbols(df: DataFrame) -> DataFrame:
+    return df if "_n_symbols" in df.columns else df.withColumn("_n_symbols", (_left_of("[^#*$%&|<>]")))
 
 
-def with_lines(df: DataFrame, alive: Column | None = None) -> DataFrame:
+def with_lines(df: DataFrame) -> DataFrame:
     """_n_lines: lines with a word; _n_dup_lines: those equal to an earlier line."""
     if "_n_dup_lines" in df.columns:
         return df
     lines = F.filter(F.split(_text(), "\n", -1), lambda x: x.rlike(WORD))
-    df = df.withColumn("_lines", _when(alive, lines))
+    df = df.withColumn("_lines", (lines))
     df = df.withColumn("_n_lines", F.size("_lines").cast("long")).withColumn("_n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
     return df.drop("_lines")
 
 
-def with_capitals(df: DataFrame, alive: Column | None = None) -> DataFrame:
+def with_capitals(df: DataFrame) -> DataFrame:
     if "_n_upper" in df.columns:
         return df
-    return df.withColumn("_n_upper", _when(alive, _left_of(r"\P{Lu}"))).withColumn("_n_lower", _when(alive, _left_of(r"\P{Ll}")))
+    return df.withColumn("_n_upper", (_left_of(r"\P{Lu}"))).withColumn("_n_lower", (_left_of(r"\P{Ll}")))
 
 
-def with_repeats(df: DataFrame, alive: Column | None = None) -> DataFrame:
+def with_repeats(df: DataFrame) -> DataFrame:
     """_n_repeat_words: words inside windows of 8 words that the text holds twice or more.
 
     A window is the hash of its words' hashes. Only texts in which a window recurs sort their windows by hash to find
@@ -68,7 +65,7 @@ def with_repeats(df: DataFrame, alive: Column | None = None) -> DataFrame:
     """
     if "_n_repeat_words" in df.columns:
         return df
-    df = df if "_hashes" in df.columns else df.withColumn("_hashes", _when(alive, F.transform(words(), lambda w: F.xxhash64(w))))
+    df = df if "_hashes" in df.columns else df.withColumn("_hashes", (F.transform(words(), lambda w: F.xxhash64(w))))
     h = F.col("_hashes")
     starts = F.sequence(F.lit(0), F.size(h) - WINDOW)
     df = df.withColumn("_windows", F.when(F.size(h) >= WINDOW, F.transform(starts, lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(WINDOW)]))))
@@ -80,8 +77,7 @@ def with_repeats(df: DataFrame, alive: Column | None = None) -> DataFrame:
     df = df.withColumn("_at", F.when(F.col("_again"), F.sort_array(F.transform(F.filter(s, lambda x, j: F.when(j > 0, same(x, j - 1)).otherwise(False) | same(x, j + 1)), lambda x: x["i"]))))
     at = F.col("_at")
     gaps = F.zip_with(at, F.slice(at, 2, F.greatest(F.size(at), F.lit(1))), lambda a, b: F.coalesce(F.least(b - a, F.lit(WINDOW)), F.lit(WINDOW)))
-    repeats = F.when(F.col("_again"), F.aggregate(gaps, F.lit(0), lambda a, x: a + x)).otherwise(0).cast("long")
-    df = df.withColumn("_n_repeat_words", repeats if alive is None else F.when(alive, repeats))
+    df = df.withColumn("_n_repeat_words", F.when(F.col("_again"), F.aggregate(gaps, F.lit(0), lambda a, x: a + x)).otherwise(0).cast("long"))
     return df.drop("_hashes", "_windows", "_again", "_sorted", "_at")
 
 
@@ -108,7 +104,7 @@ def rules() -> list[Rule]:
 
 def ordered(df: DataFrame, found: Sequence[Rule], sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
     """The rules by falling rejections per second, both measured on a bounded sample."""
-    sample = df.select("text").limit(sample_rows).cache()
+    sample = df.select(F.coalesce("text", F.lit("")).alias("_t")).limit(sample_rows).cache()
     try:
         n = sample.count()
         if not n:
@@ -127,15 +123,14 @@ def cascade(df: DataFrame, found: Sequence[Rule] | None = None, sample_rows: int
     """`df` with _kept: no rule rejects. A rule is evaluated only for rows that every rule before it left alive."""
     found = rules() if found is None else found
     keep = list(df.columns)
-    df = with_words(df).withColumn("_kept", F.lit(True))
-    for k, rule in enumerate(ordered(df, found, sample_rows)):
-        alive = F.col("_kept") if k else None
+    order = ordered(df, found, sample_rows)
+    df = with_words(df.withColumn("_t", F.coalesce("text", F.lit(""))))
+    for rule in order:
         before = set(df.columns)
-        df = rule.needs(df, alive)
-        df = df.withColumn("_kept", F.col("_kept") & ~F.coalesce(rule.rejects, F.lit(False)))
-        df = df.drop(*(set(df.columns) - before - {"_n_words"}))
-    # rand() keeps the filter above the cascade: pushed below, it would repeat every feature inside one expression.
-    return df.select(*keep, (F.col("_kept") & (F.rand(0) >= 0)).alias("_kept"))
+        df = rule.needs(df)
+        df = df.withColumn("_t", F.when(~F.coalesce(rule.rejects, F.lit(False)), _text())).drop(*(set(df.columns) - before))
+    # The row id keeps a filter above the cascade: pushed below, it would repeat every feature inside one expression.
+    return df.select(*keep, (_text().isNotNull() & (F.monotonically_increasing_id() >= 0)).alias("_kept"))
 
 
 def measures(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -143,19 +138,19 @@ def measures(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
 
     A null or empty text has no words and is rejected. Repeated rows each get their own row, and extra columns are not read.
     """
-    df = docs.select("doc_id", "text")
-    order = ordered(df, rules(), sample_rows)
+    order = ordered(docs, rules(), sample_rows)
+    df = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_t"))
     df = df.withColumn("_hashes", F.transform(words(), lambda w: F.xxhash64(w)))
     for need in (with_words, with_word_chars, with_symbols, with_lines, with_repeats):
         df = need(df)
     failed = (F.col("_n_words") < 20) | (100 * F.col("_n_repeat_words") > 30 * F.col("_n_words"))
-    df = df.withColumn("_kept", ~failed)
+    df = df.withColumn("_failed", failed).withColumn("_t", F.when(~F.col("_failed"), _text()))
     for rule in order:
-        df = rule.needs(df, F.col("_kept"))
-        df = df.withColumn("_kept", F.col("_kept") & ~F.coalesce(rule.rejects, F.lit(False)))
+        df = rule.needs(df)
+        df = df.withColumn("_t", F.when(~F.coalesce(rule.rejects, F.lit(False)), _text()))
     return df.select(
         "doc_id", F.col("_n_words").alias("n_words"), F.col("_word_chars").alias("word_chars"), F.col("_n_symbols").alias("n_symbols"),
-        F.col("_n_dup_lines").alias("n_dup_lines"), F.col("_n_repeat_words").alias("n_repeat_words"), failed.alias("base_failed"), F.col("_kept").alias("kept"),
+        F.col("_n_dup_lines").alias("n_dup_lines"), F.col("_n_repeat_words").alias("n_repeat_words"), F.col("_failed").alias("base_failed"), _text().isNotNull().alias("kept"),
     )
 
 
