@@ -5,10 +5,13 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: `[^\x20\x09-\x0D]+`, as Java's regular expressions write it.
@@ -59,7 +62,7 @@ def written(df: DataFrame, what: str) -> DataFrame:
 def pieces(batches: Iterator[pa.RecordBatch], nbytes: int = 4 << 20, column: str = "text") -> Iterator[pa.RecordBatch]:
     """The rows again in batches whose `column` holds about `nbytes`; one longer row makes a batch of its own."""
     for batch in batches:
-        lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         start = total = 0
         for i, n in enumerate(lengths):
             if total and total + n > nbytes:
@@ -77,3 +80,26 @@ def as_bytes(column: pa.Array) -> list[bytes]:
 
 def crc32_mod(doc_id: int, n: int) -> int:
     return zlib.crc32(str(doc_id).encode()) % n
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the executors this package, once for an application; a launch that has it on every machine's path loses nothing."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = Path(__file__).resolve().parents[1]
+    place = Path(tempfile.mkdtemp(prefix="tessera-"), "tessera.zip")
+    with zipfile.ZipFile(place, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(place))
+    _shipped.add(app)
+
+
+def arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow with the package shipped."""
+    ship(df.sparkSession)
+    return df.mapInArrow(function, schema)
