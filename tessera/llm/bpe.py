@@ -2,9 +2,8 @@
 
 The model is made of merge ranks (or read from the library's own file), with the byte-to-character map that the library
 wants. A single blank or line feed between two characters that are no white space always ends a match of the pattern, so
-a text is a series of words whose ids don't depend on each other; words go through the library once for each batch and
-worker, many in one call, and are told apart by the ids and offsets of the line feeds between them. Texts with
-other white space go through the library whole. Decoding looks up each id's bytes and joins them, so characters whose
+a text is a series of words whose ids don't depend on each other: a worker sends each word through the library once and
+keeps its ids. Texts with other white space go through the library whole. Decoding looks up each id's bytes and joins them, so characters whose
 bytes fell into several ids come together again before anything is read as UTF-8.
 """
 
@@ -14,7 +13,6 @@ import base64
 import hashlib
 import json
 import re
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +22,9 @@ from pyspark.sql import DataFrame
 from .common import arrow, as_bytes, pieces
 
 #: Words whose ids a worker keeps; past that it starts afresh.
-MEMO = 300_000
-#: Characters of new words in one call of the library.
-CALL = 200_000
-#: Blank or line feed next to white space, or white space other than these two.
-_HARD = re.compile(r"[ \n]\s|\s[ \n]|[^\S \n]")
+MEMO = 800_000
+#: White space, as widely as anything counts it, but for blank and line feed.
+_OTHER_SPACE = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 def byte_characters() -> list[str]:
@@ -37,6 +33,9 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in plain else chr(256 + sum(x not in plain for x in range(b))) for b in range(256)]
 
 
+_CHARACTERS = byte_characters()
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f) if token}
@@ -60,7 +59,7 @@ def merges_of(ranks: dict[bytes, int]) -> list[tuple[bytes, bytes]]:
 
 def model_of_ranks(ranks: dict[bytes, int], pattern: str) -> str:
     """The library's JSON for a rank file: each match of `pattern` is encoded by itself, without special tokens."""
-    char = byte_characters()
+    char = _CHARACTERS
     spell = lambda b: "".join(char[x] for x in b)
     model = tokenizers.models.BPE(vocab={spell(t): r for t, r in ranks.items()}, merges=[(spell(a), spell(b)) for a, b in merges_of(ranks)])
     t = tokenizers.Tokenizer(model)
@@ -73,7 +72,7 @@ def model_of_ranks(ranks: dict[bytes, int], pattern: str) -> str:
 
 def id_bytes(model: str) -> list[bytes]:
     """The bytes of each id of a byte-level model."""
-    byte = {c: b for b, c in enumerate(byte_characters())}
+    byte = {c: b for b, c in enumerate(_CHARACTERS)}
     vocab = json.loads(model)["model"]["vocab"]
     out = [b""] * (max(vocab.values()) + 1)
     for token, k in vocab.items():
@@ -82,30 +81,30 @@ def id_bytes(model: str) -> list[bytes]:
 
 
 class _Words(dict):
-    """Ids of words behind a fixed lead (nothing or a blank)."""
-
-    def __init__(self, tokenizer, lead: str, feed: int):
-        self.tokenizer, self.lead, self.feed = tokenizer, lead, feed
-
-    def learn(self, words: set[str]) -> None:
-        if len(self) > MEMO:
-            self.clear()
-        new = [w for w in words if w not in self]
-        start = 0
-        while start < len(new):
-            end, size = start, 0
-            while end < len(new) and (size < CALL or end == start):
-                size += len(new[end]) + 2
-                end += 1
-            part = new[start:end]
-            ids = np.array(self.tokenizer.encode("\n".join([self.lead + w for w in part]), add_special_tokens=False).ids, np.int64)
-            cuts = np.flatnonzero(ids == self.feed).tolist()
-            ids = ids.tolist()
-            a = 0
-            for w, b in zip(part, [*cuts, len(ids)], strict=True):
-                self[w] = tuple(ids[a:b])
-                a = b + 1
-            start = end
+    """Ids (as bytes of 32-bit integers) of words that follow `lead`, learnt from the library on first sight."""
+
+    def __init__(self, tokenizer, lead: str):
+        self.tokenizer, self.lead = tokenizer, lead
+        self.mapped = "".join(_CHARACTERS[x] for x in lead.encode())
+
+    def __missing__(self, word: str) -> bytes:
+        last = word[-1:]
+        if last in ",." and _plain(word[:-1]):  # a stop is a match of its own
+            found = self[word[:-1]] + self.piece(last)
+        elif _plain(word):  # letters behind at most one blank are one match
+            found = self.piece(self.mapped + "".join([_CHARACTERS[x] for x in word.encode()]))
+        else:
+            found = b"".join([self.piece(p) for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(self.lead + word)])
+        self[word] = found
+        return found
+
+    def piece(self, mapped: str) -> bytes:
+        return np.array([t.id for t in self.tokenizer.model.tokenize(mapped)], np.int32).tobytes()
+
+
+def _plain(word: str) -> bool:
+    """Letters below U+0250 alone, whose class no version of Unicode disputes."""
+    return word.isalpha() and max(word) < "\u0250"
 
 
 class Encoder:
@@ -114,41 +113,29 @@ class Encoder:
     def __init__(self, model: str):
         self.tokenizer = tokenizers.Tokenizer.from_str(model)
         self.tokenizer.encode_special_tokens = True
-        feed = self.tokenizer.encode("a\nb", add_special_tokens=False)
-        self.feed = next(i for i, (a, b) in zip(feed.ids, feed.offsets, strict=True) if (a, b) == (1, 2))
-        self.first, self.later = _Words(self.tokenizer, "", self.feed), _Words(self.tokenizer, " ", self.feed)
+        self.first, self.later = _Words(self.tokenizer, ""), _Words(self.tokenizer, " ")
+        self.feed = np.array(self.tokenizer.encode("\n", add_special_tokens=False).ids, np.int32).tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split: list[list[list[str]] | None] = []
-        heads: set[str] = set()
-        tails: set[str] = set()
+        if len(self.later) + len(self.first) > MEMO:
+            self.later.clear()
+            self.first.clear()
+        first, later, feed = self.first, self.later, self.feed
+        first[""] = b""
+        out = []
         for t in texts:
-            if _HARD.search(t) or t[:1] in (" ", "\n") or t[-1:] in (" ", "\n"):
-                split.append(None)
+            if not t or "  " in t or " \n" in t or "\n " in t or "\n\n" in t or t[0] in " \n" or t[-1] in " \n" or _OTHER_SPACE.search(t):
+                out.append(np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.int32))
                 continue
-            lines = [line.split(" ") for line in t.split("\n")]
-            for line in lines:
-                heads.add(line[0])
-                tails.update(line[1:])
-            split.append(lines)
-        heads.discard("")
-        self.first.learn(heads)
-        self.later.learn(tails)
-        self.first[""] = ()
-        first, later, feed = self.first, self.later, (self.feed,)
-        out = []
-        for t, lines in zip(texts, split, strict=True):
-            if lines is None:
-                ids = self.tokenizer.encode(t, add_special_tokens=False).ids
-            else:
-                parts = []
-                for line in lines:
-                    parts.append(feed)
-                    parts.append(first[line[0]])
-                    if len(line) > 1:
-                        parts += [later[w] for w in line[1:]]
-                ids = list(chain.from_iterable(parts[1:]))
-            out.append(np.array(ids, np.int32))
+            parts = []
+            for line in t.split("\n"):
+                words = line.split(" ")
+                parts.append(feed)
+                parts.append(first[words[0]])
+                del words[0]
+                parts += [later[w] for w in words]
+            del parts[0]
+            out.append(np.frombuffer(b"".join(parts), np.int32))
         return out
 
 
