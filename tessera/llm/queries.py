@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, line_dedup, quality, simhash, token_output
+from . import bpe, decontaminate, line_dedup, quality, simhash, token_output, warc
 from .common import table
 
 
@@ -21,6 +21,10 @@ def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
         return token_output.report(table(spark, sf_dir, "documents"), f.read())
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.report(table(spark, sf_dir, "pages"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
