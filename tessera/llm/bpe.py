@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 import tokenizers
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from .common import arrow, as_bytes, pieces
 
@@ -158,10 +159,11 @@ def decode(ids: np.ndarray, table: list[bytes]) -> bytes:
 def encode_and_decode(docs: DataFrame, model: str, keep: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row; with `keep`, docs' columns and token_ids before them.
 
-    Null and empty texts have no ids. Repeated rows give repeated results. Columns other than text pass through.
+    Null and empty texts have no ids. Repeated rows give repeated results. Other columns pass through; one
+    with the name of a result is replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    cols = list(docs.columns) if keep else ["doc_id"]
+    cols = [c for c in docs.columns if c not in ("n_tokens", "ids_sha256", "decoded_sha256", "token_ids")] if keep else ["doc_id"]
 
     def run(batches):
         enc, table = encoder(shared.value), id_bytes(shared.value)
@@ -176,8 +178,6 @@ def encode_and_decode(docs: DataFrame, model: str, keep: bool = False) -> DataFr
                 new["token_ids"] = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in ids]))), pa.int32()), pa.array(flat))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in cols], *new.values()], [*cols, *new])
 
-    new = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * keep
-    schema = docs.select(*[f"`{c}`" for c in cols]).schema
-    for field in new.split(", "):
-        schema = schema.add(*field.split(" "))
+    schema = docs.select(*[f"`{c}`" for c in cols]).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
+    schema = schema.add("token_ids", T.ArrayType(T.IntegerType())) if keep else schema
     return arrow(docs.select(*[f"`{c}`" for c in dict.fromkeys([*cols, "text"])]), run, schema)
