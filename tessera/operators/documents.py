@@ -1,0 +1,70 @@
+"""Checks of whole documents: their sections, repeated and missing passages, and what an edit left alone."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions.text import jaccard, shingles, words
+
+#: Words from which sections and paragraphs are compared, and the similarity that makes a copy.
+SECTION, SECTION_ALIKE = 6, 0.6
+PARAGRAPH, PARAGRAPH_ALIKE = 10, 0.8
+
+
+def sections(docs: DataFrame) -> DataFrame:
+    """A document's lines as its sections: doc_id, no, text."""
+    return docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("no", "text"))
+
+
+def _alike(parts: DataFrame, size, least: int, alike: float) -> DataFrame:
+    """Per part the first earlier part of the same document that is alike. Pairs meet on a shared shingle."""
+    p = parts.withColumn("w", words(F.col("text"))).filter(F.size("w") >= least).withColumn("s", size).select("doc_id", "no", "s")
+    # The outer form: the plain one infers a filter on the array, which would compute the shingles a second time, word by word.
+    k = p.select("doc_id", "no", F.explode_outer("s").alias("k"))
+    a, b = k.alias("a"), k.alias("b")
+    met = a.join(b, (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.k") == F.col("b.k")) & (F.col("a.no") > F.col("b.no")))
+    counts = met.groupBy(F.col("a.doc_id").alias("doc_id"), F.col("a.no").alias("no"), F.col("b.no").alias("owner")).agg(F.count("*").alias("both"))
+    n = p.select("doc_id", "no", F.size("s").alias("n"))
+    pairs = counts.join(n, ["doc_id", "no"]).join(n.select("doc_id", F.col("no").alias("owner"), F.col("n").alias("m")), ["doc_id", "owner"])
+    return pairs.filter(F.col("both") >= alike * (F.col("n") + F.col("m") - F.col("both"))).groupBy("doc_id", "no").agg(F.min("owner").alias("owner"))
+
+
+def repeated_sections(docs: DataFrame) -> DataFrame:
+    """Three-word shingles from 12 words on, else two; similarity 0.6."""
+    size = F.when(F.size("w") >= 12, shingles(F.col("w"), 3)).otherwise(shingles(F.col("w"), 2))
+    return _alike(sections(docs), size, SECTION, SECTION_ALIKE)
+
+
+def repeated_paragraphs(docs: DataFrame) -> DataFrame:
+    """Four-word shingles, similarity 0.8."""
+    return _alike(sections(docs), shingles(F.col("w"), 4), PARAGRAPH, PARAGRAPH_ALIKE)
+
+
+def headings(parts: DataFrame) -> DataFrame:
+    """Empty, repeated and continued headings. parts: doc_id, no, heading.
+
+    A heading continues the last one that wasn't empty; it is repeated if an earlier section that isn't its neighbour has it.
+    """
+    h = F.lower(F.trim(F.coalesce("heading", F.lit(""))))
+    w = Window.partitionBy("doc_id").orderBy("no")
+    rows = parts.select("doc_id", "no", h.alias("h"))
+    before = F.last(F.nullif("h", F.lit("")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    seen = F.row_number().over(Window.partitionBy("doc_id", "h").orderBy("no")) > 1
+    rows = rows.withColumn("_before", before).withColumn("_seen", seen)
+    continued = F.coalesce(F.col("h") == F.col("_before"), F.lit(False)) & (F.col("h") != "")
+    return rows.select("doc_id", "no", (F.col("h") == "").alias("empty"), continued.alias("continued"), (F.col("_seen") & (F.col("h") != "") & ~continued).alias("repeated"))
+
+
+def unchanged(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Sections of both versions by id, and whether the text is the same to the byte."""
+    a = before.select("doc_id", "no", F.sha2("text", 256).alias("_a"))
+    b = after.select("doc_id", "no", F.sha2("text", 256).alias("_b"))
+    return a.join(b, ["doc_id", "no"], "full_outer").select("doc_id", "no", F.col("_a").eqNullSafe(F.col("_b")).alias("same"))
+
+
+def similarity(a: DataFrame, b: DataFrame, size: int = 3) -> DataFrame:
+    """Jaccard of texts with the same id."""
+    left = a.select("id", shingles(words(F.col("text")), size).alias("_a"))
+    right = b.select("id", shingles(words(F.col("text")), size).alias("_b"))
+    return left.join(right, "id").select("id", jaccard(F.col("_a"), F.col("_b")).alias("similarity"))
