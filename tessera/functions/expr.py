@@ -87,6 +87,6 @@ def excerpt(text: Column, size: int) -> Column:
 
 def page_numbers(spec: Column) -> Column:
     """`1,3-5` as an array of pages; null if any part is malformed or reversed."""
-    parts = F.transform(F.split(F.regexp_replace(spec, r"\s+", ""), ","), lambda p: F.struct(F.regexp_extract(p, r"^(\d{1,6})", 1).cast("int").alias("a"), F.coalesce(F.nullif(F.regexp_extract(p, r"^\d{1,6}-(\d{1,6})$", 1), F.lit("")), F.regexp_extract(p, r"^(\d{1,6})$", 1)).try_cast("int").alias("b")))
+    parts = F.transform(F.split(F.regexp_replace(spec, r"\s+", ""), ","), lambda p: F.struct(F.regexp_extract(p, r"^(\d{1,6})", 1).try_cast("int").alias("a"), F.coalesce(F.nullif(F.regexp_extract(p, r"^\d{1,6}-(\d{1,6})$", 1), F.lit("")), F.regexp_extract(p, r"^(\d{1,6})$", 1)).try_cast("int").alias("b")))
     good = F.forall(parts, lambda p: p["a"].isNotNull() & p["b"].isNotNull() & (p["a"] >= 1) & (p["a"] <= p["b"]))
     return F.when(good, F.array_distinct(F.flatten(F.transform(parts, lambda p: F.sequence(p["a"], p["b"])))))
