@@ -130,8 +130,8 @@ def _edges_of(fp: np.ndarray) -> list[tuple[int, int]]:
     return [(int(signed[root(i)]), int(signed[i])) for i in range(len(fp)) if root(i) != i]
 
 
-def _links(distinct: DataFrame) -> DataFrame:
-    """Pairs (a, b) of fingerprints that link, enough of them to join every component."""
+def _links(distinct: DataFrame, large: int = LARGE) -> DataFrame:
+    """kind 0: pairs (a, b) of fingerprints that link, enough to join all of a bucket. kind 1: those (a) of larger buckets."""
 
     def keyed(batches):
         for batch in batches:
@@ -149,7 +149,7 @@ def _links(distinct: DataFrame) -> DataFrame:
         held_key, held, n = None, [], 0
 
         def flush():
-            if 1 < n <= LARGE:
+            if 1 < n <= large:
                 return [(0, a, b) for a, b in _edges_of(np.concatenate(held).view(np.uint64))]
             return []
 
@@ -169,10 +169,10 @@ def _links(distinct: DataFrame) -> DataFrame:
                     continue
                 before = n
                 n += int(b - a)
-                if n <= LARGE:
+                if n <= large:
                     held.append(fp[a:b].copy())
                 else:  # from the first row past the limit on, the bucket's fingerprints go to the linear way
-                    rows += [(1, int(x), 0) for x in (np.concatenate([*held, fp[a:b]]) if before <= LARGE else fp[a:b])]
+                    rows += [(1, int(x), 0) for x in (np.concatenate([*held, fp[a:b]]) if before <= large else fp[a:b])]
                     held = []
             if rows:
                 yield out(rows)

@@ -278,7 +278,7 @@ def _texts(docs: DataFrame, asked: DataFrame) -> DataFrame:
     return arrow(docs.select("doc_id", "text").join(per_doc, "doc_id"), run, "anchor long, doc_id long, start long, data binary")
 
 
-def _indexed(segments: DataFrame, parts: int) -> DataFrame:
+def _indexed(segments: DataFrame, parts: int, most: int = ANCHOR) -> DataFrame:
     """kind 1: repeats (doc_id, start, n). kind 2: single windows of too large anchors, with two hashes of their content."""
     dealt = segments.repartition(parts, "anchor").sortWithinPartitions("anchor", "doc_id", "start")
     names = ["kind", "doc_id", "start", "n", "w1", "w2"]
@@ -324,7 +324,7 @@ def _indexed(segments: DataFrame, parts: int) -> DataFrame:
                     own, own_size, anchor, large = [], 0, x, False
                 own.append((i, s, data))
                 own_size += len(data)
-                if own_size > (1 << 16 if large else ANCHOR):
+                if own_size > (1 << 16 if large else most):
                     large = True
                     for k in range(0, len(own), 1000):
                         yield windows(own[k : k + 1000])
@@ -344,23 +344,23 @@ def _by_content(windows: DataFrame) -> DataFrame:
     return windows.join(first, ["w1", "w2"]).filter("doc_id > first.doc_id OR (doc_id = first.doc_id AND start > first.start)").select("doc_id", "start", "n")
 
 
-def repeated_windows(docs: DataFrame) -> DataFrame:
+def repeated_windows(docs: DataFrame, most: int = ANCHOR) -> DataFrame:
     """doc_id, start and n: n windows from start on that also start earlier (smaller doc_id, or same document and start)."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     decided = written(_decided(_records(docs), parts), "segments-decided")
-    found = written(_indexed(_texts(docs, decided.filter("kind = 0")), parts), "segments-indexed")
+    found = written(_indexed(_texts(docs, decided.filter("kind = 0")), parts, most), "segments-indexed")
     out = decided.filter("kind = 1").select("doc_id", "start", "n").unionByName(found.filter("kind = 1").select("doc_id", "start", "n"))
     large = found.filter("kind = 2").select("doc_id", "start", "n", "w1", "w2")
     return out if large.isEmpty() else out.unionByName(_by_content(large))
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, most: int = ANCHOR) -> DataFrame:
     """doc_id, kept (the remaining bytes), n_bytes, n_removed and n_spans of every row.
 
     A null text is empty; texts under LENGTH bytes lose nothing by themselves. Rows that share a doc_id are taken as one
     document and lose the same bytes. A null doc_id is compared with nothing. The remaining bytes may split a character.
     """
-    ranges = repeated_windows(docs).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("gone"))  # a document's own ranges
+    ranges = repeated_windows(docs, most).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("gone"))  # a document's own ranges
 
     def run(batches):
         for batch in pieces(batches):
@@ -382,5 +382,5 @@ def dedup(docs: DataFrame) -> DataFrame:
     return arrow(joined, run, joined.select("doc_id").schema.add("kept", "binary").add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long"))
 
 
-def report(docs: DataFrame) -> DataFrame:
-    return dedup(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+def report(docs: DataFrame, most: int = ANCHOR) -> DataFrame:
+    return dedup(docs, most).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
