@@ -59,6 +59,11 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def set_aside(docs: DataFrame, *own: str) -> DataFrame:
+    """docs with every column but `own` under a name that no operator uses; docs.columns in their order lead back through toDF."""
+    return docs.toDF(*[c if c in own else f"in{i}" for i, c in enumerate(docs.columns)])
+
+
 def pieces(batches: Iterator[pa.RecordBatch], nbytes: int = 4 << 20, column: str = "text") -> Iterator[pa.RecordBatch]:
     """The rows again in batches whose `column` holds about `nbytes`; one longer row makes a batch of its own."""
     for batch in batches:

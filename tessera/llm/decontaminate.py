@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, as_bytes, pieces
+from .common import arrow, as_bytes, pieces, set_aside
 
 WINDOW = 10
 #: Benchmark items searched for in one pass over the documents; more items make more passes.
@@ -200,7 +200,8 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without a benchmark window, with their own columns."""
-    return find_items(docs, benchmark).filter(F.size("_items") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    own = set_aside(docs, "doc_id", "text")
+    return find_items(own, benchmark).filter(F.size("_items") == 0).select(*own.columns).toDF(*docs.columns)
 
 
 #: DuckDB over `documents` and `benchmark`. Windows are joined on their words.

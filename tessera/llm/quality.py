@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD
+from .common import SPACE, WORD, set_aside
 
 #: Rows on which the rules' cost and selectivity are estimated. They set the order of evaluation and never the verdict.
 SAMPLE_ROWS = 1_000
@@ -155,8 +155,8 @@ def measures(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The documents that no rule rejects, with their own columns."""
-    return cascade(docs, None, sample_rows).filter("_kept").drop("_kept")
+    """The documents that no rule rejects, with their own columns under whatever names."""
+    return cascade(set_aside(docs, "doc_id", "text"), None, sample_rows).filter("_kept").drop("_kept").toDF(*docs.columns)
 
 
 #: DuckDB over `documents`. Words and lines are split as above; window positions come from a list of windows.
