@@ -21,6 +21,11 @@ def _text() -> Column:
     return F.col("_t")
 
 
+def _verdict() -> Column:
+    """Nothing rejected the row. The row id keeps filters above: pushed below, one would repeat every feature inside one expression."""
+    return _text().isNotNull() & (F.monotonically_increasing_id() >= 0)
+
+
 def words() -> Column:
     return F.array_remove(F.split(_text(), SPACE + "+", -1), "")
 
@@ -129,8 +134,7 @@ def cascade(df: DataFrame, found: Sequence[Rule] | None = None, sample_rows: int
         before = set(df.columns)
         df = rule.needs(df)
         df = df.withColumn("_t", F.when(~F.coalesce(rule.rejects, F.lit(False)), _text())).drop(*(set(df.columns) - before))
-    # The row id keeps a filter above the cascade: pushed below, it would repeat every feature inside one expression.
-    return df.select(*keep, (_text().isNotNull() & (F.monotonically_increasing_id() >= 0)).alias("_kept"))
+    return df.select(*keep, _verdict().alias("_kept"))
 
 
 def measures(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -150,7 +154,7 @@ def measures(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
         df = df.withColumn("_t", F.when(~F.coalesce(rule.rejects, F.lit(False)), _text()))
     return df.select(
         "doc_id", F.col("_n_words").alias("n_words"), F.col("_word_chars").alias("word_chars"), F.col("_n_symbols").alias("n_symbols"),
-        F.col("_n_dup_lines").alias("n_dup_lines"), F.col("_n_repeat_words").alias("n_repeat_words"), F.col("_failed").alias("base_failed"), _text().isNotNull().alias("kept"),
+        F.col("_n_dup_lines").alias("n_dup_lines"), F.col("_n_repeat_words").alias("n_repeat_words"), F.col("_failed").alias("base_failed"), _verdict().alias("kept"),
     )
 
 
