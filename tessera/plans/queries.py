@@ -16,7 +16,13 @@ from .filters import Filters
 YEAR = Filters("1998-01-01", "1998-12-31")
 DAYS = Filters("2024-01-05", "2024-01-25", as_of="2024-01-24 12:00:00")
 ACTS = ("view", "purchase")
-AT = F.lit("1999-03-10 12:00:00").cast("timestamp")
+AT = "1999-03-10 12:00:00"
+
+
+def _moment(text: str):
+    """Columns are made inside queries: the module imports before any session."""
+    return F.lit(text).cast("timestamp")
+
 
 # The same bounds in UTC: Tashkent is five hours ahead in all of these years.
 _Y = "created_at >= TIMESTAMP '1997-12-31 19:00:00' AND created_at < TIMESTAMP '1998-12-30 19:00:00'"
@@ -219,7 +225,7 @@ def r18(spark, d):
 @query("r21_weekly_usage", _WITH + f""" SELECT account_id, 3::BIGINT AS "limit", count(*) AS used, greatest(3 - count(*), 0)::BIGINT AS remaining FROM jobs WHERE status NOT IN ('failed', 'canceled', 'expired', 'no_op')
 AND created_at >= date_trunc('week', {_AT} + INTERVAL 5 HOUR) - INTERVAL 5 HOUR AND created_at < date_trunc('week', {_AT} + INTERVAL 5 HOUR) - INTERVAL 5 HOUR + INTERVAL 7 DAY GROUP BY 1""")
 def r21(spark, d):
-    return temporal.weekly_usage(v.jobs(spark, d), AT, 3)
+    return temporal.weekly_usage(v.jobs(spark, d), _moment(AT), 3)
 
 
 def _counted(spark, d):
@@ -239,7 +245,7 @@ def _prices(spark, d):
 o AS (SELECT *, coalesce(day::TIMESTAMP + INTERVAL 1 DAY - INTERVAL 5 HOUR > {_AT} AND reduced > 0 AND reduced < price, false) AS discounted FROM p)
 SELECT plan, CASE WHEN discounted THEN reduced ELSE price END AS price, discounted, CASE WHEN discounted THEN floor((price - reduced) * 100 / price)::BIGINT END AS percent, CASE WHEN discounted THEN day::TIMESTAMP + INTERVAL 1 DAY - INTERVAL 5 HOUR END AS ends_at FROM o""")
 def r28(spark, d):
-    return temporal.price_at(_prices(spark, d), AT)
+    return temporal.price_at(_prices(spark, d), _moment(AT))
 
 
 _FORCE = f"starts_at <= {_AT} AND ends_at > {_AT} AND revoked_at IS NULL"
@@ -249,7 +255,7 @@ _FORCE = f"starts_at <= {_AT} AND ends_at > {_AT} AND revoked_at IS NULL"
 SELECT a.id, CASE WHEN a.id % 17 = 0 THEN 'premium' ELSE coalesce(q.plan, 'free') END AS current_plan FROM accounts a LEFT JOIN q ON a.id = q.account_id""")
 def j11(spark, d):
     a = v.accounts(spark, d).select("id", F.when(F.col("id") % 17 == 0, "premium").otherwise("").alias("staff_plan"), F.lit(None).cast("timestamp").alias("staff_plan_expires_at"))
-    return temporal.effective_plan(a, v.periods(spark, d), AT)
+    return temporal.effective_plan(a, v.periods(spark, d), _moment(AT))
 
 
 @query("j10_plan_as_of_job", _WITH + """, f AS (SELECT id, account_id, completed_at FROM jobs WHERE completed_at IS NOT NULL), b AS (SELECT f.id, arg_max(p.plan, (p.ends_at, p.id)) AS plan FROM f JOIN per p ON p.account_id = f.account_id AND p.starts_at <= f.completed_at AND p.ends_at > f.completed_at GROUP BY 1)
@@ -260,7 +266,7 @@ def j10(spark, d):
 
 @query("j12_renewals_due", _WITH + f" SELECT account_id, max(ends_at) AS ends_at FROM per WHERE revoked_at IS NULL GROUP BY 1 HAVING max(ends_at) >= {_AT} AND max(ends_at) < {_AT} + INTERVAL 60 DAY")
 def j12(spark, d):
-    return temporal.ending_last(v.periods(spark, d), AT, AT + F.expr("INTERVAL 60 DAYS"))
+    return temporal.ending_last(v.periods(spark, d), _moment(AT), _moment(AT) + F.expr("INTERVAL 60 DAYS"))
 
 
 def _friends(spark, d):
@@ -297,7 +303,7 @@ def _served(spark, d):
     return v.jobs(spark, d).filter("status = 'succeeded'").groupBy((F.col("account_id") % 50).alias("account_id")).agg(F.max("started_at").alias("served_at"))
 
 
-_QNOW = F.lit("1995-03-01 00:00:00").cast("timestamp")
+_QNOW = "1995-03-01 00:00:00"
 
 
 @query("w01_fair_dispatch", _WITH + """, q AS (SELECT id, account_id % 50 AS account_id, created_at, CASE WHEN created_at <= TIMESTAMP '1995-02-15 00:00:00' THEN 0 ELSE 1 END AS rk FROM jobs WHERE status = 'queued'),
@@ -306,17 +312,17 @@ r AS (SELECT c.*, served_at, row_number() OVER (PARTITION BY c.account_id ORDER
 o AS (SELECT row_number() OVER (ORDER BY round, rk, CASE WHEN rk = 0 THEN created_at ELSE coalesce(served_at, TIMESTAMP '0001-01-01') END, created_at, account_id::VARCHAR) AS place, id, account_id, round FROM r)
 SELECT place::INT AS place, id, account_id, round::INT AS round FROM o WHERE place <= 50""")
 def w01(spark, d):
-    return queues.dispatch(_queued(spark, d), _served(spark, d), _QNOW, limit=50, aging=14 * 86400)
+    return queues.dispatch(_queued(spark, d), _served(spark, d), _moment(_QNOW), limit=50, aging=14 * 86400)
 
 
 @query("w02_fair_order")
 def w02(spark, d):
-    return queues.fair_order(_queued(spark, d), _served(spark, d), _QNOW, aging=14 * 86400)
+    return queues.fair_order(_queued(spark, d), _served(spark, d), _moment(_QNOW), aging=14 * 86400)
 
 
 @query("a13_usual_seconds", _WITH + f", r AS (SELECT epoch_us(completed_at) - epoch_us(started_at) AS u FROM jobs WHERE completed_at >= {_AT} - INTERVAL 48 HOUR AND started_at IS NOT NULL ORDER BY completed_at DESC, id DESC LIMIT 20) SELECT avg(greatest(0.0::DOUBLE, u / 1e6)) AS usual FROM r")
 def a13(spark, d):
-    return queues.usual_seconds(v.jobs(spark, d), AT, hours=48)
+    return queues.usual_seconds(v.jobs(spark, d), _moment(AT), hours=48)
 
 
 @query("q26_rolling_brake", _WITH + """, c AS (SELECT id, account_id AS key, occurred_at AS "at", count(*) OVER (PARTITION BY account_id ORDER BY occurred_at RANGE BETWEEN INTERVAL 24 HOUR PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING) AS before FROM ev)
