@@ -232,6 +232,35 @@ def test_line_dedup(docs, none):
     assert line_dedup.report(none).count() == 0
 
 
+def edited(line, share, r):
+    """`line` with about so large a share of its characters replaced, inserted or taken out, at random places."""
+    s = list(line)
+    for _ in range(int(len(line) * share)):
+        i, how = r.randrange(len(s)), r.randrange(3)
+        s[i : i + 1] = [r.choice("abcdefghij")] if how == 0 else [r.choice("abcdefghij"), s[i]] if how == 1 else []
+    return "".join(s)
+
+
+def test_line_dedup_recall(spark):
+    """Pairs by edit similarity alone, whatever their SimHashes: planted typos in lines of any length."""
+    r = random.Random(4)
+    planted = {}
+    for k in range(600):
+        n = (1, 2, 6, 12, 30, 80)[k % 6]
+        share = (0.05, 0.1, 0.2)[k // 6 % 3]
+        line = " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randrange(5, 9))) for _ in range(n))
+        copy = edited(line, max(share, 1.01 / len(line)), r)
+        if copy != line and line_dedup.similar(line, copy):
+            planted[k] = (n, share, line, copy)
+    docs = spark.createDataFrame([(k, f"{x}\n{y}") for k, (_, _, x, y) in planted.items()], "doc_id long, text string")
+    got = {x.doc_id: x.n_removed for x in line_dedup.report(docs).collect()}
+    found = {}
+    for k, (n, share, *_) in planted.items():
+        found.setdefault((n if n < 8 else 8, share), []).append(got[k] == 1)
+    found = {k: sum(v) / len(v) for k, v in found.items()}
+    assert found[8, 0.05] >= 0.98 and found[8, 0.1] >= 0.85 and found[8, 0.2] >= 0.3, found
+
+
 def tiktoken_encoding():
     ranks = bpe.read_ranks(P.path("byte_bpe_50k.tiktoken"))
     return ranks, tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
