@@ -259,6 +259,7 @@ def test_line_dedup_recall(spark):
         found.setdefault((n if n < 8 else 8, share), []).append(got[k] == 1)
     found = {k: sum(v) / len(v) for k, v in found.items()}
     assert found[8, 0.05] >= 0.98 and found[8, 0.1] >= 0.85 and found[8, 0.2] >= 0.3, found
+    assert all(v == 1 for (n, _), v in found.items() if n == 1) and all(found[n, 0.05] >= 0.9 for n in (2, 6)), found
 
 
 def tiktoken_encoding():
