@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -374,6 +375,22 @@ def test_secret_scan(spark, none):
     assert secret_scan.find(none).count() == 0
 
 
+def test_secret_scan_outside_base_spans(spark):
+    """Values after a name of their own, short ones, letters alone, what follows a base span, and kinds at the end of rows."""
+    r = random.Random(5)
+    key = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
+    texts = [(i, f"some words Password = \"{key(r.choice((8, 12, 18)))}\" and {key(32)} internationalisation") for i in range(80)]
+    a, b, c = key(18), key(12), key(18)
+    texts += [(100, f"x sig={a} y"), (101, f"x {b} y"), (102, f"{'0123456789abcdef' * 2}={c}"), (103, "ordinary words, letters alone, internationalisation.")]
+    got = {x.doc_id: x.spans for x in secret_scan.find(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got[100] == "format:6:24" and got[101] == "format:2:14"
+    assert got[102] == "hex:0:32,format:33:51" and got[103] == ""
+    found = secret_scan._formats("ab=abcdef.ghijkl", [], {"abcdef", "ghijkl"}.__contains__)
+    assert found == [(3, 9, "format"), (10, 16, "format")]
+    late = spark.createDataFrame([(1, json.dumps([*[[0, 1, "hex", str(k)] for k in range(20)], [5, 6, "assign", "abcdef"]]), None)], "doc_id long, base string, ordinary string")
+    assert secret_scan.learn(late).kinds.keys() == {"assign", "hex"}
+
+
 def test_language_id(spark, none):
     sets = {"en": "the of and with house from walking", "de": "der und nicht straße über gehen zwischen", "fr": "le être dans garçon une où maison"}
     r = random.Random(3)
