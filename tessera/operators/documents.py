@@ -17,12 +17,12 @@ def sections(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("no", "text"))
 
 
-def _alike(parts: DataFrame, size, least: int, alike: float) -> DataFrame:
-    """Per part the first earlier part of the same document that is alike. Pairs meet on a shared shingle."""
-    p = parts.withColumn("w", words(F.col("text"))).filter(F.size("w") >= least).withColumn("s", size).select("doc_id", "no", "s")
+def _alike(parts: DataFrame, size, least: int, alike: float, owners: int) -> DataFrame:
+    """Per part of `least` words the first earlier part of the same document, of `owners` words, that is alike. Pairs meet on a shared shingle."""
+    p = parts.withColumn("w", words(F.col("text"))).filter(F.size("w") >= min(least, owners)).withColumn("s", size).select("doc_id", "no", "s", (F.size("w") >= least).alias("later"), (F.size("w") >= owners).alias("owns"))
     # The outer form: the plain one infers a filter on the array, which would compute the shingles a second time, word by word.
-    k = p.select("doc_id", "no", F.explode_outer("s").alias("k"))
-    a, b = k.alias("a"), k.alias("b")
+    k = p.select("doc_id", "no", "later", "owns", F.explode_outer("s").alias("k"))
+    a, b = k.filter("later").alias("a"), k.filter("owns").alias("b")
     met = a.join(b, (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.k") == F.col("b.k")) & (F.col("a.no") > F.col("b.no")))
     counts = met.groupBy(F.col("a.doc_id").alias("doc_id"), F.col("a.no").alias("no"), F.col("b.no").alias("owner")).agg(F.count("*").alias("both"))
     n = p.select("doc_id", "no", F.size("s").alias("n"))
@@ -31,14 +31,14 @@ def _alike(parts: DataFrame, size, least: int, alike: float) -> DataFrame:
 
 
 def repeated_sections(docs: DataFrame) -> DataFrame:
-    """Three-word shingles from 12 words on, else two; similarity 0.6."""
+    """Three-word shingles from 12 words on, else two; similarity 0.6. A shorter section than SECTION may be repeated and is no repeat itself."""
     size = F.when(F.size("w") >= 12, shingles(F.col("w"), 3)).otherwise(shingles(F.col("w"), 2))
-    return _alike(sections(docs), size, SECTION, SECTION_ALIKE)
+    return _alike(sections(docs), size, SECTION, SECTION_ALIKE, 1)
 
 
 def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     """Four-word shingles, similarity 0.8."""
-    return _alike(sections(docs), shingles(F.col("w"), 4), PARAGRAPH, PARAGRAPH_ALIKE)
+    return _alike(sections(docs), shingles(F.col("w"), 4), PARAGRAPH, PARAGRAPH_ALIKE, PARAGRAPH)
 
 
 def headings(parts: DataFrame) -> DataFrame:
