@@ -408,7 +408,7 @@ def t31(spark, d):
 
 @query("t69_phones")
 def t69(spark, d):
-    return v.read(spark, d, "documents").select("doc_id", text.phones(F.coalesce("text", F.lit(""))).alias("phones"))
+    return v.read(spark, d, "documents").select("doc_id", text.possible_phones(F.coalesce("text", F.lit(""))).alias("phones"))
 
 
 @query("f14_visitors", "SELECT event_id AS id, left(sha256('salt:' || user_id::VARCHAR), 20) AS visitor FROM events")
