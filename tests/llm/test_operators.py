@@ -259,10 +259,17 @@ def test_line_dedup_recall(spark):
     for k, (n, share, *_) in planted.items():
         found.setdefault((n if n < 8 else 8, share), []).append(got[k] == 1)
     found = {k: sum(v) / len(v) for k, v in found.items()}
-    assert found[8, 0.05] >= 0.98 and found[8, 0.1] >= 0.85 and found[8, 0.2] >= 0.3, found
+    assert found[8, 0.05] >= 0.98 and found[8, 0.1] >= 0.85 and found[8, 0.2] >= 0.25, found
     assert all(v == 1 for (n, _), v in found.items() if n == 1) and all(found[n, 0.05] >= 0.9 for n in (2, 6)), found
 
 
+def test_line_dedup_numbers(spark):
+    """Numbers of one shape aren't copies; equal ones are, and similar ones by the edit test."""
+    texts = [(1, "2021 45 17\n42"), (2, "2019 88 32\n17"), (3, "2021 45 17"), (4, "2021 45 18"), (5, "2,021 45 17")]
+    got = rows(line_dedup.report(spark.createDataFrame(texts, "doc_id long, text string")), "doc_id", "n_removed")
+    assert got == [(1, 0), (2, 0), (3, 1), (4, 1), (5, 1)]
+
+
 def tiktoken_encoding():
     ranks = bpe.read_ranks(P.path("byte_bpe_50k.tiktoken"))
     return ranks, tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
