@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,19 +99,24 @@ def stacked(purchases: DataFrame) -> DataFrame:
 
     purchases: account_id, id, plan, days, bought_at. A fold over one account's purchases.
     """
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["bought_at", "id"])
-        rows, running = [], []
-        for r in pdf.itertuples():
-            least = RANK.get(r.plan, 0)
-            blocking = [end for rank, end in running if rank >= least and end > r.bought_at]
-            start = max([r.bought_at, *blocking])
-            end = start + pd.Timedelta(days=int(r.days))
-            running.append((least, end))
-            rows.append((r.account_id, r.id, start, end))
-        return pd.DataFrame(rows, columns=["account_id", "id", "starts_at", "ends_at"])
-
-    return purchases.groupBy("account_id").applyInPandas(fold, "account_id long, id long, starts_at timestamp, ends_at timestamp")
+    def fold(batches):
+        who, ends = (), {}  # no account yet; the latest end of each rank
+        for batch in batches:
+            starts, stops = [], []
+            for account, plan, days, at in zip(*(batch.column(c).to_pylist() for c in ("account_id", "plan", "days", "bought_at")), strict=True):
+                if account != who:
+                    who, ends = account, {}
+                least = RANK.get(plan, 0)
+                start = max([at, *(end for rank, end in ends.items() if rank >= least)])
+                end = start + timedelta(days=int(days))
+                ends[least] = max(end, ends.get(least, end))
+                starts.append(start)
+                stops.append(end)
+            kind = batch.column("bought_at").type
+            yield pa.RecordBatch.from_arrays([batch.column("account_id"), batch.column("id"), pa.array(starts, kind), pa.array(stops, kind)], ["account_id", "id", "starts_at", "ends_at"])
+
+    p = purchases.select(F.col("account_id").cast("long"), F.col("id").cast("long"), "plan", "days", F.col("bought_at").cast("timestamp"))
+    return p.repartition("account_id").sortWithinPartitions("account_id", "bought_at", "id").mapInArrow(fold, "account_id long, id long, starts_at timestamp, ends_at timestamp")
 
 
 def price_at(plans: DataFrame, at: Column, zone: str = "Asia/Tashkent") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -34,15 +35,19 @@ def debounced(events: DataFrame, seconds: int = 10) -> DataFrame:
     if taps.isStreaming:
         return taps.groupBy("account_id").applyInPandasWithState(keep, "id long, account_id long, occurred_at timestamp", "last long", "append", GroupStateTimeout.NoTimeout)
 
-    def whole(key, pdf):
-        last, kept = None, []
-        for r in pdf.sort_values(["occurred_at", "id"]).itertuples():
-            if last is None or (r.occurred_at - last).total_seconds() >= seconds:
-                kept.append((int(r.id), key[0], r.occurred_at))
-                last = r.occurred_at
-        return pd.DataFrame(kept, columns=["id", "account_id", "occurred_at"])
-
-    return taps.groupBy("account_id").applyInPandas(whole, "id long, account_id long, occurred_at timestamp")
+    def whole(batches):
+        who, last = (), None  # no account yet
+        for batch in batches:
+            kept = []
+            for i, (account, at) in enumerate(zip(batch.column("account_id").to_pylist(), batch.column("occurred_at").to_pylist(), strict=True)):
+                if account != who or (at is not None and last is not None and (at - last).total_seconds() >= seconds):
+                    kept.append(i)
+                    who, last = account, at
+            yield batch.take(pa.array(kept, pa.int64()))
+
+    order = F.col("occurred_at").asc_nulls_last()
+    taps = taps.select(F.col("id").cast("long"), F.col("account_id").cast("long"), F.col("occurred_at").cast("timestamp"))
+    return taps.repartition("account_id").sortWithinPartitions("account_id", order, "id").mapInArrow(whole, taps.schema)
 
 
 def hourly(events: DataFrame, late: str = "1 hour") -> DataFrame:
