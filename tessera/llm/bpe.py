@@ -156,28 +156,44 @@ def decode(ids: np.ndarray, table: list[bytes]) -> bytes:
     return b"".join([table[i] for i in ids.tolist()])
 
 
+def spans(ids: np.ndarray, lengths: np.ndarray, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """First and one past the last character of each token of a text; a character whose bytes fell into several tokens is in each of them."""
+    end = np.cumsum(lengths[ids])
+    starts = (np.frombuffer(raw, np.uint8) & 0xC0) != 0x80
+    character = np.cumsum(starts) - 1
+    return character[end - lengths[ids]], character[end - 1] + 1
+
+
 def encode_and_decode(docs: DataFrame, model: str, keep: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row; with `keep`, docs' columns and token_ids before them.
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and n_split of each row; with `keep`, docs' columns and token_ids before them.
 
-    Null and empty texts have no ids. Repeated rows give repeated results. Other columns pass through; one
-    with the name of a result is replaced.
+    n_split counts the tokens that begin inside a character, by their spans. Null and empty texts have no ids. Repeated rows
+    give repeated results. Other columns pass through; one with the name of a result is replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    cols = [c for c in docs.columns if c not in ("n_tokens", "ids_sha256", "decoded_sha256", "token_ids")] if keep else ["doc_id"]
+    cols = [c for c in docs.columns if c not in ("n_tokens", "ids_sha256", "decoded_sha256", "n_split", "token_ids")] if keep else ["doc_id"]
 
     def run(batches):
         enc, table = encoder(shared.value), id_bytes(shared.value)
-        names = [str(i) for i in range(len(table))]
+        names, lengths = [str(i) for i in range(len(table))], np.array([len(b) for b in table])
         for batch in pieces(batches):
-            ids = enc.encode([b.decode() for b in as_bytes(batch.column("text"))])
+            texts = as_bytes(batch.column("text"))
+            ids = enc.encode([b.decode("utf-8", "replace") for b in texts])
+            split = []
+            for raw, x in zip(texts, ids, strict=True):
+                if not len(x) or raw.isascii():
+                    split.append(0)
+                else:
+                    first, past = spans(x, lengths, raw)
+                    split.append(int((first[1:] < past[:-1]).sum()))
             digest = [hashlib.sha256(" ".join([names[i] for i in x.tolist()]).encode()).hexdigest() for x in ids]
             decoded = [hashlib.sha256(decode(x, table)).hexdigest() for x in ids]
-            new = {"n_tokens": pa.array([len(x) for x in ids], pa.int64()), "ids_sha256": pa.array(digest, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())}
+            new = {"n_tokens": pa.array([len(x) for x in ids], pa.int64()), "ids_sha256": pa.array(digest, pa.string()), "decoded_sha256": pa.array(decoded, pa.string()), "n_split": pa.array(split, pa.int64())}
             if keep:
                 flat = np.concatenate([np.zeros(0, np.int32), *ids])
                 new["token_ids"] = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in ids]))), pa.int32()), pa.array(flat))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in cols], *new.values()], [*cols, *new])
 
-    schema = docs.select(*[f"`{c}`" for c in cols]).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
+    schema = docs.select(*[f"`{c}`" for c in cols]).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string").add("n_split", "long")
     schema = schema.add("token_ids", T.ArrayType(T.IntegerType())) if keep else schema
     return arrow(docs.select(*[f"`{c}`" for c in dict.fromkeys([*cols, "text"])]), run, schema)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 import zipfile
@@ -13,6 +14,7 @@ from pathlib import Path
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: `[^\x20\x09-\x0D]+`, as Java's regular expressions write it.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -24,13 +26,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and every executor see: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder that the driver and every executor see: spark.checkpoint.dir, or, on a local master alone, a temporary one where it is unset."""
     conf = spark.sparkContext.getConf()
     place = conf.get("spark.checkpoint.dir", None)
     if place:
         return place.rstrip("/")
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir names no folder that all machines share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
     return sc.getCheckpointDir().rstrip("/")
 
@@ -83,6 +87,23 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [b or b"" for b in column.cast(pa.binary()).to_pylist()]
 
 
+def sampled(df: DataFrame, n: int, key: str, *then: str) -> DataFrame:
+    """n rows of df, or all where there are no more: those with the least hashes of `key`, ties by key and `then`.
+
+    A count gives a bound on the hash under which some 4n rows lie. Of those alone hashes meet in one task, and the rows are
+    then read under the n-th of them: what one task receives does not follow the size or the partitions of df.
+    """
+    h, total, least = F.xxhash64(key), df.count(), -(1 << 63)
+    share = 4 * n / max(total, 1)
+    while share < 1:
+        bound = df.select(h.alias("h")).filter(h <= least + int(share * (1 << 64))).orderBy("h").limit(n).agg(F.count("*"), F.max("h")).first()
+        if bound[0] == n:
+            df = df.filter(h <= bound[1])
+            break
+        share *= 8
+    return df.orderBy(h, key, *then).limit(n)
+
+
 def crc32_mod(doc_id: int, n: int) -> int:
     return zlib.crc32(str(doc_id).encode()) % n
 

@@ -10,6 +10,7 @@ bounded size, each broadcast on its own, and every block runs against all docume
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,11 +19,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, as_bytes, pieces, set_aside
+from .common import arrow, as_bytes, pieces, set_aside, written
 
 WINDOW = 10
-#: Benchmark items searched for in one pass over the documents; more items make more passes.
-ITEMS_PER_BLOCK = 20_000
+#: Bytes of benchmark text searched for in one pass over the documents; more text makes more passes. A longer item is a block of its own.
+BLOCK_BYTES = 4 << 20
+#: Passes after which what was found is written, so that no job holds more broadcast blocks than these.
+PASSES = 4
 #: Bytes of a block, and entries of the shift table.
 BLOCK, TABLE_BITS = 6, 20
 #: Bytes of text that one of the searches in step walks over.
@@ -138,17 +141,32 @@ class Searcher:
             yield n, np.cumsum(hit)[:n] > 0, items.get(d, set())
 
 
-def _blocks(benchmark: DataFrame) -> list[list[tuple[int, bytes]]]:
-    """The query set in blocks of ITEMS_PER_BLOCK items, streamed to the driver one partition at a time."""
-    blocks: list[list[tuple[int, bytes]]] = [[]]
+def _blocks(benchmark: DataFrame, nbytes: int) -> Iterator[list[tuple[int, bytes]]]:
+    """The query set in blocks of about `nbytes`, streamed to the driver one partition at a time; one empty block of an empty set."""
+    block, size = [], 0
     for row in benchmark.select("item_id", "text").filter("text IS NOT NULL AND item_id IS NOT NULL").distinct().orderBy("item_id", "text").toLocalIterator():
-        if len(blocks[-1]) == ITEMS_PER_BLOCK:
-            blocks.append([])
-        blocks[-1].append((row.item_id, row.text.encode()))
-    return blocks
+        text = row.text.encode()
+        if block and size + len(text) > nbytes:
+            yield block
+            block, size = [], 0
+        block.append((row.item_id, text))
+        size += len(text)
+    yield block
 
 
-def find_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+_searchers: dict[str, Searcher] = {}
+
+
+def _searcher(name: str, block: list[tuple[int, bytes]]) -> Searcher:
+    """This worker's tables of a block."""
+    if name not in _searchers:
+        if len(_searchers) >= PASSES:
+            _searchers.clear()
+        _searchers[name] = Searcher(block)
+    return _searchers[name]
+
+
+def find_items(docs: DataFrame, benchmark: DataFrame, nbytes: int = BLOCK_BYTES) -> DataFrame:
     """docs' columns with _n_words, _hits (bitmap of hit words) and _items.
 
     Null and empty texts have no words and no hits; an item without words matches nothing; repeated rows of either table
@@ -156,12 +174,15 @@ def find_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     out = docs
-    for k, block in enumerate(_blocks(benchmark)):
+    for k, block in enumerate(_blocks(benchmark, nbytes)):
+        if k and k % PASSES == 0:
+            out = written(out, "decontaminate")
+        name = uuid.uuid4().hex
         shared = spark.sparkContext.broadcast(block)
         schema = out.schema if k else out.select("*", F.lit(0).cast("long").alias("_n_words"), F.lit(b"").alias("_hits"), F.array(F.lit(0).cast("long")).alias("_items")).schema
 
-        def run(batches, shared=shared, k=k):
-            searcher = Searcher(shared.value)
+        def run(batches, shared=shared, k=k, name=name):
+            searcher = _searcher(name, shared.value)
             for batch in pieces(batches):
                 n, hits, items = [], [], []
                 for j, (count, hit, found) in enumerate(searcher.search(as_bytes(batch.column("text")))):
@@ -173,15 +194,15 @@ def find_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     hits.append(np.packbits(hit).tobytes())
                     items.append(sorted(found))
                 new = [pa.array(n, pa.int64()), pa.array(hits, pa.binary()), pa.array(items, pa.list_(pa.int64()))]
-                old = [c for c, name in zip(batch.columns, batch.schema.names, strict=True) if name not in ("_n_words", "_hits", "_items")]
-                names = [name for name in batch.schema.names if name not in ("_n_words", "_hits", "_items")]
+                old = [c for c, at in zip(batch.columns, batch.schema.names, strict=True) if at not in ("_n_words", "_hits", "_items")]
+                names = [c for c in batch.schema.names if c not in ("_n_words", "_hits", "_items")]
                 yield pa.RecordBatch.from_arrays([*old, *new], [*names, "_n_words", "_hits", "_items"])
 
         out = arrow(out, run, schema)
     return out
 
 
-def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def report(docs: DataFrame, benchmark: DataFrame, nbytes: int = BLOCK_BYTES) -> DataFrame:
     """Every document's count of words, hit words and items, and whether it is contaminated."""
 
     def run(batches):
@@ -194,7 +215,7 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
             )
 
-    found = find_items(docs.select("doc_id", "text"), benchmark).drop("text")
+    found = find_items(docs.select("doc_id", "text"), benchmark, nbytes).drop("text")
     return arrow(found, run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 

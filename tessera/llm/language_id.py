@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, as_bytes, pieces
+from .common import arrow, as_bytes, pieces, sampled
 
 #: Documents that a model is learnt from, at most.
 SAMPLE = 2_000
@@ -106,8 +106,7 @@ def held_out(doc_id: str = "doc_id"):
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     """A model of the non-null lang of documents that aren't held out; None where there is none to learn from."""
     labelled = docs.filter("lang IS NOT NULL AND text IS NOT NULL").filter(~held_out()).select("doc_id", "text", "lang")
-    chosen = labelled.orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(sample)
-    rows = _features(chosen).collect()
+    rows = _features(sampled(labelled, sample, "doc_id", "lang")).collect()
     if not rows:
         return None
     languages = sorted({r.lang for r in rows})

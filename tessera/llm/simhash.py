@@ -226,6 +226,8 @@ def components(edges: DataFrame) -> DataFrame:
         before, now = now, state(edges)
         if before == now:
             break
+    else:
+        raise RuntimeError(f"components: not done after {ROUNDS} rounds")
     roots = edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
     return roots.unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 

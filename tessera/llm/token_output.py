@@ -39,7 +39,8 @@ def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
 
 
 class _Writer:
-    def __init__(self, folder: str, part: int):
+    def __init__(self, folder: str, part: int, row_group: int, file: int):
+        self.row_group, self.file = row_group, file
         self.fs, self.folder = filesystem(folder)
         self.fs.create_dir(self.folder, recursive=True)
         self.part, self.seq, self.rows, self.held, self.done = part, 0, 0, 0, []
@@ -55,13 +56,15 @@ class _Writer:
                 column_encoding={"doc_id": "DELTA_BINARY_PACKED", "offset": "DELTA_BINARY_PACKED", "n_tokens": "DELTA_BINARY_PACKED"}, dictionary_pagesize_limit=1 << 20,
             )
             self.rows = self.tokens = 0
+            self.first = batch.column("doc_id")[0].as_py()
         self.buffer.append(batch)
         self.held += tokens
         self.tokens += tokens
         self.rows += batch.num_rows
-        if self.held >= ROW_GROUP:
+        self.last = batch.column("doc_id")[-1].as_py()
+        if self.held >= self.row_group:
             self.flush()
-        if self.tokens >= FILE:
+        if self.tokens >= self.file:
             self.close()
 
     def flush(self) -> None:
@@ -74,46 +77,66 @@ class _Writer:
             self.flush()
             self.out.close()
             self.sink.close()
-            self.done.append((self.part, self.seq, self.path, self.rows, self.tokens))
+            self.done.append((self.part, self.seq, self.path, self.rows, self.tokens, self.first, self.last))
             self.out = None
             self.seq += 1
 
 
-def write(docs: DataFrame, model: str, folder: str, end_id: int = END) -> DataFrame:
-    """Writes docs' ids under `folder` and returns the manifest: part, seq, path, n_docs, n_tokens and start of each file.
+def write(docs: DataFrame, model: str, folder: str, end_id: int = END, row_group: int = ROW_GROUP, file: int = FILE) -> DataFrame:
+    """Writes docs' ids under `folder` and returns the manifest: part, seq, path, n_docs, n_tokens, first and last doc_id, and start of each file.
 
-    Null and empty texts hold the end id alone. Rows with equal or null doc_id each keep a place, next to each other.
+    Null and empty texts hold the end id alone. Rows with equal or null doc_id each keep a place, next to each other; null is
+    before all others. Other columns aren't read; an empty table gives no file.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
-        enc, out = encoder(shared.value), _Writer(folder, TaskContext.get().partitionId())
-        for batch in pieces(batches):
-            ids = [np.append(x, np.int32(end_id)) for x in enc.encode([b.decode() for b in as_bytes(batch.column("text"))])]
+        enc, out = encoder(shared.value), _Writer(folder, TaskContext.get().partitionId(), row_group, file)
+        for batch in pieces(batches, min(4 << 20, row_group)):
+            ids = [np.append(x, np.int32(end_id)) for x in enc.encode([b.decode("utf-8", "replace") for b in as_bytes(batch.column("text"))])]
             n = np.array([len(x) for x in ids])
             offset = np.cumsum(n) - n + (out.tokens if out.out is not None else 0)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(np.concatenate(ids)))
             out.add(pa.Table.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(offset), pa.array(n), lists], schema=_SCHEMA), int(n.sum()))
         out.close()
         if out.done:
-            yield pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*out.done, strict=True)], ["part", "seq", "path", "n_docs", "n_tokens"])
+            types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out.done, strict=True), types, strict=True)], ["part", "seq", "path", "n_docs", "n_tokens", "first_doc", "last_doc"])
 
     ranged = docs.select("doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
-    manifest = written(arrow(ranged, run, "part long, seq long, path string, n_docs long, n_tokens long"), "tokens-manifest")
+    manifest = written(arrow(ranged, run, "part long, seq long, path string, n_docs long, n_tokens long, first_doc long, last_doc long"), "tokens-manifest")
     before = F.sum("n_tokens").over(Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1))  # one row a file
     return manifest.withColumn("start", F.coalesce(before, F.lit(0)).cast("long"))
 
 
-def read(manifest: DataFrame, columns: tuple[str, ...] = ("doc_id", "offset", "n_tokens", "ids")) -> DataFrame:
-    """The files' rows with start, the count of ids before each; only `columns` are read from disk."""
+def read(manifest: DataFrame, columns: tuple[str, ...] = ("doc_id", "offset", "n_tokens", "ids"), tokens: tuple[int, int] | None = None, doc_ids: tuple[int, int] | None = None) -> DataFrame:
+    """The files' rows with start, the count of ids before each; only `columns` are read from disk.
+
+    `tokens` (from, to) gives the documents that hold any of those ids of the whole sequence, `doc_ids` (first, last) those
+    of a range. Files outside are skipped by the manifest, row groups by their statistics.
+    """
     fields = {"doc_id": "doc_id long", "offset": "offset long", "n_tokens": "n_tokens long", "ids": "ids array<int>"}
+    if tokens is not None:
+        manifest = manifest.filter((F.col("start") < tokens[1]) & (F.col("start") + F.col("n_tokens") > tokens[0]))
+    if doc_ids is not None:
+        manifest = manifest.filter((F.col("last_doc") >= doc_ids[0]) & (F.coalesce("first_doc", "last_doc") <= doc_ids[1]))
+    extra = [c for c, on in (("offset", tokens), ("n_tokens", tokens), ("doc_id", doc_ids)) if on is not None]
+    wanted = tuple(dict.fromkeys([*columns, *extra]))
 
     def run(batches):
-        for _, start, batch in _groups(batches, columns):
-            at = pa.array(batch.column("offset").to_numpy() + start) if "offset" in columns else pa.nulls(batch.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], at], [*columns, "start"])
+        for start, batch in _groups(batches, wanted, tokens, doc_ids):
+            at = pa.array(batch.column("offset").to_numpy() + start) if "offset" in wanted else pa.nulls(batch.num_rows, pa.int64())
+            out = pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], at], [*columns, "start"])
+            keep = np.ones(batch.num_rows, bool)
+            if tokens is not None:
+                keep &= (at.to_numpy() < tokens[1]) & (at.to_numpy() + batch.column("n_tokens").to_numpy() > tokens[0])
+            if doc_ids is not None:
+                ids = batch.column("doc_id").to_pandas()
+                keep &= ids.between(*doc_ids).to_numpy()
+            if keep.any():
+                yield out.filter(pa.array(keep))
 
     return arrow(_dealt(manifest), run, ", ".join([*[fields[c] for c in columns], "start long"]))
 
@@ -122,20 +145,38 @@ def _dealt(manifest: DataFrame) -> DataFrame:
     return manifest.select("path", "start").repartition(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path")
 
 
-def _groups(batches, columns) -> Iterator[tuple[str, int, pa.RecordBatch]]:
+def groups_in(file: pq.ParquetFile, tokens: tuple[int, int] | None, doc_ids: tuple[int, int] | None) -> list[int]:
+    """The row groups that may hold documents with any of the file's ids [from, to) or of a range of doc_id, by their statistics."""
+    meta, place = file.metadata, {name: k for k, name in enumerate(("doc_id", "offset", "n_tokens"))}
+    stats = lambda g, c: meta.row_group(g).column(place[c]).statistics
+    found = []
+    for g in range(meta.num_row_groups):
+        if tokens is not None:
+            end = stats(g + 1, "offset").min if g + 1 < meta.num_row_groups else tokens[1]
+            if stats(g, "offset").min >= tokens[1] or (g + 1 < meta.num_row_groups and end <= tokens[0]):
+                continue
+        if doc_ids is not None and (not (s := stats(g, "doc_id")).has_min_max or s.max < doc_ids[0] or s.min > doc_ids[1]):
+            continue
+        found.append(g)
+    return found
+
+
+def _groups(batches, columns, tokens=None, doc_ids=None) -> Iterator[tuple[int, pa.RecordBatch]]:
     for batch in batches:
         for path, start in zip(batch.column("path").to_pylist(), batch.column("start").to_pylist(), strict=True):
             fs, name = filesystem(path)
             with fs.open_input_file(name) as f:
-                for found in pq.ParquetFile(f).iter_batches(2_000, columns=list(columns)):
-                    yield path, start, found
+                file = pq.ParquetFile(f)
+                inside = groups_in(file, tokens and (tokens[0] - start, tokens[1] - start), doc_ids)
+                for found in file.iter_batches(2_000, row_groups=inside, columns=list(columns)) if inside else ():
+                    yield start, found
 
 
 def report(docs: DataFrame, model: str) -> DataFrame:
     """Every document from the files: start, n_tokens and the checksum of its ids."""
 
     def run(batches):
-        for _, start, batch in _groups(batches, ("doc_id", "offset", "n_tokens", "ids")):
+        for start, batch in _groups(batches, ("doc_id", "offset", "n_tokens", "ids")):
             lists = batch.column("ids")
             flat, at = lists.values.to_numpy(), lists.offsets.to_numpy()
             crc = [zlib.crc32(flat[a:b].astype("<u4").tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)]

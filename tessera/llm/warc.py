@@ -1,9 +1,10 @@
 """WARC archives through a table of chunks.
 
-Spark cuts each payload into rows (record, chunk number, bytes) of at most CHUNK bytes; a writer task takes those rows in
-order and streams them into gzip members, one a record, and a reader task streams the members back into the same rows.
-Both carry the SHA-1 from chunk to chunk, so that neither holds a record. Of records with equal payloads of `least` bytes
-or more, that with the largest page_id is written as a response and the others as revisits of it.
+Where a page is read its payload is cut into rows (record, chunk number, bytes) of at most CHUNK bytes, each with the SHA-1
+and the size up to it; these rows are a table, and no later step holds a record. Last chunks alone, without their bytes,
+decide: of records with equal payloads of `least` bytes or more, that with the largest page_id is a response and the others
+are revisits of it. A writer task takes decisions and chunks in order and streams them into gzip members, one a record; a
+reader task streams the members back into the same rows.
 
 Each task writes files of its own under names that no other attempt uses; only those of the attempt that succeeded are in
 the manifest.
@@ -22,12 +23,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, new_path, written
+from .common import arrow, new_path, pieces, written
 from .token_output import filesystem
 
 CHUNK = 1 << 20
 #: Compressed bytes of a file at which the next is begun.
 FILE = 1 << 30
+#: Tasks among which the records of one payload are dealt.
+SALTS = 32
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -36,23 +39,48 @@ def _base32(sha1_hex: str) -> str:
     return base64.b32encode(bytes.fromhex(sha1_hex)).decode()
 
 
-def chunks(pages: DataFrame, least: int = 0) -> DataFrame:
-    """page_id, url, sha1, payload_bytes, keeper, chunk_no and data: a row for each chunk, in order within its record.
+def chunks(pages: DataFrame) -> DataFrame:
+    """rec, page_id, url, chunk_no, last, digest, payload_bytes and data: a row for each chunk; digest (hexadecimal SHA-1) and payload_bytes are those up to it.
 
-    Null html is an empty payload, of one empty chunk. Rows that repeat a page_id and payload are all responses or all
-    revisits. A revisit has one chunk without data.
+    Null html is an empty payload, of one empty chunk.
     """
-    p = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("body"))
-    p = p.withColumn("sha1", F.sha1("body")).withColumn("payload_bytes", F.octet_length("body").cast("long"))
+    names = ["rec", "page_id", "url", "chunk_no", "last", "digest", "payload_bytes", "data"]
+    types = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.bool_(), pa.string(), pa.int64(), pa.binary()]
+
+    def rows(batch):
+        for rec, page_id, url, html in zip(*(batch.column(c) for c in ("rec", "page_id", "url", "html")), strict=True):
+            body = memoryview(html.as_buffer() or b"") if html.is_valid else memoryview(b"")
+            sha, count = hashlib.sha1(), max(1, -(-len(body) // CHUNK))
+            for k in range(count):
+                data = body[k * CHUNK : (k + 1) * CHUNK]
+                sha.update(data)
+                yield rec.as_py(), page_id.as_py(), url.as_py() if k == count - 1 else None, k, k == count - 1, sha.hexdigest(), min(len(body), (k + 1) * CHUNK), bytes(data)
+
+    def run(batches):
+        for batch in pieces(batches, column="html"):
+            held, size = [], 0
+            for r in rows(batch):
+                held.append(r)
+                size += len(r[-1]) + 200
+                if size >= 4 * CHUNK:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names)
+                    held, size = [], 0
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names)
+
+    read = pages.select(F.monotonically_increasing_id().alias("rec"), F.col("page_id").cast("long"), "url", "html")
+    return arrow(read, run, "rec long, page_id long, url string, chunk_no int, last boolean, digest string, payload_bytes long, data binary")
+
+
+def decided(table: DataFrame, least: int = 0) -> DataFrame:
+    """rec, page_id, url, digest, payload_bytes and keeper, the response's page_id where the record is a revisit."""
+    heads = table.filter("last").select("rec", "page_id", "url", "digest", "payload_bytes")
     # Combined before the shuffle: a payload that a third of all pages share is one row for each task.
-    keeper = p.groupBy("sha1", "payload_bytes").agg(F.max("page_id").alias("keeper"))
-    p = p.join(keeper, ["sha1", "payload_bytes"])
-    revisit = (F.col("payload_bytes") >= least) & (F.coalesce("page_id", F.lit(-1)) != F.col("keeper"))
-    p = p.withColumn("keeper", F.when(revisit, F.col("keeper")))
-    p = p.withColumn("last", F.when(F.col("keeper").isNotNull() | (F.col("payload_bytes") == 0), 0).otherwise(F.floor((F.col("payload_bytes") - 1) / CHUNK)).cast("int"))
-    p = p.select("*", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("chunk_no"))
-    data = F.when(F.col("keeper").isNull(), F.expr(f"substring(body, chunk_no * {CHUNK} + 1, {CHUNK})")).otherwise(F.lit(b""))
-    return p.select("page_id", "url", "sha1", "payload_bytes", "keeper", "last", "chunk_no", data.alias("data"))
+    shared = heads.filter(F.col("payload_bytes") >= least).groupBy("digest", "payload_bytes").agg(F.max("page_id").alias("keeper"), F.count("*").alias("k")).filter("k > 1").drop("k")
+    # The records of one payload are dealt to SALTS tasks.
+    shared = shared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    joined = heads.withColumn("salt", F.pmod(F.hash("rec"), F.lit(SALTS))).join(shared, ["digest", "payload_bytes", "salt"], "left")
+    return joined.select("rec", "page_id", "url", "digest", "payload_bytes", F.when(~F.col("page_id").eqNullSafe(F.col("keeper")), F.col("keeper")).alias("keeper"))
 
 
 def _head(page_id, url, sha1, payload_bytes, keeper, date) -> bytes:
@@ -68,12 +96,16 @@ def _head(page_id, url, sha1, payload_bytes, keeper, date) -> bytes:
 
 
 def write(pages: DataFrame, folder: str, least: int = 0, date: str = DATE) -> DataFrame:
-    """Writes a record for each row of pages (page_id, url, html) under `folder`; returns the manifest: path, n_records, n_bytes."""
+    """Writes a record for each row of pages (page_id, url, html) under `folder`; returns the manifest: path, n_records, n_bytes.
+
+    Null html is an empty payload. Rows that repeat a page_id and payload are all responses or all revisits. Other columns
+    aren't read; an empty table gives no file.
+    """
 
     def run(batches):
         fs, place = filesystem(folder)
         fs.create_dir(place, recursive=True)
-        out = gz = sha = path = None
+        out = gz = sha = path = head = None
         done, records, size = [], 0, 0
 
         def put(data: bytes) -> int:
@@ -82,18 +114,19 @@ def write(pages: DataFrame, folder: str, least: int = 0, date: str = DATE) -> Da
             return len(data)
 
         for batch in batches:
-            for page_id, url, sha1, n, keeper, last, k, data in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for _, k, page_id, url, digest, n, keeper, last, data in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if out is None:
                     path, records, size = f"{place}/part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz", 0, 0
                     out = fs.open_output_stream(path)
-                if k == 0:
-                    gz, sha = zlib.compressobj(1, zlib.DEFLATED, 31), hashlib.sha1()
-                    size += put(gz.compress(_head(page_id, url, sha1, n, keeper, date)))
-                sha.update(data)
-                size += put(gz.compress(data))
-                if k == last:
-                    if keeper is None and sha.hexdigest() != sha1:
-                        raise ValueError(f"record {page_id}: its chunks don't give its digest")
+                if k < 0:  # the decision stands before the record's chunks
+                    head, gz, sha = (page_id, digest, keeper), zlib.compressobj(1, zlib.DEFLATED, 31), hashlib.sha1()
+                    size += put(gz.compress(_head(page_id, url, digest, n, keeper, date)))
+                elif head[2] is None:
+                    sha.update(data)
+                    size += put(gz.compress(data))
+                if last:
+                    if head[2] is None and sha.hexdigest() != head[1]:
+                        raise ValueError(f"record {head[0]}: its chunks don't give its digest")
                     size += put(gz.compress(b"\r\n\r\n")) + put(gz.flush())
                     records += 1
                     if size >= FILE:
@@ -106,7 +139,13 @@ def write(pages: DataFrame, folder: str, least: int = 0, date: str = DATE) -> Da
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*done, strict=True)], ["path", "n_records", "n_bytes"])
 
-    return written(arrow(chunks(pages, least), run, "path string, n_records long, n_bytes long"), "warc-manifest")
+    spark = pages.sparkSession
+    table = written(chunks(pages), "warc-chunks")
+    heads = decided(table, least).select("rec", F.lit(-1).alias("chunk_no"), "page_id", "url", "digest", "payload_bytes", "keeper", F.lit(False).alias("last"), F.lit(None).cast("binary").alias("data"))
+    rows = table.select("rec", "chunk_no", *[F.lit(None).cast(t).alias(c) for c, t in (("page_id", "long"), ("url", "string"), ("digest", "string"), ("payload_bytes", "long"), ("keeper", "long"))], "last", "data")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = heads.unionByName(rows).repartition(parts, "rec").sortWithinPartitions("rec", "chunk_no")
+    return written(arrow(ordered, run, "path string, n_records long, n_bytes long"), "warc-manifest")
 
 
 class _Stream:
@@ -158,7 +197,7 @@ def _page(uri: str | None) -> int | None:
 
 
 def _records(f) -> Iterator[tuple]:
-    """(page_id, type, refers_to, payload bytes so far, digest so far or None, chunk number, data, last) of every chunk."""
+    """(page_id, type, refers_to, payload bytes so far, digest so far, chunk number, data, last) of every chunk; a revisit has the response's."""
     s = _Stream(f)
     while (head := s.until(b"\r\n\r\n")) is not None:
         h = _fields(head)
@@ -174,7 +213,7 @@ def _records(f) -> Iterator[tuple]:
             sha.update(data)
             n += len(data)
             done = n == rest
-            yield page, kind, refers, n, _base32(sha.hexdigest()) if done else None, k, data, done
+            yield page, kind, refers, n, _base32(sha.hexdigest()), k, data, done
             k += 1
         if kind == "response" and _base32(sha.hexdigest()) != digest:
             raise ValueError(f"record {page}: its payload doesn't give its digest")
@@ -183,8 +222,7 @@ def _records(f) -> Iterator[tuple]:
 
 
 def read(manifest: DataFrame, data: bool = True) -> DataFrame:
-    """The archives' chunk rows: page_id, record_type, refers_to, payload_bytes and payload_digest up to this chunk (the digest
-    on the last), chunk_no, data and last. Without `data`, the last rows alone and no payload leaves its task."""
+    """The archives' chunk rows: page_id, record_type, refers_to, payload_bytes and payload_digest up to this chunk, chunk_no, data and last. Without `data`, the last rows alone and no payload leaves its task."""
     parts = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     names = ["page_id", "record_type", "refers_to", "payload_bytes", "payload_digest", "chunk_no", "data", "last"]
     types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.binary(), pa.bool_()]

@@ -16,7 +16,7 @@ import xxhash
 from tokenizers import Tokenizer
 
 from tessera.llm import bpe, decontaminate, language_id, line_dedup, quality, secret_scan, simhash, suffix_dedup, token_output, warc
-from tessera.llm.common import new_path
+from tessera.llm.common import new_path, sampled
 
 RND = random.Random(5)
 VOCAB = [a + b for a in "lo ne ra ti mus".split() for b in "ka dor fi shen".split()]
@@ -114,11 +114,7 @@ def test_decontamination(docs, none):
     want = sorted([(i, *brute(t)) for i, t in ODD], key=repr)
     cols = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     assert rows(decontaminate.report(docs, bench), *cols) == want
-    decontaminate.ITEMS_PER_BLOCK = 2
-    try:
-        assert rows(decontaminate.report(docs, bench), *cols) == want
-    finally:
-        decontaminate.ITEMS_PER_BLOCK = 20_000
+    assert rows(decontaminate.report(docs, bench, nbytes=40), *cols) == want  # blocks of one or two items, written between passes
     kept = decontaminate.drop_contaminated(docs, bench)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(x[0] for x in want if not x[5])
     assert decontaminate.report(none, bench).count() == 0 and not any(r.contaminated for r in decontaminate.report(docs, bench.limit(0)).collect())
@@ -346,6 +342,26 @@ def test_bpe(docs, none):
     assert bpe.encode_and_decode(none, model).count() == 0
 
 
+def test_bpe_spans():
+    """Tokens' characters against a decoder that reads one byte at a time."""
+    ranks, ref = tiktoken_encoding()
+    model = bpe.model_of_ranks(ranks, P.PATTERN)
+    table = bpe.id_bytes(model)
+    lengths = np.array([len(b) for b in table])
+    split = 0
+    for text in ("plain words, 12", "é\U0001f600 ñandú — ß 漢字かな \U0001f9d1\u200d\U0001f680", "a", "\u0e01\u0e33\U00010348"):
+        raw, ids = text.encode(), np.array(ref.encode_ordinary(text))
+        owner = [k for k, c in enumerate(text) for _ in c.encode()]
+        first, past = bpe.spans(ids, lengths, raw)
+        at = 0
+        for k, a, b in zip(ids.tolist(), first.tolist(), past.tolist(), strict=True):
+            assert (a, b) == (owner[at], owner[at + lengths[k] - 1] + 1)
+            split += bool(at) and owner[at] == owner[at - 1]
+            at += lengths[k]
+        assert at == len(raw)
+    assert split > 0
+
+
 def test_token_output(docs, none):
     path = P.path("byte_bpe_50k.json")
     with open(path) as f:
@@ -364,6 +380,31 @@ def test_token_output(docs, none):
     assert token_output.report(none, model).count() == 0
 
 
+def test_token_output_ranges(spark, tmp_path, monkeypatch):
+    """Reads by token range and by doc_id give what a filter gives, and leave the other files and row groups alone."""
+    with open(P.path("byte_bpe_50k.json")) as f:
+        model = f.read()
+    docs = spark.createDataFrame([(i, prose(30, i)) for i in range(400)], "doc_id long, text string")
+    manifest = token_output.write(docs, model, str(tmp_path), row_group=500, file=5_000)
+    whole = {r.doc_id: (r.start, r.n_tokens, list(r.ids)) for r in token_output.read(manifest).collect()}
+    total = sum(n for _, n, _ in whole.values())
+    assert len(whole) == 400 and manifest.count() > 4
+    for a, b in ((0, 1), (total // 3, total // 3 + 700), (total - 1, total), (total, total + 5), (0, total)):
+        got = {r.doc_id: (r.start, list(r.ids)) for r in token_output.read(manifest, ("doc_id", "ids"), tokens=(a, b)).withColumnRenamed("start", "start").collect()}
+        assert set(got) == {i for i, (s, n, _) in whole.items() if s < b and s + n > a}
+        assert all(got[i] == (whole[i][0], whole[i][2]) for i in got)
+    got = {r.doc_id: r.n_tokens for r in token_output.read(manifest, ("doc_id", "n_tokens"), doc_ids=(100, 120)).collect()}
+    assert got == {i: whole[i][1] for i in range(100, 121)}
+    import pyarrow.parquet as pq
+
+    one = manifest.filter("first_doc <= 100 AND last_doc >= 100").first()
+    file = pq.ParquetFile(one.path)
+    every, some = token_output.groups_in(file, None, None), token_output.groups_in(file, None, (100, 100))
+    assert len(every) > 4 and len(some) == 1 and len(token_output.groups_in(file, (0, 1), None)) == 1
+    ids = file.metadata.row_group(0).column(3)
+    assert "RLE_DICTIONARY" in ids.encodings and ids.has_offset_index and "DELTA_BINARY_PACKED" in file.metadata.row_group(0).column(0).encodings
+
+
 def test_warc(spark):
     pages = [(1, "http://a/1", "same"), (2, "http://a/2", "same"), (3, None, None), (4, "u\r\nX: y", ""), (5, "u", "é" * 900_000), (6, "u", "é" * 900_000), (7, "u", "WARC/1.1\r\n\r\n" * 3)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
@@ -374,8 +415,15 @@ def test_warc(spark):
             top = max(j for j, _, g in pages if (g or "").encode() == b) if len(b) >= least else i
             want.append((i, len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), "response" if top == i else "revisit", None if top == i else top))
         assert rows(warc.report(df, least), "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to") == sorted(want, key=repr)
+    odd = [(None, "u", "same"), (None, None, None), (8, "u", "twice"), (8, "u", "twice"), (9, "u", "twice")]
+    got = rows(warc.report(spark.createDataFrame(odd, "page_id long, url string, html string").selectExpr("*", "'x' AS rec", "1 AS digest")), "page_id", "record_type", "refers_to")
+    assert got == sorted([(None, "response", None), (None, "response", None), (8, "revisit", 9), (8, "revisit", 9), (9, "response", None)], key=repr)
+    table = warc.chunks(df).filter("page_id = 5").orderBy("chunk_no").collect()
+    body = ("é" * 900_000).encode()
+    assert [(c.chunk_no, c.payload_bytes, c.digest) for c in table] == [(0, 1 << 20, hashlib.sha1(body[: 1 << 20]).hexdigest()), (1, len(body), hashlib.sha1(body).hexdigest())]
     manifest = warc.write(df, new_path(spark, "w"))
     chunks = warc.read(manifest).filter("page_id = 6").orderBy("chunk_no").collect()
+    assert [base64.b32decode(c.payload_digest).hex() for c in chunks] == [c.digest for c in table]
     assert len(chunks) == 2 and b"".join(bytes(c.data) for c in chunks) == ("é" * 900_000).encode() and [c.last for c in chunks] == [False, True]
     assert warc.report(df.limit(0)).count() == 0
 
@@ -468,6 +516,12 @@ def test_language_id(spark, none):
             assert got[i].lang_pred == (lang or "de")
         else:
             assert got[i].lang_pred == "und"
+    assert all(got[i].accepted <= (got[i].lang_pred != "und") for i, *_ in docs)
+    clear = [got[i] for i, t, lang in docs if t and lang and i < 900]
+    assert sum(r.accepted for r in clear) >= 0.9 * len(clear)
+    mixed = spark.createDataFrame([(1, "zq xw kj vv pq qx", None), (2, "der und nicht straße über gehen zwischen der und", None)], "doc_id long, text string, lang string")
+    shown = {r.doc_id: r for r in language_id.identify(mixed, language_id.train(df)).collect()}
+    assert shown[2].score > shown[1].score
     assert language_id.report(none).count() == 0
     assert {r.lang_pred for r in language_id.report(df.withColumn("lang", df.lang.substr(0, 0)).filter("lang = 'x' OR doc_id > 899").selectExpr("doc_id", "text", "CAST(NULL AS STRING) AS lang")).collect()} == {"und"}
 
@@ -489,3 +543,29 @@ def test_sql(spark, name):
     found = con.execute(queries.oracle_sql()[name])
     names = [c[0] for c in found.description]
     assert rows(queries.queries()[name](spark, d), *names) == sorted(found.fetchall(), key=repr)
+
+
+def test_sampled(spark):
+    """n rows by the hash of the key, whatever the partitions; all rows where there are no more."""
+    df = spark.range(20_000).selectExpr("id AS doc_id", "id % 7 AS x").repartition(16)
+    want = df.selectExpr("xxhash64(doc_id) AS h", "doc_id").orderBy("h").limit(300).select("doc_id")
+    got = sampled(df, 300, "doc_id", "x").select("doc_id")
+    assert sorted(r[0] for r in got.collect()) == sorted(r[0] for r in want.collect())
+    assert sampled(df, 50_000, "doc_id").count() == 20_000 and sampled(df.limit(0), 5, "doc_id").count() == 0
+    assert sampled(df.withColumn("doc_id", df.x), 300, "doc_id").count() == 300  # few keys that many rows share
+
+
+def test_secret_scan_held_out():
+    """Learnt from half of the labelled values, the formats find the other half and few ordinary tokens."""
+    r = random.Random(8)
+    draw = lambda alphabet, sizes: "".join(r.choice(alphabet) for _ in range(r.choice(sizes)))
+    kinds = {
+        "hex": [draw("0123456789abcdef", (32, 40)) for _ in range(160)], "access": ["AKIA" + draw("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", (16,)) for _ in range(160)],
+        "assign": [draw("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", (24, 28)) for _ in range(160)],
+    }
+    plain = [draw(VOCAB, (2, 3)) for _ in range(300)] + [f"mail{r.randrange(100)}.example.com" for _ in range(60)] + [f"20{r.randrange(10, 30)}-{r.randrange(1, 13):02}-{r.randrange(1, 29):02}" for _ in range(60)]
+    plain += [f"{draw(VOCAB, (2,))}.{r.randrange(100)}" for _ in range(80)]
+    grammar = secret_scan.Grammar({k: v[:80] for k, v in kinds.items()}, plain[::2])
+    for k, v in kinds.items():
+        assert sum(map(grammar.accepts, v[80:])) >= 0.9 * 80, k
+    assert sum(map(grammar.accepts, set(plain[1::2]) - set(plain[::2]))) <= 2
