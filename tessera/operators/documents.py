@@ -68,3 +68,21 @@ def similarity(a: DataFrame, b: DataFrame, size: int = 3) -> DataFrame:
     left = a.select("id", shingles(words(F.col("text")), size).alias("_a"))
     right = b.select("id", shingles(words(F.col("text")), size).alias("_b"))
     return left.join(right, "id").select("id", jaccard(F.col("_a"), F.col("_b")).alias("similarity"))
+
+
+def integer_shares(rows: DataFrame, group: str, order: str) -> DataFrame:
+    """Of each value the whole percent of its group's total, one more for the largest remainders until they add to 100."""
+    w = Window.partitionBy(group)
+    total = F.sum("value").over(w)
+    x = rows.withColumn("_base", F.floor(F.col("value") * 100 / total)).withColumn("_base", F.expr("value * 100 div sum(value) OVER (PARTITION BY " + group + ")")).withColumn("_rest", (F.col("value") * 100) % total)
+    x = x.withColumn("_place", F.row_number().over(w.orderBy(F.desc("_rest"), order))).withColumn("_left", 100 - F.sum("_base").over(w))
+    return x.select(group, order, (F.col("_base") + (F.col("_place") <= F.col("_left")).cast("long")).alias("share"))
+
+
+def fitted(docs: DataFrame, group: str, order: str, size: str, room: int) -> DataFrame:
+    """The first texts of a group until its room is full, with how much of each is taken.
+
+    Sizes are summed, not texts; a group's rows stand in one window of two numbers a row.
+    """
+    before = F.coalesce(F.sum(size).over(Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return docs.withColumn("_before", before).filter(F.col("_before") < room).select(order, group, F.least(F.col(size), room - F.col("_before")).alias("taken"))

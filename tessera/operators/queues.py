@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.expr import day_start
+
 #: Seconds after which a row goes before all that are younger, and rows looked at in one dispatch.
 AGING, WINDOW, ATTEMPTS = 600, 200, 3
 
@@ -97,3 +99,95 @@ def canonical_responses(attempts: DataFrame, measures: tuple[str, ...]) -> DataF
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     filled = [F.first(m, ignorenulls=True).over(whole).alias(m) for m in measures]
     return attempts.select("response_key", F.row_number().over(w).alias("_n"), F.count("*").over(Window.partitionBy("response_key")).alias("seen"), *filled).filter("_n = 1").drop("_n")
+
+
+def places(queued: DataFrame, reading: DataFrame, window: int = WINDOW) -> DataFrame:
+    """How many finish before each of the first `window` queued rows: those being read and those before it."""
+    some = queued.orderBy("created_at", "id").limit(window).select("id", "account_id", "created_at")
+    busy = reading.agg(F.count("*").alias("_busy"))
+    at = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("created_at", "id")) - 1  # over `window` rows
+    return some.withColumn("_at", at).crossJoin(busy).select("id", "account_id", (F.col("_at") + F.col("_busy")).alias("place"))
+
+
+def estimates(placed: DataFrame, reading: DataFrame, now: Column, usual: float, allowed: float = 150.0) -> DataFrame:
+    """Seconds until the last of an account's queued rows is read.
+
+    What is left of a read is the usual time less what it has taken, but at least as long again as that, up to its end; one past
+    its time starts over when its lease lapses.
+    """
+    spent = F.greatest(F.lit(0.0), (F.unix_micros(now) - F.unix_micros("started_at")) / 1e6)
+    lapses = F.greatest(F.lit(0.0), (F.unix_micros("lease_expires_at") - F.unix_micros(now)) / 1e6)
+    left = F.when(spent < allowed, F.greatest(usual - spent, F.least(spent, allowed - spent))).otherwise(lapses + usual)
+    busy = reading.agg(F.count("*").alias("_n"), F.sum(left).alias("_left"))
+    last = placed.groupBy("account_id").agg(F.max("place").alias("_place")).crossJoin(busy)
+    seconds = F.ceil((F.col("_left") + usual * (F.col("_place") - F.col("_n") + 1)) / F.greatest(F.col("_n"), F.lit(1)))
+    return last.select("account_id", F.greatest(F.lit(1), seconds).cast("long").alias("seconds"))
+
+
+def final_rejection(attempts: DataFrame, best_effort: tuple[str, ...]) -> DataFrame:
+    """Why a job's newest attempt was rejected, or nothing; stages that may fail are left out."""
+    newest = attempts.filter(~F.col("stage").isin(*best_effort)).groupBy("job_id").agg(F.max_by(F.struct("status", "rejection"), F.struct("created_at", "no")).alias("_last"))
+    return newest.select("job_id", F.when(F.col("_last.status") == "rejected", F.col("_last.rejection")).otherwise("").alias("rejection"))
+
+
+def outdated(renders: DataFrame, before: Column) -> DataFrame:
+    """Renders unused since `before` that are not their draft's last. The last comes from an aggregate, so no draft is held."""
+    last = renders.groupBy("draft").agg(F.max("used_at").alias("_last"))
+    return renders.filter(F.col("used_at") <= before).join(last, "draft").filter(F.col("used_at") < F.col("_last")).drop("_last")
+
+
+def submissions(sent: DataFrame) -> DataFrame:
+    """The first submission of an account and key makes the job, repeats get it, and one with another request is a conflict."""
+    first = sent.groupBy("account_id", "key").agg(F.min_by(F.struct("id", "hash"), F.struct("created_at", "id")).alias("_f"))
+    return sent.join(first, ["account_id", "key"]).select("id", F.col("_f.id").alias("first_id"), (F.col("id") == F.col("_f.id")).alias("made"), (F.col("hash") != F.col("_f.hash")).alias("conflict"))
+
+
+def room(outstanding: DataFrame, limit: int, most: int = 50) -> DataFrame:
+    """Q3: how many more may be published."""
+    return outstanding.agg(F.greatest(F.lit(0), min(limit, most) - F.count("*")).cast("long").alias("room"))
+
+
+def delivery_states(attempts: DataFrame, most: int = 10) -> DataFrame:
+    """Q7 and Q8: delivered once any attempt was, else blocked, else failed after `most` attempts, else to be tried again."""
+    n = F.count("*")
+    state = F.when(F.some(F.col("outcome") == "delivered"), "delivered").when(F.some(F.col("outcome") == "blocked"), "blocked").when(n >= most, "failed").otherwise("retrying")
+    return attempts.groupBy("job_id").agg(state.alias("state"), n.alias("attempts"))
+
+
+def settled_once(events: DataFrame, terminal: tuple[str, ...]) -> DataFrame:
+    """Q12: the first terminal state of a job and how many later ones were ignored."""
+    return events.filter(F.col("status").isin(*terminal)).groupBy("job_id").agg(F.min_by("status", F.struct("created_at", "no")).alias("status"), (F.count("*") - 1).alias("ignored"))
+
+
+def lane_budgets(spent: DataFrame, now: Column, budget: Column) -> DataFrame:
+    """today's seconds of each account and kind against its budget; at the budget the lane is busy."""
+    today = spent.filter((F.col("started_at") >= day_start(now)) & (F.col("spent_seconds") > 0)).groupBy("account_id", "kind").agg(F.sum("spent_seconds").alias("seconds"))
+    return today.withColumn("budget", budget).withColumn("over", F.col("seconds") >= F.col("budget"))
+
+
+def pruned(tasks: DataFrame, now: Column, kept_days: int, row_days: int) -> DataFrame:
+    """Q22: finished tasks lose their payload, later their row; one that nobody took for that long goes as well."""
+    back = lambda n: now - F.make_dt_interval(F.lit(n))
+    stale = (F.col("completed_at") <= back(row_days)) | ((F.col("status") == "queued") & (F.col("created_at") <= back(row_days)))
+    gone = F.when(stale, "row").when(F.col("completed_at") <= back(kept_days), "payload")
+    return tasks.withColumn("gone", gone).filter("gone IS NOT NULL")
+
+
+def same_results(jobs: DataFrame, content: int, snapshot: int) -> DataFrame:
+    """Q27: whether a draft's last job already holds a request's content; one still to run must have been sent from the same save."""
+    last = jobs.filter(F.col("status").isin("succeeded", "queued", "running", "finalizing")).groupBy("account_id", "draft").agg(F.max_by(F.struct("id", "status", "content", "snapshot"), F.struct("created_at", "id")).alias("_l"))
+    same = F.when(F.col("_l.status") == "succeeded", F.col("_l.content") == content).otherwise(F.col("_l.snapshot") == snapshot)
+    return last.select("account_id", "draft", F.col("_l.id").alias("last_id"), same.alias("same"))
+
+
+def rate_limited(requests: DataFrame, seconds: int, most: int) -> DataFrame:
+    """a request is refused once its key has had `most` in the same fixed window; windows start at multiples of their length."""
+    w = Window.partitionBy("key", F.floor(F.unix_timestamp("at") / seconds)).orderBy("at", "id")
+    return requests.select("id", (F.row_number().over(w) > most).alias("refused"))
+
+
+def unreferenced(keys: DataFrame, *used: DataFrame) -> DataFrame:
+    """Stored keys that no record uses. Each of `used` has a column key; none of them is made distinct first, as an anti join needs no such thing."""
+    for one in used:
+        keys = keys.join(one, "key", "left_anti")
+    return keys

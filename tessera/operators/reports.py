@@ -28,7 +28,7 @@ def totals(accounts: DataFrame, jobs: DataFrame, f: Filters) -> DataFrame:
         F.count_if(F.col("status") == "failed").alias("failed"), F.count_if(F.col("status").isin("queued", "running", "finalizing")).alias("queued"),
     )
     grown = mine.filter(F.col("created_at") <= f.now() - F.expr("INTERVAL 7 DAYS"))
-    first = jobs.filter("status = 'succeeded'").groupBy("account_id").agg(F.min("completed_at").alias("first_success"))
+    first = jobs.filter("status = 'succeeded'").join(grown.select(F.col("id").alias("account_id")), "account_id", "left_semi").groupBy("account_id").agg(F.min("completed_at").alias("first_success"))
     active = grown.join(first, grown["id"] == first["account_id"], "left").agg(F.count("*").alias("mature_cohort"), F.count_if(F.col("first_success") <= F.col("created_at") + F.expr("INTERVAL 7 DAYS")).alias("activated_users"))
     new = mine.agg(F.count("*").alias("new_users"))
     row = new.crossJoin(ran).crossJoin(active)  # three single rows
@@ -93,7 +93,9 @@ def retention(accounts: DataFrame, events: DataFrame, f: Filters, kinds: tuple[s
     """
     cohort = f.accounts(accounts).select(F.col("id").alias("account_id"), "created_at")
     cohort = cohort.select("*", F.explode(F.array(*map(F.lit, days))).alias("day")).filter(F.timestamp_add("DAY", F.col("day") + 1, F.col("created_at")) <= f.now())
-    acts = events.filter(F.col("event_type").isin(*kinds) & (F.col("occurred_at") < f.now()))
+    # No account of the period is older than it, so no event that counts is before its first day and the least day.
+    earliest = F.timestamp_add("DAY", F.lit(min(days)), f.edges()[0])
+    acts = events.filter(F.col("event_type").isin(*kinds) & (F.col("occurred_at") < f.now()) & (F.col("occurred_at") >= earliest))
     acts = acts.filter(F.col("channel") == f.channel) if f.channel else acts
     acts = acts.select(F.col("account_id").alias("who"), "occurred_at")
     inside = (F.col("account_id") == F.col("who")) & (F.col("occurred_at") >= F.timestamp_add("DAY", F.col("day"), F.col("created_at"))) & (F.col("occurred_at") < F.timestamp_add("DAY", F.col("day") + 1, F.col("created_at")))
@@ -165,6 +167,18 @@ def categories(jobs: DataFrame, events: DataFrame, accounts: DataFrame, f: Filte
     return both.select("category", *zero).select("*", rate(F.col("failed"), F.col("succeeded") + F.col("failed")).alias("failure_rate"))
 
 
+#: The codes whose share is watched. A block's code names the block after a colon.
+CODES = ("facts_blanked", "template_fallback", "block_fallback", "repinned")
+
+
+def code_shares(jobs: DataFrame, accounts: DataFrame, f: Filters) -> DataFrame:
+    """Of a category's finished documents the share that carries each watched code; a code counts once a document."""
+    done = f.jobs(jobs, accounts).filter("category IS NOT NULL AND status = 'succeeded'")
+    named = F.array_distinct(F.transform("warnings", lambda w: F.substring_index(w, ":", 1)))
+    shares = [rate(F.count_if(F.array_contains("_named", c)), F.count("*")).alias(c) for c in CODES]
+    return done.withColumn("_named", named).groupBy("category").agg(F.count("*").alias("documents"), *shares)
+
+
 def usage_totals(attempts: DataFrame, f: Filters, measures: tuple[str, ...] = ("input_tokens", "output_tokens")) -> DataFrame:
     """R14 in one row: an unknown count stays null and is counted as unknown; without responses a sum is 0."""
     rows = attempts.filter(f.during("created_at"))
@@ -193,7 +207,7 @@ def finance(accounts: DataFrame, payments: DataFrame, refunds: DataFrame, period
     back = refunds.filter("status = 'confirmed'").filter(f.during("confirmed_at")).join(every.select(F.col("id").alias("payment_id")), "payment_id", "left_semi").agg(F.coalesce(F.sum("amount"), F.lit(0)).alias("refunds"))
     first = every.groupBy("account_id").agg(F.min("occurred_at").alias("first")).filter((F.col("first") >= start) & (F.col("first") < end)).agg(F.count("*").alias("first_time"))
     now = f.now()
-    on = periods.filter((F.col("starts_at") <= now) & (F.col("ends_at") > now) & (F.col("revoked_at").isNull() | (F.col("revoked_at") > now)))
+    on = periods.filter("provider != 'referral'").filter((F.col("starts_at") <= now) & (F.col("ends_at") > now) & (F.col("revoked_at").isNull() | (F.col("revoked_at") > now)))
     paid = on.join(who, "account_id", "left_semi").agg(F.count_distinct("account_id").alias("paid"))
     return got.crossJoin(back).crossJoin(first).crossJoin(paid).select("gross", "refunds", (F.col("gross") - F.col("refunds")).alias("net"), "payers", "paid", "first_time")
 
@@ -201,8 +215,9 @@ def finance(accounts: DataFrame, payments: DataFrame, refunds: DataFrame, period
 def today(accounts: DataFrame, jobs: DataFrame, payments: DataFrame, f: Filters, day: str) -> DataFrame:
     """A day beside the day before, in one scan of each table."""
     def per_day(rows, ts, *aggs):
-        d = local_day(F.col(ts), f.timezone)
-        return rows.withColumn("date", d).filter(F.col("date").between(F.date_sub(F.lit(day).cast("date"), 1), F.lit(day).cast("date"))).groupBy("date").agg(*aggs)
+        # The two days' edges as instants, so that the filter reaches the scan.
+        start, end = (F.to_utc_timestamp(F.date_add(F.lit(day).cast("date"), k).cast("timestamp"), f.timezone) for k in (-1, 1))
+        return rows.filter((F.col(ts) >= start) & (F.col(ts) < end)).groupBy(local_day(F.col(ts), f.timezone).alias("date")).agg(*aggs)
 
     mine = accounts.filter(F.col("is_test") == f.is_test)
     ours = jobs.join(mine.select(F.col("id").alias("account_id")), "account_id", "left_semi")
@@ -222,3 +237,77 @@ def campaign(recipients: DataFrame) -> DataFrame:
     )
     done = F.col("delivered") + F.col("failed") + F.col("blocked")
     return rows.select("*", share(F.col("viewed"), F.col("delivered")).alias("viewed_share"), share(done + F.col("skipped"), F.col("audience")).alias("progress"))
+
+
+def saved_views(recipients: DataFrame) -> DataFrame:
+    """How many of a post's people each saved view shows."""
+    unseen = (F.col("status") == "delivered") & F.col("viewed_at").isNull()
+    return recipients.filter("NOT is_test").groupBy("post_id").agg(F.count_if(F.col("viewed_at").isNotNull()).alias("viewed"), F.count_if(unseen).alias("not_viewed"), F.count_if(F.col("status").isin("failed", "blocked", "skipped")).alias("not_reached"))
+
+
+def campaign_list(posts: DataFrame, recipients: DataFrame, page: int = 1, size: int = 30, skip: int = 0, title: int = 80) -> DataFrame:
+    """A page of posts, the newest first, with how many got and saw each. Only the page's posts are joined."""
+    shown = posts.orderBy(F.desc("created_at"), "id").offset((page - 1) * size + skip).limit(size)
+    counts = recipients.filter("NOT is_test").groupBy("post_id").agg(F.count_if(F.col("status") == "delivered").alias("delivered"), F.count_if(F.col("viewed_at").isNotNull()).alias("viewed"))
+    line = F.trim(F.regexp_replace("text", r"\s+", " "))
+    cut = F.when(F.length(line) > title, F.concat(F.rtrim(F.substring(line, 1, title)), F.lit("…"))).otherwise(line)
+    return shown.join(counts, F.col("id") == F.col("post_id"), "left").select("id", cut.alias("title"), F.coalesce("delivered", F.lit(0)).alias("delivered"), F.coalesce("viewed", F.lit(0)).alias("viewed"))
+
+
+def screen_plans(events: DataFrame, f: Filters, kind: str = "view") -> DataFrame:
+    """R11 by plan: free, plus, premium, then any other by name."""
+    rows = f.events(events).filter(F.col("event_type") == kind).groupBy(F.col("plan_at_event").alias("plan")).agg(F.count("*").alias("views"), F.count_distinct("account_id").alias("people"))
+    rank = F.when(F.col("plan") == "free", 0).when(F.col("plan") == "plus", 1).when(F.col("plan") == "premium", 2).otherwise(3)
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(rank, "plan")))  # a row a plan
+
+
+def screen_days(events: DataFrame, f: Filters, kind: str = "view") -> DataFrame:
+    """R11 by day, zero-filled, with a height relative to the day of most views."""
+    seen = f.events(events).filter(F.col("event_type") == kind)
+    counts = seen.groupBy(local_day(F.col("occurred_at"), f.timezone).alias("date")).agg(F.count("*").alias("_v"), F.count_distinct("account_id").alias("_p"))
+    days = f.spine(events.sparkSession).join(counts, "date", "left").select("date", F.coalesce("_v", F.lit(0)).alias("views"), F.coalesce("_p", F.lit(0)).alias("people"))
+    most = F.greatest(F.max("views").over(Window.partitionBy(F.lit(0))), F.lit(1))  # at most 366 rows
+    return days.withColumn("height", F.bround(100.0 * F.col("views") / most, 1))
+
+
+def named_accounts(typed: DataFrame, accounts: DataFrame) -> DataFrame:
+    """Whom each typed entry names. An id is exact; of several accounts with a name the newest is taken and the entry marked.
+
+    typed: pos, entry, kind. The accounts are cut down to those named before they are compared.
+    """
+    by_id = typed.filter("kind = 'id'").join(accounts.select("id", "created_at", F.col("telegram_user_id").cast("string").alias("entry")), "entry")
+    low = typed.filter("kind = 'name'").withColumn("_low", F.lower("entry"))
+    by_name = low.join(accounts.select("id", "created_at", F.lower("handle").alias("_low")), "_low").drop("_low")
+    best = by_id.unionByName(by_name).groupBy("pos").agg(F.max_by("id", F.struct("created_at", "id")).alias("account_id"), F.count("*").alias("_n"))
+    return typed.join(best, "pos", "left").select("pos", "entry", "account_id", "kind", ((F.col("kind") == "name") & (F.coalesce("_n", F.lit(0)) > 1)).alias("ambiguous"))
+
+
+def batch_outcomes(children: DataFrame) -> DataFrame:
+    """A run waits while a child does; then it has succeeded whole, in part, or failed. children: run, status."""
+    good, done = F.col("status").isin("succeeded", "no_op"), F.col("status").isin("succeeded", "no_op", "failed", "canceled", "expired")
+    return children.groupBy("run").agg(F.when(~F.every(done), "queued").when(F.every(good), "succeeded").when(F.some(good), "partial").otherwise("failed").alias("outcome"))
+
+
+def storage_totals(objects: DataFrame) -> DataFrame:
+    """Files and bytes in the bucket and those that wait. objects: remote, size."""
+    there = F.col("remote")
+    size = lambda on: F.coalesce(F.sum(F.when(on, F.col("size"))), F.lit(0))
+    return objects.agg(F.count_if(there).alias("remote_files"), size(there).alias("remote_bytes"), F.count_if(~there).alias("waiting_files"), size(~there).alias("waiting_bytes"))
+
+
+def practice(answers: DataFrame) -> DataFrame:
+    """Marks earned and possible, and the topics of wrong answers. answers: project, marks, topic, correct."""
+    return answers.groupBy("project").agg(F.coalesce(F.sum(F.when(F.col("correct"), F.col("marks"))), F.lit(0)).alias("score"), F.sum("marks").alias("max_score"), F.array_sort(F.collect_set(F.when(~F.col("correct"), F.col("topic")))).alias("weak"))
+
+
+def rejections(attempts: DataFrame, f: Filters) -> DataFrame:
+    """R14 by reason."""
+    return attempts.filter(f.during("created_at")).filter("status = 'rejected'").groupBy("rejection").agg(F.count("*").alias("responses"))
+
+
+def system_snapshot(files: DataFrame, jobs: DataFrame, accounts: DataFrame, f: Filters, now) -> DataFrame:
+    """Files kept and their bytes, those past their time, and jobs that wait to be sent out."""
+    who = accounts.filter(F.col("is_test") == f.is_test).select(F.col("id").alias("account_id"))
+    held = files.filter(~F.col("state").isin("deleted", "revoked")).join(who, "account_id", "left_semi")
+    row = held.agg(F.count("*").alias("stored_files"), F.coalesce(F.sum("size"), F.lit(0)).alias("storage"), F.count_if(F.col("expires_at") <= now).alias("expired_pending"))
+    return row.crossJoin(f.jobs(jobs, accounts).filter("status = 'queued'").agg(F.count("*").alias("outbox_pending")))  # two single rows

@@ -9,12 +9,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import lenient_date, month_start, percent_off, week_start
+from ..functions.expr import json_text, lenient_date, month_start, percent_off, week_start
 
 FREE = "free"
 RANK = {"free": 0, "plus": 1, "premium": 2}
 #: Friends that make a tier, most that count in one month, and days of a month earned.
 STEP, MONTHLY, MONTH_DAYS = 5, 5, 30
+#: Days of a bin in which moments and periods meet.
+BIN = 32
 
 
 def in_force(periods: DataFrame, at: Column) -> DataFrame:
@@ -34,11 +36,13 @@ def effective_plan(accounts: DataFrame, periods: DataFrame, at: Column) -> DataF
 def as_of(facts: DataFrame, periods: DataFrame, ts: str) -> DataFrame:
     """J10 for a moment of each row: the plan of the latest-ending period that holds it.
 
-    Facts and periods meet on the account and on the day a period touches, so that a busy account is dealt over its days.
+    Facts and periods meet on the account and on a bin of BIN days, about a period's length: a period touches two or three
+    bins, and a busy account is dealt over its bins.
     """
-    touched = periods.select("account_id", "plan", "starts_at", "ends_at", F.col("id").alias("_pid"), F.explode(F.sequence(F.to_date("starts_at"), F.to_date("ends_at"))).alias("_day"))
-    f = facts.withColumn("_day", F.to_date(ts))
-    best = f.join(touched, ["account_id", "_day"]).filter((F.col("starts_at") <= F.col(ts)) & (F.col("ends_at") > F.col(ts))).groupBy("id").agg(F.max_by("plan", F.struct("ends_at", "_pid")).alias("plan"))
+    bin_ = lambda c: F.floor(F.unix_date(F.to_date(c)) / BIN)
+    touched = periods.select("account_id", "plan", "starts_at", "ends_at", F.col("id").alias("_pid"), F.explode(F.sequence(bin_("starts_at"), bin_("ends_at"))).alias("_bin"))
+    f = facts.withColumn("_bin", bin_(ts))
+    best = f.join(touched, ["account_id", "_bin"]).filter((F.col("starts_at") <= F.col(ts)) & (F.col("ends_at") > F.col(ts))).groupBy("id").agg(F.max_by("plan", F.struct("ends_at", "_pid")).alias("plan"))
     return facts.join(best, "id", "left").withColumn("plan", F.coalesce("plan", F.lit(FREE)))
 
 
@@ -95,30 +99,50 @@ def progress(counted: DataFrame) -> DataFrame:
 
 
 def stacked(purchases: DataFrame) -> DataFrame:
-    """When each bought period starts. A plan of the same or a lower rank follows what is running, a higher one starts at once.
+    """When each bought period starts. It follows the account's latest-ending period if that still runs and its plan's rank is as high; else it starts at once.
 
-    purchases: account_id, id, plan, days, bought_at. A fold over one account's purchases.
+    purchases: account_id, id, plan, days, bought_at and, if there, revoked_at; a revoked period holds nothing up. Sorted rows
+    are folded, one latest end and rank at a time: no account is held.
     """
+    p = purchases if "revoked_at" in purchases.columns else purchases.withColumn("revoked_at", F.lit(None).cast("timestamp"))
+
     def fold(batches):
-        who, ends = (), {}  # no account yet; the latest end of each rank
+        who, last, rank = (), None, 0  # no account yet; its latest end and that period's rank
         for batch in batches:
             starts, stops = [], []
-            for account, plan, days, at in zip(*(batch.column(c).to_pylist() for c in ("account_id", "plan", "days", "bought_at")), strict=True):
+            for account, plan, days, at, holds in zip(*(batch.column(c).to_pylist() for c in ("account_id", "plan", "days", "bought_at", "holds")), strict=True):
                 if account != who:
-                    who, ends = account, {}
-                least = RANK.get(plan, 0)
-                start = max([at, *(end for rank, end in ends.items() if rank >= least)])
+                    who, last, rank = account, None, 0
+                mine = RANK.get(plan, 0)
+                start = last if last is not None and last > at and mine <= rank else at
                 end = start + timedelta(days=int(days))
-                ends[least] = max(end, ends.get(least, end))
+                if holds and (last is None or end >= last):
+                    last, rank = end, mine
                 starts.append(start)
                 stops.append(end)
             kind = batch.column("bought_at").type
             yield pa.RecordBatch.from_arrays([batch.column("account_id"), batch.column("id"), pa.array(starts, kind), pa.array(stops, kind)], ["account_id", "id", "starts_at", "ends_at"])
 
-    p = purchases.select(F.col("account_id").cast("long"), F.col("id").cast("long"), "plan", "days", F.col("bought_at").cast("timestamp"))
+    p = p.select(F.col("account_id").cast("long"), F.col("id").cast("long"), "plan", "days", F.col("bought_at").cast("timestamp"), F.col("revoked_at").isNull().alias("holds"))
     return p.repartition("account_id").sortWithinPartitions("account_id", "bought_at", "id").mapInArrow(fold, "account_id long, id long, starts_at timestamp, ends_at timestamp")
 
 
+def referral_standing(referrals: DataFrame, finished: DataFrame, at: Column) -> DataFrame:
+    """R25 whole: counted, this month's, whether the month is full, pending ones, and those that finished a task and wait.
+
+    referrals: inviter, invitee, status, counts (boolean), qualified_at. finished: account_id of those with a finished task.
+    """
+    start = month_start(at)
+    end = F.to_utc_timestamp(F.add_months(F.to_date(F.from_utc_timestamp(start, "Asia/Tashkent")), 1).cast("timestamp"), "Asia/Tashkent")
+    done = finished.select(F.col("account_id").alias("invitee")).distinct().withColumn("_done", F.lit(True))
+    counting = (F.col("status") == "qualified") & F.col("counts")
+    rows = referrals.join(done, "invitee", "left").groupBy("inviter").agg(
+        F.count_if(counting).alias("counted"), F.count_if(counting & (F.col("qualified_at") >= start) & (F.col("qualified_at") < end)).alias("this_month"),
+        F.count_if(F.col("status") == "pending").alias("pending"), F.count_if((F.col("status") == "pending") & F.coalesce("_done", F.lit(False))).alias("waiting"), F.count_if(F.col("status") == "qualified").alias("qualified"),
+    )
+    return rows.withColumn("month_full", F.col("this_month") >= MONTHLY)
+
+
 def price_at(plans: DataFrame, at: Column, zone: str = "Asia/Tashkent") -> DataFrame:
     """The price at a moment. plans: plan, price, reduced, last_day (text).
 
@@ -133,3 +157,25 @@ def price_at(plans: DataFrame, at: Column, zone: str = "Asia/Tashkent") -> DataF
 def days_bought(amount: Column, price: Column, days: int = 30) -> Column:
     """a month at least, and as many days as an overpayment pays for."""
     return F.greatest(F.lit(days), F.floor(days * amount / price)).cast("long")
+
+
+def _this_week(jobs: DataFrame, at: Column) -> DataFrame:
+    start = week_start(at)
+    return jobs.filter((F.col("created_at") >= start) & (F.col("created_at") < start + F.expr("INTERVAL 7 DAYS")) & ~F.col("status").isin("failed", "canceled", "expired", "no_op"))
+
+
+def ai_documents_week(jobs: DataFrame, at: Column) -> DataFrame:
+    """Documents of a week by account; an outline is a step to one, an edit counts with its file."""
+    p = F.col("parameters")
+    made = _this_week(jobs, at).filter((json_text(p, "stage", "") != "outline") & (json_text(p, "revision", "false") != "true"))
+    return made.groupBy("account_id").agg(F.count("*").alias("used"))
+
+
+def file_jobs_week(jobs: DataFrame, waiting: DataFrame, at: Column) -> DataFrame:
+    """File tasks of a week by account, a stored draft once however often it is sent, and the places that waiting batch items hold."""
+    p = F.col("parameters")
+    draft = F.struct(json_text(p, "editor_document_id").alias("e"), json_text(p, "generation_draft_id").alias("g"))
+    rows = _this_week(jobs, at).withColumn("_draft", F.when(draft["e"].isNotNull() | draft["g"].isNotNull(), draft))
+    sent = rows.groupBy("account_id").agg((F.count_if(F.col("_draft").isNull()) + F.count_distinct("_draft")).alias("_sent"))
+    held = waiting.groupBy("account_id").agg(F.count("*").alias("_held"))
+    return sent.join(held, "account_id", "full_outer").select("account_id", (F.coalesce("_sent", F.lit(0)) + F.coalesce("_held", F.lit(0))).alias("used"))

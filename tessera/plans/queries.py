@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expr, text
 from ..operators import checks, documents, queues, reports, temporal
 from ..sources import views as v
 from ..streaming import events as streams
+from . import listings, registry, states, values  # noqa: F401  each registers its queries
 from .filters import Filters
+from .registry import oracle_sql, queries, query  # noqa: F401
 
 YEAR = Filters("1998-01-01", "1998-12-31")
 DAYS = Filters("2024-01-05", "2024-01-25", as_of="2024-01-24 12:00:00")
@@ -30,29 +29,7 @@ _D = "occurred_at >= TIMESTAMP '2024-01-04 19:00:00' AND occurred_at < TIMESTAMP
 _NOW_D = "TIMESTAMP '2024-01-24 12:00:00'"
 _NOW_Y = "TIMESTAMP '1998-12-30 19:00:00'"
 _AT = "TIMESTAMP '1999-03-10 12:00:00'"
-_WITH = "WITH " + v.SQL
-
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def keep(f):
-        _QUERIES[name] = f
-        if sql is not None:
-            _SQL[name] = sql
-        return f
-
-    return keep
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
+_WITH = registry.WITH
 
 _OURJ = f"oj AS (SELECT j.* FROM jobs j WHERE {_Y} AND account_id IN (SELECT id FROM accounts WHERE NOT is_test))"
 _RATE = "CASE WHEN {1} > 0 THEN round_even(100.0::DOUBLE * {0} / {1}, 1) END"
@@ -162,14 +139,36 @@ def r12(spark, d):
     return reports.refusals(v.events(spark, d), DAYS)
 
 
-@query("r13_categories", _WITH + f""", {_OURJ}, made AS (SELECT CASE WHEN id % 4 <> 0 THEN (id % 120)::VARCHAR END AS category, count(*) AS attempts, count(*) FILTER (WHERE status = 'succeeded') AS succeeded, count(*) FILTER (WHERE status = 'failed') AS failed, count(DISTINCT account_id) AS users FROM oj WHERE id % 4 <> 0 GROUP BY 1),
-ch AS (SELECT coalesce(properties->>'$.k', 'unknown') AS category, count(*) AS chosen, count(DISTINCT account_id) AS choosers FROM ev WHERE occurred_at >= TIMESTAMP '2024-01-04 19:00:00' AND occurred_at < TIMESTAMP '2024-01-24 19:00:00' AND environment = 'production' AND event_type = 'click' GROUP BY 1)
+_CATEGORY_DAYS = "created_at + INTERVAL 26 YEAR >= TIMESTAMP '2024-01-04 19:00:00' AND created_at + INTERVAL 26 YEAR < TIMESTAMP '2024-01-24 19:00:00'"
+_MADE = f"cj AS (SELECT id, status, account_id, CASE WHEN id % 4 <> 0 THEN (id % 12)::VARCHAR END AS category FROM jobs WHERE {_CATEGORY_DAYS} AND account_id IN (SELECT id FROM accounts WHERE NOT is_test))"
+
+
+@query("r13_categories", _WITH + f""", {_MADE}, made AS (SELECT category, count(*) AS attempts, count(*) FILTER (WHERE status = 'succeeded') AS succeeded, count(*) FILTER (WHERE status = 'failed') AS failed, count(DISTINCT account_id) AS users FROM cj WHERE category IS NOT NULL GROUP BY 1),
+ch AS (SELECT coalesce(properties->>'$.k', 'unknown') AS category, count(*) AS chosen, count(DISTINCT account_id) AS choosers FROM ev WHERE {_D} AND environment = 'production' AND event_type = 'click' GROUP BY 1)
 SELECT category, coalesce(chosen, 0) AS chosen, coalesce(choosers, 0) AS choosers, coalesce(attempts, 0) AS attempts, coalesce(succeeded, 0) AS succeeded, coalesce(failed, 0) AS failed, coalesce(users, 0) AS users,
 CASE WHEN succeeded + failed > 0 THEN round_even(100.0::DOUBLE * failed / (succeeded + failed), 1) END AS failure_rate FROM made FULL JOIN ch USING (category)""")
 def r13(spark, d):
-    jobs = YEAR.jobs(v.jobs(spark, d), v.accounts(spark, d)).withColumn("category", F.when(F.col("id") % 4 != 0, (F.col("id") % 120).cast("string")))
-    made = jobs.withColumn("created_at", F.lit("2024-01-10 00:00:00").cast("timestamp"))  # both sides under one period
-    return reports.categories(made, v.events(spark, d), v.accounts(spark, d), DAYS)
+    return reports.categories(_made(spark, d), v.events(spark, d), v.accounts(spark, d), DAYS)
+
+
+def _made(spark, d):
+    """Jobs under the period of the events: 26 years later. Three in four have a category, and some carry codes."""
+    n = F.col("id")
+    codes = [F.when(n % k == 0, c) for k, c in ((3, "facts_blanked"), (5, "block_fallback:table"), (7, "template_fallback"), (11, "repinned"), (2, "other"))]
+    moved = F.col("created_at") + F.expr("INTERVAL 26 YEARS")
+    return v.jobs(spark, d).withColumn("created_at", moved).withColumn("category", F.when(n % 4 != 0, (n % 12).cast("string"))).withColumn("warnings", F.array_compact(F.array(*codes)))
+
+
+@query("r13_code_shares", _WITH + f""", {_MADE}, ok AS (SELECT * FROM cj WHERE category IS NOT NULL AND status = 'succeeded')
+SELECT category, count(*) AS documents, round_even(100.0::DOUBLE * count(*) FILTER (WHERE id % 3 = 0) / count(*), 1) AS facts_blanked, round_even(100.0::DOUBLE * count(*) FILTER (WHERE id % 7 = 0) / count(*), 1) AS template_fallback,
+round_even(100.0::DOUBLE * count(*) FILTER (WHERE id % 5 = 0) / count(*), 1) AS block_fallback, round_even(100.0::DOUBLE * count(*) FILTER (WHERE id % 11 = 0) / count(*), 1) AS repinned FROM ok GROUP BY 1""")
+def r13_codes(spark, d):
+    return reports.code_shares(_made(spark, d), v.accounts(spark, d), DAYS)
+
+
+@query("r13_share_of_all", _WITH + f""", {_MADE} SELECT count(category) AS made, count(*) AS every, CASE WHEN count(*) > 0 THEN round_even(100.0::DOUBLE * count(category) / count(*), 1) END AS share FROM cj""")
+def r13_share(spark, d):
+    return DAYS.jobs(_made(spark, d), v.accounts(spark, d)).agg(F.count("category").alias("made"), F.count("*").alias("every")).select("*", expr.rate(F.col("made"), F.col("every")).alias("share"))
 
 
 @query("r14_usage_totals", _WITH + f""" SELECT count(*) AS attempts, count(*) FILTER (WHERE duplicate_response) AS duplicates, count(*) FILTER (WHERE status IN ('failed', 'rejected')) AS failed, count(*) FILTER (WHERE NOT duplicate_response) AS responses,
@@ -192,7 +191,7 @@ _PY = _Y.replace("created_at", "{0}")
 g AS (SELECT coalesce(sum(amount), 0)::BIGINT AS gross, count(DISTINCT account_id) AS payers FROM e WHERE {_PY.format('occurred_at')}),
 b AS (SELECT coalesce(sum(amount), 0)::BIGINT AS refunds FROM ref WHERE status = 'confirmed' AND {_PY.format('confirmed_at')} AND payment_id IN (SELECT id FROM e)),
 f AS (SELECT count(*) AS first_time FROM (SELECT account_id, min(occurred_at) AS m FROM e GROUP BY 1) WHERE {_PY.format('m')}),
-p AS (SELECT count(DISTINCT account_id) AS paid FROM per WHERE starts_at <= {_NOW_Y} AND ends_at > {_NOW_Y} AND (revoked_at IS NULL OR revoked_at > {_NOW_Y}) AND account_id IN (SELECT id FROM who))
+p AS (SELECT count(DISTINCT account_id) AS paid FROM per WHERE provider <> 'referral' AND starts_at <= {_NOW_Y} AND ends_at > {_NOW_Y} AND (revoked_at IS NULL OR revoked_at > {_NOW_Y}) AND account_id IN (SELECT id FROM who))
 SELECT gross, refunds, gross - refunds AS net, payers, paid, first_time FROM g, b, f, p""")
 def r15(spark, d):
     return reports.finance(v.accounts(spark, d), v.payments(spark, d), v.refunds(spark, d), v.periods(spark, d), YEAR)
@@ -289,9 +288,13 @@ def w11(spark, d):
     return temporal.rewards(_counted(spark, d))
 
 
-@query("w12_period_stacking")
+@query("w12_period_stacking", "WITH RECURSIVE " + v.SQL + """, p AS (SELECT account_id, id, revoked_at IS NULL AS holds, CASE plan WHEN 'premium' THEN 2 WHEN 'plus' THEN 1 ELSE 0 END AS rk, starts_at AS bought, row_number() OVER (PARTITION BY account_id ORDER BY starts_at, id) AS n FROM per),
+s AS (SELECT account_id, id, n, bought AS starts_at, bought + INTERVAL 30 DAY AS ends_at, CASE WHEN holds THEN bought + INTERVAL 30 DAY END AS last_end, CASE WHEN holds THEN rk END AS last_rk FROM p WHERE n = 1
+UNION ALL SELECT x.account_id, x.id, x.n, x.at, x.at + INTERVAL 30 DAY, CASE WHEN x.holds AND (x.last_end IS NULL OR x.at + INTERVAL 30 DAY >= x.last_end) THEN x.at + INTERVAL 30 DAY ELSE x.last_end END, CASE WHEN x.holds AND (x.last_end IS NULL OR x.at + INTERVAL 30 DAY >= x.last_end) THEN x.rk ELSE x.last_rk END
+FROM (SELECT p.*, s.last_end, s.last_rk, CASE WHEN s.last_end > p.bought AND p.rk <= s.last_rk THEN s.last_end ELSE p.bought END AS at FROM s JOIN p ON p.account_id = s.account_id AND p.n = s.n + 1) x)
+SELECT account_id, id, starts_at, ends_at FROM s""")
 def w12(spark, d):
-    p = v.periods(spark, d).select("account_id", "id", "plan", F.lit(30).alias("days"), F.col("starts_at").alias("bought_at"))
+    p = v.periods(spark, d).select("account_id", "id", "plan", F.lit(30).alias("days"), F.col("starts_at").alias("bought_at"), "revoked_at")
     return temporal.stacked(p)
 
 
@@ -347,9 +350,12 @@ def s05(spark, d):
     return streams.once_a_day(v.events(spark, d)).select("event_type", "account_id", "day", F.lit(True).alias("kept"))
 
 
-@query("s06_debounced_taps")
+@query("s06_debounced_taps", "WITH RECURSIVE " + v.SQL + """, t AS (SELECT id, account_id, occurred_at, account_id || ':' || coalesce(properties->>'$.k', '') AS tap FROM ev WHERE event_type = 'view'), o AS (SELECT *, row_number() OVER (PARTITION BY tap ORDER BY occurred_at, id) AS n FROM t),
+k AS (SELECT tap, n, id, account_id, occurred_at, occurred_at AS last, true AS kept FROM o WHERE n = 1 UNION ALL SELECT o.tap, o.n, o.id, o.account_id, o.occurred_at, CASE WHEN o.occurred_at - k.last >= INTERVAL 3 DAY THEN o.occurred_at ELSE k.last END, o.occurred_at - k.last >= INTERVAL 3 DAY FROM k JOIN o ON o.tap = k.tap AND o.n = k.n + 1)
+SELECT id, tap, occurred_at FROM k WHERE kept""")
 def s06(spark, d):
-    return streams.debounced(v.events(spark, d).filter("event_type = 'view'"), 3600)
+    taps = v.events(spark, d).filter("event_type = 'view'")
+    return streams.debounced(taps.withColumn("tap", F.concat_ws(":", F.col("account_id").cast("string"), expr.json_text(F.col("properties"), "k", ""))), 3 * 86_400)
 
 
 @query("stream_hourly_counts", _WITH + " SELECT date_trunc('hour', occurred_at) AS hour, event_type, count(*) AS n, round(sum(value), 3) AS total FROM ev GROUP BY 1, 2")
@@ -432,9 +438,34 @@ def c02(spark, d):
     return checks.duplicates(v.read(spark, d, "lineitem"), "l_orderkey", "l_linenumber")
 
 
-@query("c09_token_breaks", _WITH + " SELECT job_id, no, input_tokens, output_tokens FROM att WHERE output_tokens > input_tokens * 2")
+_TOKENS = "tk AS (SELECT *, CASE WHEN no % 3 <> 0 THEN input_tokens + output_tokens + CASE WHEN job_id % 10 = 0 THEN 1 ELSE 0 END END AS total_tokens, CASE WHEN no % 2 = 0 THEN input_tokens - 5 END AS cached_input_tokens, CASE WHEN job_id % 2 = 0 THEN 7::BIGINT END AS cache_write_input_tokens, CASE WHEN job_id % 3 = 0 THEN 50::BIGINT END AS reasoning_output_tokens FROM att)"
+
+
+def _tokens(spark, d):
+    n, no = F.col("job_id"), F.col("no")
+    a = v.attempts(spark, d)
+    return a.select(
+        "*", F.when(no % 3 != 0, F.col("input_tokens") + F.col("output_tokens") + F.when(n % 10 == 0, 1).otherwise(0)).alias("total_tokens"), F.when(no % 2 == 0, F.col("input_tokens") - 5).alias("cached_input_tokens"),
+        F.when(n % 2 == 0, F.lit(7).cast("long")).alias("cache_write_input_tokens"), F.when(n % 3 == 0, F.lit(50).cast("long")).alias("reasoning_output_tokens"),
+    )
+
+
+@query("c09_token_breaks", _WITH + f""", {_TOKENS} SELECT job_id, no FROM tk WHERE coalesce(total_tokens <> input_tokens + output_tokens, false) OR coalesce(cached_input_tokens > input_tokens, false) OR coalesce(cache_write_input_tokens > input_tokens, false)
+OR coalesce(reasoning_output_tokens > output_tokens, false) OR coalesce(cached_input_tokens + cache_write_input_tokens > input_tokens, false) OR coalesce(cached_input_tokens < 0, false)""")
 def c09(spark, d):
-    return checks.breaks(v.attempts(spark, d), F.col("output_tokens") <= F.col("input_tokens") * 2).select("job_id", "no", "input_tokens", "output_tokens")
+    return checks.breaks(_tokens(spark, d), checks.tokens_hold()).select("job_id", "no")
+
+
+@query("f29_consistent_tokens", _WITH + f""", {_TOKENS}, s AS (SELECT job_id, no, input_tokens, output_tokens, coalesce(input_tokens + output_tokens, total_tokens) AS total_tokens, CASE WHEN cached_input_tokens BETWEEN 0 AND input_tokens THEN cached_input_tokens END AS c,
+CASE WHEN cache_write_input_tokens BETWEEN 0 AND input_tokens THEN cache_write_input_tokens END AS w, CASE WHEN reasoning_output_tokens BETWEEN 0 AND output_tokens THEN reasoning_output_tokens END AS reasoning_output_tokens FROM tk)
+SELECT job_id, no, total_tokens, CASE WHEN coalesce(c + w > input_tokens, false) THEN NULL ELSE c END AS cached_input_tokens, CASE WHEN coalesce(c + w > input_tokens, false) THEN NULL ELSE w END AS cache_write_input_tokens, reasoning_output_tokens FROM s""")
+def f29(spark, d):
+    return expr.consistent_tokens(_tokens(spark, d)).select("job_id", "no", "total_tokens", "cached_input_tokens", "cache_write_input_tokens", "reasoning_output_tokens")
+
+
+@query("r14_six_sums", _WITH + f""", {_TOKENS}, own AS (SELECT * FROM tk WHERE {_Y} AND NOT duplicate_response) SELECT (SELECT count(*) FROM tk WHERE {_Y}) AS attempts, (SELECT count(*) FROM tk WHERE {_Y} AND duplicate_response) AS duplicates, (SELECT count(*) FROM tk WHERE {_Y} AND status IN ('failed', 'rejected')) AS failed, count(*) AS responses, """ + ", ".join(f"CASE WHEN count(*) = 0 THEN 0 ELSE sum({m}) END::BIGINT AS {m}, count(*) FILTER (WHERE {m} IS NULL) AS {m}_unknown" for m in ("input_tokens", "output_tokens", "total_tokens", "cached_input_tokens", "cache_write_input_tokens", "reasoning_output_tokens")) + " FROM own")
+def r14_six(spark, d):
+    return reports.usage_totals(_tokens(spark, d), YEAR, ("input_tokens", "output_tokens", "total_tokens", "cached_input_tokens", "cache_write_input_tokens", "reasoning_output_tokens"))
 
 
 @query("c10_orphan_lines", "SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P') GROUP BY 1")

@@ -80,10 +80,25 @@ def refunds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def periods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A paid period of 30 days from each order; every thirteenth was revoked after 10."""
+    """A period of 30 days from each order; every thirteenth was revoked after 10, every ninth is a gift."""
     o = read(spark, sf_dir, "orders")
     ts = F.col("o_orderdate").cast("timestamp")
-    return o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("account_id"), F.when(F.col("o_orderpriority") < "3", "premium").otherwise("plus").alias("plan"), ts.alias("starts_at"), (ts + F.expr("INTERVAL 30 DAYS")).alias("ends_at"), F.when(F.col("o_orderkey") % 13 == 0, ts + F.expr("INTERVAL 10 DAYS")).alias("revoked_at"))
+    return o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("account_id"), F.when(F.col("o_orderpriority") < "3", "premium").otherwise("plus").alias("plan"), ts.alias("starts_at"), (ts + F.expr("INTERVAL 30 DAYS")).alias("ends_at"), F.when(F.col("o_orderkey") % 13 == 0, ts + F.expr("INTERVAL 10 DAYS")).alias("revoked_at"), F.when(F.col("o_orderkey") % 9 == 0, "referral").otherwise("manual").alias("provider"))
+
+
+#: The features that write documents.
+WRITERS = ("1-URGENT", "2-HIGH")
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs with their parameters as JSON; a key that a job doesn't have is absent."""
+    n, a = F.col("id"), F.col("account_id")
+    text = lambda on, x: F.when(on, x.cast("string"))
+    keys = F.struct(
+        text(n % 4 != 0, n % 120).alias("category"), F.when(n % 5 == 0, "outline").alias("stage"), F.when(n % 7 == 0, F.lit(True)).alias("revision"), text(n % 7 == 0, a % 10).alias("root_draft_id"),
+        text(n % 3 == 0, a % 13).alias("generation_draft_id"), text(n % 8 == 0, a % 11).alias("editor_document_id"),
+    )
+    return jobs(spark, sf_dir).withColumn("parameters", F.to_json(keys))
 
 
 #: The same entities for the SQL that queries are held against.
@@ -103,5 +118,7 @@ att AS (SELECT l_orderkey AS job_id, l_linenumber AS no, ['alpha','beta'][(l_sup
 pay AS (SELECT o_orderkey AS id, o_custkey AS account_id, floor(o_totalprice)::BIGINT AS amount, CASE WHEN o_orderkey % 9 = 0 THEN 'referral' ELSE 'manual' END AS provider, o_orderdate::TIMESTAMP AS occurred_at FROM orders WHERE o_orderstatus = 'F'),
 ref AS (SELECT l_orderkey AS payment_id, floor(l_extendedprice)::BIGINT AS amount, CASE WHEN l_linenumber = 1 THEN 'requested' ELSE 'confirmed' END AS status, l_shipdate::TIMESTAMP AS confirmed_at FROM lineitem WHERE l_returnflag = 'R'),
 per AS (SELECT o_orderkey AS id, o_custkey AS account_id, CASE WHEN o_orderpriority < '3' THEN 'premium' ELSE 'plus' END AS plan, o_orderdate::TIMESTAMP AS starts_at, o_orderdate::TIMESTAMP + INTERVAL 30 DAY AS ends_at,
-  CASE WHEN o_orderkey % 13 = 0 THEN o_orderdate::TIMESTAMP + INTERVAL 10 DAY END AS revoked_at FROM orders)
+  CASE WHEN o_orderkey % 13 = 0 THEN o_orderdate::TIMESTAMP + INTERVAL 10 DAY END AS revoked_at, CASE WHEN o_orderkey % 9 = 0 THEN 'referral' ELSE 'manual' END AS provider FROM orders),
+reqs AS (SELECT *, CASE WHEN id % 4 <> 0 THEN (id % 120)::VARCHAR END AS category, CASE WHEN id % 5 = 0 THEN 'outline' END AS stage, id % 7 = 0 AS revision, CASE WHEN id % 7 = 0 THEN (account_id % 10)::VARCHAR END AS root_draft_id,
+  CASE WHEN id % 3 = 0 THEN (account_id % 13)::VARCHAR END AS generation_draft_id, CASE WHEN id % 8 = 0 THEN (account_id % 11)::VARCHAR END AS editor_document_id, feature_id IN ('1-URGENT', '2-HIGH') AS is_ai FROM jobs)
 """

@@ -16,10 +16,16 @@ def once_a_day(events: DataFrame, late: str = "1 day") -> DataFrame:
     return df.dropDuplicatesWithinWatermark(["event_type", "account_id", "day"]) if df.isStreaming else df.dropDuplicates(["event_type", "account_id", "day"])
 
 
-def debounced(events: DataFrame, seconds: int = 10) -> DataFrame:
-    """A tap counts if it comes `seconds` or more after the last one that counted. State is one time a person."""
+def debounced(events: DataFrame, seconds: int = 10, late: str = "1 minute") -> DataFrame:
+    """Of one tap's events each counts that comes `seconds` or more after the last one that counted. events: id, tap, occurred_at.
+
+    On a stream the state is one time a tap, and it goes once the watermark has passed that time by `seconds`: a later event counts anyway.
+    """
 
     def keep(key, pdfs, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else None
         rows = pd.concat(list(pdfs)).sort_values(["occurred_at", "id"])
         kept = []
@@ -29,25 +35,28 @@ def debounced(events: DataFrame, seconds: int = 10) -> DataFrame:
                 kept.append((int(r.id), key[0], r.occurred_at))
                 last = at
         state.update((last,))
-        yield pd.DataFrame(kept, columns=["id", "account_id", "occurred_at"])
+        gone = last // 1000 + seconds * 1000
+        if gone > state.getCurrentWatermarkMs():
+            state.setTimeoutTimestamp(gone)
+        yield pd.DataFrame(kept, columns=["id", "tap", "occurred_at"])
 
-    taps = events.select("id", "account_id", "occurred_at")
+    taps = events.select("id", "tap", "occurred_at")
     if taps.isStreaming:
-        return taps.groupBy("account_id").applyInPandasWithState(keep, "id long, account_id long, occurred_at timestamp", "last long", "append", GroupStateTimeout.NoTimeout)
+        return taps.withWatermark("occurred_at", late).groupBy("tap").applyInPandasWithState(keep, "id long, tap string, occurred_at timestamp", "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
     def whole(batches):
-        who, last = (), None  # no account yet
+        who, last = (), None  # no tap yet
         for batch in batches:
             kept = []
-            for i, (account, at) in enumerate(zip(batch.column("account_id").to_pylist(), batch.column("occurred_at").to_pylist(), strict=True)):
-                if account != who or (at is not None and last is not None and (at - last).total_seconds() >= seconds):
+            for i, (tap, at) in enumerate(zip(batch.column("tap").to_pylist(), batch.column("occurred_at").to_pylist(), strict=True)):
+                if tap != who or (at is not None and last is not None and (at - last).total_seconds() >= seconds):
                     kept.append(i)
-                    who, last = account, at
+                    who, last = tap, at
             yield batch.take(pa.array(kept, pa.int64()))
 
     order = F.col("occurred_at").asc_nulls_last()
-    taps = taps.select(F.col("id").cast("long"), F.col("account_id").cast("long"), F.col("occurred_at").cast("timestamp"))
-    return taps.repartition("account_id").sortWithinPartitions("account_id", order, "id").mapInArrow(whole, taps.schema)
+    taps = taps.select(F.col("id").cast("long"), F.col("tap").cast("string"), F.col("occurred_at").cast("timestamp"))
+    return taps.repartition("tap").sortWithinPartitions("tap", order, "id").mapInArrow(whole, taps.schema)
 
 
 def hourly(events: DataFrame, late: str = "1 hour") -> DataFrame:
