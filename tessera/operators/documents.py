@@ -17,28 +17,43 @@ def sections(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("no", "text"))
 
 
+def _runs(size: int):
+    """The distinct runs of `size` words as hashes of the words' hashes; the whole of fewer."""
+    h, n = F.col("h"), F.size("h")
+    runs = F.transform(F.sequence(F.lit(0), n - size), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(size)]))
+    return F.when(n >= size, F.array_distinct(runs)).otherwise(F.array(F.xxhash64(h)))
+
+
 def _alike(parts: DataFrame, size, least: int, alike: float, owners: int) -> DataFrame:
-    """Per part of `least` words the first earlier part of the same document, of `owners` words, that is alike. Pairs meet on a shared shingle."""
-    p = parts.withColumn("w", words(F.col("text"))).filter(F.size("w") >= min(least, owners)).withColumn("s", size).select("doc_id", "no", "s", (F.size("w") >= least).alias("later"), (F.size("w") >= owners).alias("owns"))
+    """Per part of `least` words the first earlier part of the same document, of `owners` words, that is alike. Pairs meet on a shared shingle.
+
+    Equal parts are one: the first of them meets the others, and each later one has what the first has, or the first itself.
+    """
+    p = parts.withColumn("h", F.transform(words(F.col("text")), lambda w: F.xxhash64(w))).filter(F.size("h") >= min(least, owners))
+    p = p.select("doc_id", "no", "h", F.xxhash64("h", F.size("h")).alias("same"))
+    firsts = p.groupBy("doc_id", "same").agg(F.min("no").alias("first"))
+    p = p.join(firsts, ["doc_id", "same"])
+    one = p.filter("no = first").select("doc_id", "no", size.alias("s"), (F.size("h") >= least).alias("later"), (F.size("h") >= owners).alias("owns"))
     # The outer form: the plain one infers a filter on the array, which would compute the shingles a second time, word by word.
-    k = p.select("doc_id", "no", "later", "owns", F.explode_outer("s").alias("k"))
+    k = one.select("doc_id", "no", "later", "owns", F.size("s").alias("n"), F.explode_outer("s").alias("k"))
     a, b = k.filter("later").alias("a"), k.filter("owns").alias("b")
     met = a.join(b, (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.k") == F.col("b.k")) & (F.col("a.no") > F.col("b.no")))
-    counts = met.groupBy(F.col("a.doc_id").alias("doc_id"), F.col("a.no").alias("no"), F.col("b.no").alias("owner")).agg(F.count("*").alias("both"))
-    n = p.select("doc_id", "no", F.size("s").alias("n"))
-    pairs = counts.join(n, ["doc_id", "no"]).join(n.select("doc_id", F.col("no").alias("owner"), F.col("n").alias("m")), ["doc_id", "owner"])
-    return pairs.filter(F.col("both") >= alike * (F.col("n") + F.col("m") - F.col("both"))).groupBy("doc_id", "no").agg(F.min("owner").alias("owner"))
+    pairs = met.groupBy(F.col("a.doc_id").alias("doc_id"), F.col("a.no").alias("first"), F.col("b.no").alias("owner")).agg(F.count("*").alias("both"), F.first("a.n").alias("n"), F.first("b.n").alias("m"))
+    best = pairs.filter(F.col("both") >= alike * (F.col("n") + F.col("m") - F.col("both"))).groupBy("doc_id", "first").agg(F.min("owner").alias("owner"))
+    found = p.filter(F.size("h") >= least).select("doc_id", "no", "first").join(best, ["doc_id", "first"], "left")
+    found = found.withColumn("owner", F.coalesce("owner", F.when((F.col("no") > F.col("first")) & F.lit(owners <= least), F.col("first"))))
+    return found.filter("owner IS NOT NULL").select("doc_id", "no", "owner")
 
 
 def repeated_sections(docs: DataFrame) -> DataFrame:
     """Three-word shingles from 12 words on, else two; similarity 0.6. A shorter section than SECTION may be repeated and is no repeat itself."""
-    size = F.when(F.size("w") >= 12, shingles(F.col("w"), 3)).otherwise(shingles(F.col("w"), 2))
+    size = F.when(F.size("h") >= 12, _runs(3)).otherwise(_runs(2))
     return _alike(sections(docs), size, SECTION, SECTION_ALIKE, 1)
 
 
 def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     """Four-word shingles, similarity 0.8."""
-    return _alike(sections(docs), shingles(F.col("w"), 4), PARAGRAPH, PARAGRAPH_ALIKE, PARAGRAPH)
+    return _alike(sections(docs), _runs(4), PARAGRAPH, PARAGRAPH_ALIKE, PARAGRAPH)
 
 
 def headings(parts: DataFrame) -> DataFrame:
