@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import json
 import random
 import re
@@ -315,6 +316,43 @@ def test_line_dedup_recall(spark):
     assert all(v == 1 for (n, _), v in found.items() if n == 1) and all(found[n, 0.05] >= 0.9 for n in (2, 6)), found
 
 
+def test_line_dedup_retest():
+    """Buckets taken one by one join what all pairs that may be similar by some key and pass the edit test join, whatever is joined before."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    shared = [word() for _ in range(12)]
+    bases = [" ".join([*(word() for _ in range(4)), *shared, *(word() for _ in range(4))]) for _ in range(4)]
+    normal = sorted({edited(b, share, r) for b in bases for share in (0.02, 0.1, 0.15, 0.2) for _ in range(4)} | {edited("shorttitle", 0.1, r) for _ in range(4)})
+    raw = [x.encode() for x in normal]
+    row, key, place = line_dedup.keys(raw)
+    sketch = line_dedup.sketches(raw)
+    buckets = {}
+    for i, k, at in zip(row.tolist(), key.tolist(), place.tolist(), strict=True):
+        buckets.setdefault(k, {}).setdefault(i, at)
+
+    def joined(edges):
+        group = list(range(len(normal)))
+        for a, b in edges:
+            group = [group[a] if g == group[b] else g for g in group]
+        return {frozenset(i for i in range(len(normal)) if group[i] == g) for g in group}
+
+    good = set()
+    for k, at in buckets.items():
+        for i, j in itertools.combinations(sorted(at), 2):
+            where = np.array([at[i], at[j]], np.int32)
+            if line_dedup._compared(np.array([k, k]), sketch[[i, j]], where, np.array([0]), np.array([1]))[0] and line_dedup.similar(normal[i], normal[j]):
+                good.add((i, j))
+    for known in ([], sorted(good)[::5]):
+        group = np.arange(len(normal))
+        for a, b in known:
+            group[group == group[b]] = group[a]
+        found = list(known)
+        for k, at in buckets.items():
+            n = np.array(sorted(at))
+            found += line_dedup._unite(k, n, group[n], sketch[n], np.array([at[i] for i in n.tolist()], np.int32), [normal[i] for i in n])
+        assert len(good) > len(normal) and joined(found) == joined(good)
+
+
 def test_line_dedup_numbers(spark):
     """Numbers of one shape aren't copies; equal ones are, and similar ones by the edit test."""
     texts = [(1, "2021 45 17\n42"), (2, "2019 88 32\n17"), (3, "2021 45 17"), (4, "2021 45 18"), (5, "2,021 45 17")]
