@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, clustering, decontaminate, html_text, language_id, line_dedup, quality, secret_scan, simhash, suffix_dedup, token_output, warc
+from . import bpe, clustering, decontaminate, html_text, language_id, line_dedup, quality, ranked_search, secret_scan, simhash, suffix_dedup, token_output, warc
 from .common import table
 
 
@@ -64,10 +64,14 @@ def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_benchmark_decontamination": decontaminate.SQL, "op10_quality_rules": quality.SQL, "op11_centroid_clustering": clustering.SQL}
+    return {"op9_benchmark_decontamination": decontaminate.SQL, "op10_quality_rules": quality.SQL, "op11_centroid_clustering": clustering.SQL, "op13_ranked_search": ranked_search.SQL}
