@@ -81,21 +81,22 @@ def _kind(tag: str, attributes: str) -> tuple[int, int, bool]:
 
 
 def lines_of(html: str) -> list[tuple[str, int, int, int] | None]:
-    """(text, characters of links, mark, beside) of every block in page order; None where an element beside the article begins or ends."""
+    """(text, characters outside links, mark, beside) of every block in page order; None where an element beside the article begins or ends."""
     lines: list[tuple[str, int, int, int] | None] = []
     words: list[str] = []
     open_: list[tuple[str, int, int, bool]] = []  # tag, beside, mark, link
     n_open: dict[str, int] = {}
     count = {_SOFT: 0, _HARD: 0, "article": 0, "main": 0, "link": 0}
-    linked = 0
+    linked = around = 0  # characters of links in the line; elements with such class names around the article
     no_quote: set[str] = set()  # quotes that no longer occur
 
     def flush() -> None:
         nonlocal linked
         if words:
             if text := " ".join("".join(words).split()):
-                beside = _HARD if count[_HARD] else _SOFT if count[_SOFT] else _CLEAN
-                lines.append((text, min(linked, len(text)), 2 if count["article"] else 1 if count["main"] else 0, beside))
+                mark = 2 if count["article"] else 1 if count["main"] else 0
+                beside = _HARD if count[_HARD] or (mark and count[_SOFT] > around) else _SOFT if count[_SOFT] else _CLEAN
+                lines.append((text, len(text.replace(" ", "")) - linked, mark, beside))
             words.clear()
         linked = 0
 
@@ -105,7 +106,7 @@ def lines_of(html: str) -> list[tuple[str, int, int, int] | None]:
             part = unescape(html[start:end])
             words.append(part)
             if count["link"]:
-                linked += len(part.strip())
+                linked += len("".join(part.split()))
 
     def pop() -> None:
         tag, beside, mark, link = open_.pop()
@@ -204,6 +205,8 @@ def lines_of(html: str) -> list[tuple[str, int, int, int] | None]:
             count[beside] += 1
         if mark:
             flush()
+            if not count["article"] and not count["main"]:
+                around = count[_SOFT]
             count["article" if mark == 2 else "main"] += 1
         link = tag == "a"
         count["link"] += link
@@ -242,7 +245,7 @@ def main_text(html: str | None) -> str:
         for mark in (2, 1):
             if any(m >= mark and b <= beside for m, b in some):
                 return _kept(lines, lambda x: len(x[0]) if x[2] >= mark and x[3] <= beside else 0, True)  # noqa: B023
-    return _kept(lines, lambda x: max(0, len(x[0]) - x[1]) if x[3] == _CLEAN else 0, False)
+    return _kept(lines, lambda x: x[1] if x[3] == _CLEAN else 0, False)
 
 
 def _kept(lines, length, marked: bool) -> str:
