@@ -29,13 +29,13 @@ from .common import arrow, pieces, written
 
 TOP = 10
 #: Documents and bytes of text that are bisected together, and documents and postings of a shard.
-CHUNK, CHUNK_BYTES, SHARD, SHARD_POSTINGS = 2_048, 16 << 20, 64, 1 << 18
+CHUNK, CHUNK_BYTES, SHARD, SHARD_POSTINGS = 2_048, 8 << 20, 64, 1 << 18
 #: Exchanges of documents between two halves, at most.
 EXCHANGES = 6
 #: Items of a block, shards searched first for an item, shards whose bounds are ordered together.
-BLOCK, BLOCK_BYTES, FIRST, GROUP = 512, 4 << 20, 2, 64
+BLOCK, BLOCK_BYTES, FIRST, GROUP = 512, 4 << 20, 2, 32
 _SLICE = 1 << 20
-_INDEX = "shard bigint, doc_ids array<bigint>, lengths array<bigint>, terms array<binary>, starts array<int>, most array<bigint>, shortest array<bigint>, docs array<smallint>, tfs array<bigint>"
+_INDEX = "shard bigint, doc_ids array<bigint>, lengths array<bigint>, terms array<binary>, starts array<int>, most array<bigint>, shortest array<bigint>, docs array<smallint>, tfs array<int>"
 
 # A term is a run of ASCII letters, digits and what is not ASCII; A-Z count as a-z.
 _FOLD = bytes(c if c >= 128 or chr(c).isdigit() or chr(c).islower() else c + 32 if chr(c).isupper() else 32 for c in range(256))
@@ -111,15 +111,34 @@ def _schema() -> pa.Schema:
     return pa.schema([(name, of(t)) for name, t in (x.split() for x in _INDEX.split(", "))])
 
 
-def _shards(ids: list, found: list[Counter], serial: Iterator[int]) -> Iterator[pa.RecordBatch]:
+class _Chunk:
+    """Documents that are bisected together; of each its terms, as numbers of the chunk, and their frequencies."""
+
+    def __init__(self):
+        self.ids: list = []
+        self.names: dict[bytes, int] = {}
+        self.terms: list[np.ndarray] = []
+        self.tfs: list[np.ndarray] = []
+        self.nbytes = 0
+
+    def add(self, doc_id, found: Counter, nbytes: int) -> None:
+        names = self.names
+        self.ids.append(doc_id)
+        self.terms.append(np.fromiter((names.setdefault(t, len(names)) for t in found), np.int32, len(found)))
+        self.tfs.append(np.fromiter(found.values(), np.int32, len(found)))
+        self.nbytes += nbytes
+
+    def full(self) -> bool:
+        return len(self.ids) >= CHUNK or self.nbytes >= CHUNK_BYTES
+
+
+def _shards(chunk: _Chunk, serial: Iterator[int]) -> Iterator[pa.RecordBatch]:
     """The shards of a chunk."""
-    names: dict[bytes, int] = {}
-    sizes = np.array([len(c) for c in found])
-    term = np.array([names.setdefault(t, len(names)) for c in found for t in c], np.int64)
-    tf = np.array([n for c in found for n in c.values()], np.int64)
-    doc = np.repeat(np.arange(len(found)), sizes)
-    length = np.bincount(doc, weights=tf, minlength=len(found)).astype(np.int64)
-    order = bisected(doc, term, len(found))
+    ids, sizes = chunk.ids, np.array([len(t) for t in chunk.terms])
+    term, tf = np.concatenate(chunk.terms), np.concatenate(chunk.tfs)
+    doc = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)
+    length = np.bincount(doc, weights=tf, minlength=len(ids)).astype(np.int64)
+    order = bisected(doc, term, len(ids))
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
     heavy = np.cumsum(sizes[order]) // SHARD_POSTINGS
@@ -127,7 +146,7 @@ def _shards(ids: list, found: list[Counter], serial: Iterator[int]) -> Iterator[
     shard = np.searchsorted(breaks, place, side="right")[doc] - 1
     by = np.lexsort((place[doc], term, shard))
     doc, term, tf, shard = doc[by], term[by], tf[by], shard[by]
-    names_ = np.array(list(names), object)
+    names = np.array(list(chunk.names), object)
     ends = np.searchsorted(shard, np.arange(len(breaks)), side="right")
     schema = _schema()
     for i, low in enumerate(breaks):
@@ -137,14 +156,14 @@ def _shards(ids: list, found: list[Counter], serial: Iterator[int]) -> Iterator[
         starts = np.flatnonzero(np.diff(t, prepend=-1))
         members = order[low:high]
         values = {
-            "shard": next(serial), "doc_ids": [ids[k] for k in members], "lengths": length[members], "terms": names_[t[starts]], "starts": np.r_[starts, len(t)].astype(np.int32),
+            "shard": next(serial), "doc_ids": [ids[k] for k in members], "lengths": length[members], "terms": names[t[starts]], "starts": np.r_[starts, len(t)].astype(np.int32),
             "most": np.maximum.reduceat(n, starts), "shortest": np.minimum.reduceat(length[doc[rows]], starts), "docs": d.astype(np.int16), "tfs": n,
         }
         yield pa.RecordBatch.from_arrays([pa.array([values[f.name]], f.type) for f in schema], schema=schema)
 
 
 def _indexed(batches):
-    ids, found, total = [], [], 0
+    chunk = _Chunk()
     partition = TaskContext.get().partitionId() if TaskContext.get() else 0
     serial = iter(range(partition << 33, (partition + 1) << 33))
     for batch in pieces(batches):
@@ -152,14 +171,12 @@ def _indexed(batches):
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts):
             terms = counted(text.as_py() or b"")
             if terms:
-                ids.append(doc_id)
-                found.append(terms)
-                total += len(text.as_py())
-                if len(ids) >= CHUNK or total >= CHUNK_BYTES:
-                    yield from _shards(ids, found, serial)
-                    ids, found, total = [], [], 0
-    if ids:
-        yield from _shards(ids, found, serial)
+                chunk.add(doc_id, terms, len(text.as_py()))
+                if chunk.full():
+                    yield from _shards(chunk, serial)
+                    chunk = _Chunk()
+    if chunk.ids:
+        yield from _shards(chunk, serial)
 
 
 def index(docs: DataFrame) -> DataFrame:
@@ -273,7 +290,8 @@ def _visited(block: _Block, least: dict[int, int], top: int):
                         n = np.diff(starts)[rows[here]]
                         posting = np.repeat(starts[rows[here]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                         value = np.zeros((len(here) + 1, len(m)), np.int64)  # the last row is that of terms the shard does not have
-                        value[np.repeat(np.arange(len(here)), n), docs[posting]] = (1_000_000_000 * tf[posting]) // (1000 * tf[posting] + 8 * m[docs[posting]])
+                        tf = tf[posting].astype(np.int64)
+                        value[np.repeat(np.arange(len(here)), n), docs[posting]] = (1_000_000_000 * tf) // (1000 * tf + 8 * m[docs[posting]])
                         row = np.full(len(rows), len(here))
                         row[here] = np.arange(len(here))
                         tables[g] = value, row, ids
