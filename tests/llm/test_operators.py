@@ -6,6 +6,7 @@ import itertools
 import json
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -534,8 +535,50 @@ def test_secret_scan_outside_base_spans(spark):
     got = {x.doc_id: x.spans for x in secret_scan.find(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
     assert got[100] == "format:6:24" and got[101] == "format:2:14"
     assert got[102] == "hex:0:32,format:33:51" and got[103] == ""
-    found = secret_scan._formats("ab=abcdef.ghijkl", [], {"abcdef", "ghijkl"}.__contains__)
-    assert found == [(3, 9, "format"), (10, 16, "format")]
+
+
+class Listed:
+    """A scorer that takes the values of a list."""
+
+    longest = 10
+
+    def __init__(self, *values):
+        self.values = values
+
+    def __call__(self, values):
+        return np.array([v in self.values for v in values], bool)
+
+
+def test_secret_candidates():
+    def spans(text, *values, taken=()):
+        return [(a, b) for a, b, _ in secret_scan._formats([text], [list(taken)], Listed(*values), {})[0]]
+
+    assert spans("ab=abcdef.ghijkl", "abcdef", "ghijkl") == [(3, 9), (10, 16)]
+    assert spans("ab=abcdef.ghijkl", "abcdef.ghijkl", "abcdef") == [(3, 16)] and spans("x" * 90, "x" * 90) == [(0, 90)]
+    assert spans("abcdef.ghijkl", "ghijkl", taken=[(0, 3), (2, 7)]) == [(7, 13)] and spans("a" * 50 + ".abcdef", "abcdef") == [(51, 57)]
+
+
+def test_secret_scorer_equals_grammar():
+    r = random.Random(4)
+    values = ["".join(r.choice("0123456789abcdef") for _ in range(n)) for n in (40, 40, 24, 32) * 40]
+    grammar = secret_scan.Grammar({"hex": values}, [prose(3, s).replace(" ", "") for s in range(200)])
+    scorer = grammar.scorer()
+    asked = [*values[:20], *["".join(r.choice("0123456789abcdefxyzAB+/_.=-") for _ in range(r.randrange(1, 300))) for _ in range(300)], values[0] * 9]
+    assert scorer(asked).tolist() == [grammar.accepts(v) for v in asked] and scorer(values).mean() > 0.9
+
+
+def test_secret_scan_is_linear():
+    r = random.Random(4)
+    values = ["".join(r.choice("0123456789abcdef") for _ in range(40)) for _ in range(60)]
+    scorer = secret_scan.Grammar({"hex": values}, [prose(3, s).replace(" ", "") for s in range(100)]).scorer()
+    texts = [base64.b64encode(r.randbytes(750_000)).decode(), "ab.cd" * 200_000, "a/" * 500_000, "9f8a7c6d5e4b3a2f1d." * 50_000, "=" * 1_000_000, "a" * 1_000_000]
+    began = time.time()
+    for text in texts:
+        secret_scan._formats([text], [[]], scorer, {})
+    assert time.time() - began < 60
+
+
+def test_secret_scan_learns_each_kind(spark):
     late = spark.createDataFrame([(1, json.dumps([*[[0, 1, "hex", str(k)] for k in range(20)], [5, 6, "assign", "abcdef"]]), None)], "doc_id long, base string, ordinary string")
     assert secret_scan.learn(late).kinds.keys() == {"assign", "hex"}
 
