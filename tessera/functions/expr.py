@@ -148,18 +148,24 @@ def canonical_json(**values: Column) -> Column:
 
 
 def json_changes(before: Column, after: Column, keys: int = 8, size: int = 60) -> Column:
-    """(key, before, after) of the first keys that differ; a value that isn't there is null, a long one is cut."""
-    a, b = (F.coalesce(F.from_json(x, "map<string,string>"), F.create_map().cast("map<string,string>")) for x in (before, after))
+    """(key, before, after) of the first keys whose values differ or which one side alone has; a value that isn't there is null.
+
+    Values are compared as they are, "1" is not 1, and a null that is there is not one that isn't. What is shown is a string itself or
+    else JSON, cut last.
+    """
+    a, b = (F.coalesce(F.from_json(x, "map<string,variant>"), F.create_map().cast("map<string,variant>")) for x in (before, after))
+    a, b = (F.transform_values(x, lambda _, value: F.to_json(value)) for x in (a, b))
+    said = lambda raw: F.when(raw.startswith('"'), F.from_json(F.concat(F.lit('{"x":'), raw, F.lit("}")), "x string")["x"]).otherwise(raw)
     short = lambda x: F.when(F.length(x) > size, F.concat(F.substring(x, 1, size - 3), F.lit("…"))).otherwise(x)
     listed = F.slice(F.array_union(F.map_keys(a), F.map_keys(b)), 1, keys)
-    rows = F.transform(listed, lambda k: F.struct(k.alias("key"), short(F.try_element_at(a, k)).alias("before"), short(F.try_element_at(b, k)).alias("after")))
-    return F.filter(rows, lambda r: ~r["before"].eqNullSafe(r["after"]))
+    differ = F.filter(listed, lambda k: ~F.try_element_at(a, k).eqNullSafe(F.try_element_at(b, k)))
+    return F.transform(differ, lambda k: F.struct(k.alias("key"), short(said(F.try_element_at(a, k))).alias("before"), short(said(F.try_element_at(b, k))).alias("after")))
 
 
 def byte_range(header: Column, size: Column) -> Column:
     """`first-last` of what a Range header asks, `none` where nothing there can answer it, null where the whole file does."""
     h = F.trim(header)
-    first, last = (F.regexp_extract(h, r"^bytes=(\d*)-(\d*)$", k).try_cast("long") for k in (1, 2))
+    first, last = (F.regexp_extract(h, r"(?i)^bytes=([0-9]{0,18})-([0-9]{0,18})$", k).try_cast("long") for k in (1, 2))
     span = lambda a, b: F.concat(a.cast("string"), F.lit("-"), b.cast("string"))
     tail = F.when((last == 0) | (size == 0), "none").otherwise(span(F.greatest(size - last, F.lit(0)), size - 1))
     inside = F.when(first >= size, "none").otherwise(span(first, F.least(F.coalesce(last, size - 1), size - 1)))

@@ -101,27 +101,33 @@ def canonical_responses(attempts: DataFrame, measures: tuple[str, ...]) -> DataF
     return attempts.select("response_key", F.row_number().over(w).alias("_n"), F.count("*").over(Window.partitionBy("response_key")).alias("seen"), *filled).filter("_n = 1").drop("_n")
 
 
-def places(queued: DataFrame, reading: DataFrame, window: int = WINDOW) -> DataFrame:
-    """How many finish before each of the first `window` queued rows: those being read and those before it."""
-    some = queued.orderBy("created_at", "id").limit(window).select("id", "account_id", "created_at")
-    busy = reading.agg(F.count("*").alias("_busy"))
-    at = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("created_at", "id")) - 1  # over `window` rows
-    return some.withColumn("_at", at).crossJoin(busy).select("id", "account_id", (F.col("_at") + F.col("_busy")).alias("place"))
+def places(queued: DataFrame, served: DataFrame, reading: DataFrame, now: Column, aging: int = AGING, window: int = WINDOW) -> DataFrame:
+    """How many finish before each of the first `window` queued rows: those being read, and those that the fair order takes earlier."""
+    busy = reading.agg(F.count("*").alias("_busy"))  # one row
+    return fair_order(queued, served, now, aging, window).crossJoin(busy).select("id", "account_id", (F.col("place") + F.col("_busy")).alias("place"))
 
 
-def estimates(placed: DataFrame, reading: DataFrame, now: Column, usual: float, allowed: float = 150.0) -> DataFrame:
-    """Seconds until the last of an account's queued rows is read.
+def estimates(queued: DataFrame, placed: DataFrame, reading: DataFrame, now: Column, usual: float | None, allowed: float = 150.0, idle: int = 30) -> DataFrame:
+    """account_id and the seconds until its last row is read, for every account with a row that waits or is being read.
 
-    What is left of a read is the usual time less what it has taken, but at least as long again as that, up to its end; one past
-    its time starts over when its lease lapses.
+    Null without a usual time, and where nothing is being read although a row has waited longer than `idle`. A read that is underway still
+    takes the rest of the usual time, or as long as it has taken, up to the time allowed; beyond that, what its lease has left and a
+    read anew. A queued row outside the places comes after all of them. queued: id, account_id, created_at; reading: account_id, started_at, lease_expires_at.
     """
     spent = F.greatest(F.lit(0.0), (F.unix_micros(now) - F.unix_micros("started_at")) / 1e6)
-    lapses = F.greatest(F.lit(0.0), (F.unix_micros("lease_expires_at") - F.unix_micros(now)) / 1e6)
-    left = F.when(spent < allowed, F.greatest(usual - spent, F.least(spent, allowed - spent))).otherwise(lapses + usual)
-    busy = reading.agg(F.count("*").alias("_n"), F.sum(left).alias("_left"))
-    last = placed.groupBy("account_id").agg(F.max("place").alias("_place")).crossJoin(busy)
-    seconds = F.ceil((F.col("_left") + usual * (F.col("_place") - F.col("_n") + 1)) / F.greatest(F.col("_n"), F.lit(1)))
-    return last.select("account_id", F.greatest(F.lit(1), seconds).cast("long").alias("seconds"))
+    lapses = F.greatest(F.lit(0.0), F.coalesce((F.unix_micros("lease_expires_at") - F.unix_micros(now)) / 1e6, F.lit(0.0)))
+    usually = F.lit(usual).cast("double")
+    left = F.when(spent < allowed, F.greatest(usually - spent, F.least(spent, allowed - spent))).otherwise(lapses + usually)
+    busy = reading.agg(F.count("*").alias("_n"), F.coalesce(F.sum(left), F.lit(0.0)).alias("_left"))
+    first = queued.agg(F.min("created_at").alias("_oldest"))
+    beyond = placed.agg(F.count("*").alias("_placed"))
+    own = reading.groupBy("account_id").agg(F.max(left).alias("_own"))
+    rows = queued.select("id", "account_id").join(placed.select("id", "place"), "id", "left").crossJoin(busy).crossJoin(beyond)  # two single rows
+    last = rows.groupBy("account_id").agg(F.max(F.coalesce("place", F.col("_placed") + F.col("_n")) - F.col("_n")).alias("_before"))
+    every = last.join(own, "account_id", "full_outer").crossJoin(busy).crossJoin(first)
+    seconds = F.ceil(F.when(F.col("_before").isNull(), F.col("_own")).otherwise((F.col("_left") + usually * (F.col("_before") + 1)) / F.greatest(F.col("_n"), F.lit(1))))
+    stuck = (F.col("_n") == 0) & (F.unix_micros(now) - F.unix_micros("_oldest") > idle * 1_000_000)
+    return every.select("account_id", F.when(usually.isNotNull() & ~F.coalesce(stuck, F.lit(False)), F.greatest(F.lit(1), seconds)).cast("long").alias("seconds"))
 
 
 def final_rejection(attempts: DataFrame, best_effort: tuple[str, ...]) -> DataFrame:

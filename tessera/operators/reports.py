@@ -6,6 +6,8 @@ null, and nothing is brought to the driver.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,8 +106,9 @@ def retention(accounts: DataFrame, events: DataFrame, f: Filters, kinds: tuple[s
 
 
 def activity(accounts: DataFrame, events: DataFrame, f: Filters, kinds: tuple[str, ...], days: tuple[int, ...] = (1, 7, 30)) -> DataFrame:
-    """Distinct people in the last days before the end or as_of."""
-    who = f.accounts(accounts, in_period=False).select(F.col("id").alias("account_id"))
+    """Distinct people in the last days before the end or as_of. A channel is that of what they did, not the one they came through."""
+    who = replace(f, channel="").accounts(accounts, in_period=False).select(F.col("id").alias("account_id"))
+    events = events.filter(F.col("channel") == f.channel) if f.channel else events
     acts = events.filter(F.col("event_type").isin(*kinds) & (F.col("occurred_at") < f.now()) & (F.col("occurred_at") >= f.now() - F.make_dt_interval(F.lit(max(days)))))
     acts = acts.join(who, "account_id", "left_semi").groupBy("account_id").agg(F.max("occurred_at").alias("last"))
     back = F.explode(F.array(*map(F.lit, days))).alias("days")
@@ -113,17 +116,22 @@ def activity(accounts: DataFrame, events: DataFrame, f: Filters, kinds: tuple[st
 
 
 def step_funnel(events: DataFrame, f: Filters, steps: tuple[str, ...] = FUNNEL) -> DataFrame:
-    """People at each step and their share of the step before."""
-    counts = f.events(events).filter(F.col("event_type").isin(*steps)).groupBy("event_type").agg(F.count_distinct("account_id").alias("count"))
+    """People of the bot at each step, whatever the channel asked for, and their share of the step before."""
+    counts = replace(f, channel="bot").events(events).filter(F.col("event_type").isin(*steps)).groupBy("event_type").agg(F.count_distinct("account_id").alias("count"))
     names = events.sparkSession.createDataFrame([(i, s) for i, s in enumerate(steps)], "step int, event string")
     rows = names.join(counts, F.col("event") == F.col("event_type"), "left").select("step", "event", F.coalesce("count", F.lit(0)).alias("count"))
     before = F.lag("count").over(Window.partitionBy(F.lit(0)).orderBy("step"))  # a row a step
     return rows.select("*", rate(F.col("count"), before, 0).cast("long").alias("share"))
 
 
+def _screen(events: DataFrame, f: Filters, kind: str) -> DataFrame:
+    """Openings of the screen: in the bot unless another channel is asked for."""
+    return replace(f, channel=f.channel or "bot").events(events).filter(F.col("event_type") == kind)
+
+
 def screen_views(events: DataFrame, f: Filters, kind: str = "view") -> DataFrame:
     """R11 by source: openings and people; a missing source is `other`."""
-    seen = f.events(events).filter(F.col("event_type") == kind)
+    seen = _screen(events, f, kind)
     return seen.groupBy(json_text(F.col("properties"), "k", "other").alias("source")).agg(F.count("*").alias("views"), F.count_distinct("account_id").alias("people"))
 
 
@@ -132,7 +140,7 @@ def screen_viewers(events: DataFrame, requests: DataFrame, f: Filters, kind: str
 
     requests: account_id, created_at, approved. The latest opening is one max over (time, id).
     """
-    seen = f.events(events).filter((F.col("event_type") == kind) & F.col("account_id").isNotNull())
+    seen = _screen(events, f, kind).filter(F.col("account_id").isNotNull())
     people = seen.groupBy("account_id").agg(
         F.count("*").alias("views"), F.min("occurred_at").alias("first_view"), F.max("occurred_at").alias("last_view"),
         F.max_by(json_text(F.col("properties"), "k", "other"), F.struct("occurred_at", "id")).alias("last_source"),
@@ -144,7 +152,7 @@ def screen_viewers(events: DataFrame, requests: DataFrame, f: Filters, kind: str
 
 def screen_totals(events: DataFrame, requests: DataFrame, f: Filters, kind: str = "view") -> DataFrame:
     """R11 in one row. Views without an account count as views and as no people."""
-    views = f.events(events).filter(F.col("event_type") == kind).agg(F.count("*").alias("views"), F.count_distinct("account_id").alias("people"))
+    views = _screen(events, f, kind).agg(F.count("*").alias("views"), F.count_distinct("account_id").alias("people"))
     then = screen_viewers(events, requests, f, kind).agg(F.count_if("started").alias("started"), F.count_if("paid").alias("paid"))
     return views.crossJoin(then).select("*", rate(F.col("started"), F.col("people"), 0).cast("long").alias("started_share"), rate(F.col("paid"), F.col("people"), 0).cast("long").alias("paid_share"))
 
@@ -179,9 +187,22 @@ def code_shares(jobs: DataFrame, accounts: DataFrame, f: Filters) -> DataFrame:
     return done.withColumn("_named", named).groupBy("category").agg(F.count("*").alias("documents"), *shares)
 
 
+def used(attempts: DataFrame, f: Filters, environment: bool = True) -> DataFrame:
+    """Attempts of the period by what they carry themselves: locale, channel and, unless left open, environment."""
+    rows = attempts.filter(f.during("created_at"))
+    rows = rows.filter(F.col("locale") == f.locale) if f.locale else rows
+    rows = rows.filter(F.col("origin_channel") == f.channel) if f.channel else rows
+    return rows.filter(F.col("environment") == f.environment) if environment else rows
+
+
+def unknown_environment(attempts: DataFrame, f: Filters) -> DataFrame:
+    """How many attempts of the period don't say where they ran."""
+    return used(attempts, f, False).agg(F.count_if(F.col("environment") == "unknown").alias("unknown_environment"))
+
+
 def usage_totals(attempts: DataFrame, f: Filters, measures: tuple[str, ...] = ("input_tokens", "output_tokens")) -> DataFrame:
     """R14 in one row: an unknown count stays null and is counted as unknown; without responses a sum is 0."""
-    rows = attempts.filter(f.during("created_at"))
+    rows = used(attempts, f)
     own = ~F.col("duplicate_response")
     n = F.count_if(own)
     sums = [F.when(n == 0, F.lit(0)).otherwise(F.sum(F.when(own, F.col(m)))).cast("long").alias(m) for m in measures]
@@ -190,7 +211,7 @@ def usage_totals(attempts: DataFrame, f: Filters, measures: tuple[str, ...] = ("
 
 
 def usage_by_model(attempts: DataFrame, f: Filters) -> DataFrame:
-    rows = attempts.filter(f.during("created_at")).filter("NOT duplicate_response")
+    rows = used(attempts, f).filter("NOT duplicate_response")
     return rows.groupBy("provider", "feature_id", "requested_model", "resolved_model", "stage").agg(
         F.count("*").alias("responses"), F.sum("input_tokens").alias("input_sum"), F.sum("output_tokens").alias("output_sum"),
         F.count_if(F.col("input_tokens").isNull()).alias("input_unknown"), F.count_if(F.col("output_tokens").isNull()).alias("output_unknown"),
@@ -256,14 +277,14 @@ def campaign_list(posts: DataFrame, recipients: DataFrame, page: int = 1, size:
 
 def screen_plans(events: DataFrame, f: Filters, kind: str = "view") -> DataFrame:
     """R11 by plan: free, plus, premium, then any other by name."""
-    rows = f.events(events).filter(F.col("event_type") == kind).groupBy(F.col("plan_at_event").alias("plan")).agg(F.count("*").alias("views"), F.count_distinct("account_id").alias("people"))
+    rows = _screen(events, f, kind).groupBy(F.col("plan_at_event").alias("plan")).agg(F.count("*").alias("views"), F.count_distinct("account_id").alias("people"))
     rank = F.when(F.col("plan") == "free", 0).when(F.col("plan") == "plus", 1).when(F.col("plan") == "premium", 2).otherwise(3)
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(rank, "plan")))  # a row a plan
 
 
 def screen_days(events: DataFrame, f: Filters, kind: str = "view") -> DataFrame:
     """R11 by day, zero-filled, with a height relative to the day of most views."""
-    seen = f.events(events).filter(F.col("event_type") == kind)
+    seen = _screen(events, f, kind)
     counts = seen.groupBy(local_day(F.col("occurred_at"), f.timezone).alias("date")).agg(F.count("*").alias("_v"), F.count_distinct("account_id").alias("_p"))
     days = f.spine(events.sparkSession).join(counts, "date", "left").select("date", F.coalesce("_v", F.lit(0)).alias("views"), F.coalesce("_p", F.lit(0)).alias("people"))
     most = F.greatest(F.max("views").over(Window.partitionBy(F.lit(0))), F.lit(1))  # at most 366 rows
@@ -302,7 +323,7 @@ def practice(answers: DataFrame) -> DataFrame:
 
 def rejections(attempts: DataFrame, f: Filters) -> DataFrame:
     """R14 by reason."""
-    return attempts.filter(f.during("created_at")).filter("status = 'rejected'").groupBy("rejection").agg(F.count("*").alias("responses"))
+    return used(attempts, f).filter("status = 'rejected'").groupBy("rejection").agg(F.count("*").alias("responses"))
 
 
 def system_snapshot(files: DataFrame, jobs: DataFrame, accounts: DataFrame, f: Filters, now) -> DataFrame:

@@ -148,14 +148,14 @@ def o05(spark, d):
 _PLANS = "['premium','free','plus','trial'][(account_id % 4 + 1)::INT]"
 
 
-@query("r11_screen_plans", WITH + f", s AS (SELECT {_PLANS} AS plan, count(*) AS views, count(DISTINCT account_id) AS people FROM ev WHERE {_D} AND environment = 'production' AND event_type = 'view' GROUP BY 1) SELECT *, row_number() OVER (ORDER BY CASE plan WHEN 'free' THEN 0 WHEN 'plus' THEN 1 WHEN 'premium' THEN 2 ELSE 3 END, plan)::INT AS place FROM s")
+@query("r11_screen_plans", WITH + f", s AS (SELECT {_PLANS} AS plan, count(*) AS views, count(DISTINCT account_id) AS people FROM ev WHERE {_D} AND environment = 'production' AND channel = 'bot' AND event_type = 'view' GROUP BY 1) SELECT *, row_number() OVER (ORDER BY CASE plan WHEN 'free' THEN 0 WHEN 'plus' THEN 1 WHEN 'premium' THEN 2 ELSE 3 END, plan)::INT AS place FROM s")
 def r11_plans(spark, d):
     """R11 by plan, in the plans' own order."""
     plan = F.element_at(F.array(*map(F.lit, ("premium", "free", "plus", "trial"))), (F.col("account_id") % 4 + 1).cast("int"))
     return reports.screen_plans(v.events(spark, d).withColumn("plan_at_event", plan), DAYS)
 
 
-@query("r11_screen_days", WITH + f""", c AS (SELECT (occurred_at + INTERVAL 5 HOUR)::DATE AS date, count(*) AS v, count(DISTINCT account_id) AS p FROM ev WHERE {_D} AND environment = 'production' AND event_type = 'view' GROUP BY 1),
+@query("r11_screen_days", WITH + f""", c AS (SELECT (occurred_at + INTERVAL 5 HOUR)::DATE AS date, count(*) AS v, count(DISTINCT account_id) AS p FROM ev WHERE {_D} AND environment = 'production' AND channel = 'bot' AND event_type = 'view' GROUP BY 1),
 s AS (SELECT unnest(generate_series(DATE '2024-01-05', DATE '2024-01-24', INTERVAL 1 DAY))::DATE AS date), j AS (SELECT date, coalesce(v, 0)::BIGINT AS views, coalesce(p, 0)::BIGINT AS people FROM s LEFT JOIN c USING (date))
 SELECT date, views, people, round_even(100.0::DOUBLE * views / greatest((SELECT max(views) FROM j), 1), 1) AS height FROM j""")
 def r11_days(spark, d):
@@ -299,7 +299,7 @@ def r32(spark, d):
     return reports.practice(li).select("project", "score", "max_score", F.array_join(F.transform("weak", lambda x: x.cast("string")), ",").alias("weak"))
 
 
-@query("r14_by_rejection", WITH + f" SELECT CASE stage WHEN 'O' THEN 'content' ELSE '' END AS rejection, count(*) AS responses FROM att WHERE {_Y} AND status = 'rejected' GROUP BY 1")
+@query("r14_by_rejection", WITH + f" SELECT CASE stage WHEN 'O' THEN 'content' ELSE '' END AS rejection, count(*) AS responses FROM att WHERE {_Y} AND environment = 'production' AND status = 'rejected' GROUP BY 1")
 def r14_rejections(spark, d):
     a = v.attempts(spark, d).withColumn("rejection", F.when(F.col("stage") == "O", "content").otherwise(""))
     return reports.rejections(a, YEAR)
@@ -313,10 +313,11 @@ def r17(spark, d):
     return reports.system_snapshot(files, v.jobs(spark, d), v.accounts(spark, d), YEAR, _at())
 
 
-@query("r30_expiring", WITH + f" SELECT account_id, count(*) AS n, max(ends_at) AS last_end FROM per WHERE ends_at <= {_AT} AND revoked_at IS NULL GROUP BY 1")
+@query("r30_expiring", WITH + f" SELECT account_id, count(*) AS n, max(ends_at) AS last_end FROM per WHERE revoked_at IS NULL GROUP BY 1 HAVING max(ends_at) <= {_AT}")
 def r30(spark, d):
-    due = v.periods(spark, d).filter(F.col("revoked_at").isNull() & (F.col("ends_at") <= _at()))
-    return due.groupBy("account_id").agg(F.count("*").alias("n"), F.max("ends_at").alias("last_end"))
+    """Accounts whose last period is over; one that runs keeps its account off the list, however many have ended."""
+    due = v.periods(spark, d).filter(F.col("revoked_at").isNull())
+    return due.groupBy("account_id").agg(F.count("*").alias("n"), F.max("ends_at").alias("last_end")).filter(F.col("last_end") <= _at())
 
 
 @query("r31_audit_changes", WITH + """, x AS (SELECT id, properties AS after, lag(properties) OVER (PARTITION BY account_id ORDER BY occurred_at, id) AS before FROM ev WHERE event_type IN ('signup', 'purchase'))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import functions as F
 
 from ..functions import expr, text
@@ -99,14 +101,22 @@ def r09(spark, d):
     return reports.activity(v.event_accounts(spark, d), v.events(spark, d), DAYS, ACTS)
 
 
+@query("r09_activity_of_channel", _WITH + f""", w AS (SELECT account_id, max(occurred_at) AS last FROM ev WHERE event_type IN ('view', 'purchase') AND channel = 'web' AND occurred_at < {_NOW_D} AND occurred_at >= {_NOW_D} - INTERVAL 30 DAY
+AND account_id IN (SELECT id FROM eacc WHERE NOT is_test AND created_at < TIMESTAMP '2024-01-24 19:00:00') GROUP BY 1)
+SELECT days, count(*) FILTER (WHERE last >= {_NOW_D} - to_days(days)) AS users FROM w, (SELECT unnest([1, 7, 30])::INT AS days) GROUP BY 1""")
+def r09_channel(spark, d):
+    """What people did in one channel, whichever they came through."""
+    return reports.activity(v.event_accounts(spark, d), v.events(spark, d), dataclasses.replace(DAYS, channel="web"), ACTS)
+
+
 @query("r10_step_funnel", _WITH + f""", st AS (SELECT unnest([0, 1, 2, 3])::INT AS step, unnest(['signup', 'view', 'click', 'purchase']) AS event),
-c AS (SELECT event_type, count(DISTINCT account_id) AS n FROM ev WHERE {_D} AND environment = 'production' GROUP BY 1), r AS (SELECT step, event, coalesce(n, 0)::BIGINT AS count FROM st LEFT JOIN c ON event = event_type)
+c AS (SELECT event_type, count(DISTINCT account_id) AS n FROM ev WHERE {_D} AND environment = 'production' AND channel = 'bot' GROUP BY 1), r AS (SELECT step, event, coalesce(n, 0)::BIGINT AS count FROM st LEFT JOIN c ON event = event_type)
 SELECT step, event, count, CASE WHEN lag(count) OVER o > 0 THEN round_even(100.0::DOUBLE * count / lag(count) OVER o, 0)::BIGINT END AS share FROM r WINDOW o AS (ORDER BY step)""")
 def r10(spark, d):
     return reports.step_funnel(v.events(spark, d), DAYS)
 
 
-@query("r11_screen_sources", _WITH + f""" SELECT coalesce(properties->>'$.k', 'other') AS source, count(*) AS views, count(DISTINCT account_id) AS people FROM ev WHERE {_D} AND environment = 'production' AND event_type = 'view' GROUP BY 1""")
+@query("r11_screen_sources", _WITH + f""" SELECT coalesce(properties->>'$.k', 'other') AS source, count(*) AS views, count(DISTINCT account_id) AS people FROM ev WHERE {_D} AND environment = 'production' AND channel = 'bot' AND event_type = 'view' GROUP BY 1""")
 def r11_sources(spark, d):
     return reports.screen_views(v.events(spark, d), DAYS)
 
@@ -115,7 +125,7 @@ def _requests(spark, d):
     return v.events(spark, d).filter("event_type IN ('click', 'purchase')").select("account_id", F.col("occurred_at").alias("created_at"), (F.col("event_type") == "purchase").alias("approved"))
 
 
-_VIEWERS = f""", seen AS (SELECT * FROM ev WHERE {_D} AND environment = 'production' AND event_type = 'view'),
+_VIEWERS = f""", seen AS (SELECT * FROM ev WHERE {_D} AND environment = 'production' AND channel = 'bot' AND event_type = 'view'),
 p AS (SELECT account_id, count(*) AS views, min(occurred_at) AS first_view, max(occurred_at) AS last_view, arg_max(coalesce(properties->>'$.k', 'other'), (occurred_at, id)) AS last_source FROM seen GROUP BY 1),
 q AS (SELECT p.*, EXISTS (SELECT 1 FROM ev r WHERE r.account_id = p.account_id AND event_type IN ('click', 'purchase') AND occurred_at >= first_view) AS started,
 EXISTS (SELECT 1 FROM ev r WHERE r.account_id = p.account_id AND event_type = 'purchase' AND occurred_at >= first_view) AS paid FROM p) """
@@ -173,13 +183,21 @@ def r13_share(spark, d):
 
 @query("r14_usage_totals", _WITH + f""" SELECT count(*) AS attempts, count(*) FILTER (WHERE duplicate_response) AS duplicates, count(*) FILTER (WHERE status IN ('failed', 'rejected')) AS failed, count(*) FILTER (WHERE NOT duplicate_response) AS responses,
 CASE WHEN count(*) FILTER (WHERE NOT duplicate_response) = 0 THEN 0 ELSE sum(input_tokens) FILTER (WHERE NOT duplicate_response) END::BIGINT AS input_tokens, CASE WHEN count(*) FILTER (WHERE NOT duplicate_response) = 0 THEN 0 ELSE sum(output_tokens) FILTER (WHERE NOT duplicate_response) END::BIGINT AS output_tokens,
-count(*) FILTER (WHERE NOT duplicate_response AND input_tokens IS NULL) AS input_tokens_unknown, count(*) FILTER (WHERE NOT duplicate_response AND output_tokens IS NULL) AS output_tokens_unknown FROM att WHERE {_Y}""")
+count(*) FILTER (WHERE NOT duplicate_response AND input_tokens IS NULL) AS input_tokens_unknown, count(*) FILTER (WHERE NOT duplicate_response AND output_tokens IS NULL) AS output_tokens_unknown FROM att WHERE {_Y} AND environment = 'production'""")
 def r14(spark, d):
     return reports.usage_totals(v.attempts(spark, d), YEAR)
 
 
+@query("r14_usage_of_channel", _WITH + f""" SELECT count(*) FILTER (WHERE environment = 'production') AS attempts, count(*) FILTER (WHERE environment = 'unknown') AS unknown_environment FROM att WHERE {_Y} AND locale = 'uz' AND origin_channel = 'web'""")
+def r14_channel(spark, d):
+    """A locale's attempts of one channel, and those that don't say where they ran."""
+    f = dataclasses.replace(YEAR, locale="uz", channel="web")
+    a = v.attempts(spark, d)
+    return reports.usage_totals(a, f).select("attempts").crossJoin(reports.unknown_environment(a, f))  # two single rows
+
+
 @query("r14_usage_by_model", _WITH + f""" SELECT provider, feature_id, requested_model, resolved_model, stage, count(*) AS responses, sum(input_tokens)::BIGINT AS input_sum, sum(output_tokens)::BIGINT AS output_sum, count(*) FILTER (WHERE input_tokens IS NULL) AS input_unknown, count(*) FILTER (WHERE output_tokens IS NULL) AS output_unknown
-FROM att WHERE {_Y} AND NOT duplicate_response GROUP BY ALL""")
+FROM att WHERE {_Y} AND environment = 'production' AND NOT duplicate_response GROUP BY ALL""")
 def r14_models(spark, d):
     return reports.usage_by_model(v.attempts(spark, d), YEAR)
 
@@ -318,7 +336,11 @@ def w01(spark, d):
     return queues.dispatch(_queued(spark, d), _served(spark, d), _moment(_QNOW), limit=50, aging=14 * 86400)
 
 
-@query("w02_fair_order")
+_FAIR = f"""q AS (SELECT id, account_id % 50 AS account_id, created_at FROM jobs WHERE status = 'queued'), s AS (SELECT account_id % 50 AS account_id, max(started_at) AS served_at FROM jobs WHERE status = 'succeeded' GROUP BY 1),
+{registry.fair_sql("TIMESTAMP '1995-02-15 00:00:00'")}"""
+
+
+@query("w02_fair_order", _WITH + f", {_FAIR} SELECT place::INT AS place, id, account_id FROM fair")
 def w02(spark, d):
     return queues.fair_order(_queued(spark, d), _served(spark, d), _moment(_QNOW), aging=14 * 86400)
 
@@ -371,7 +393,7 @@ def t15(spark, d):
     return v.read(spark, d, "pages").select("page_id", text.tidy(F.coalesce("html", F.lit(""))).alias("text"))
 
 
-@query("t02_cyrillic_share", """SELECT doc_id, CASE WHEN c + l > 0 THEN c / (c + l) ELSE 0.0 END::DOUBLE AS share FROM (SELECT doc_id, len(regexp_extract_all(text, '[Ѐ-ԯ]')) AS c, len(regexp_extract_all(text, '[A-Za-zÀ-ɏ]')) AS l FROM documents)""")
+@query("t02_cyrillic_share", r"""SELECT doc_id, CASE WHEN c + l > 0 THEN c / (c + l) ELSE 0.0 END::DOUBLE AS share FROM (SELECT doc_id, len(regexp_extract_all(text, '[\x{0400}-\x{052F}\x{1C80}-\x{1C8F}\x{2DE0}-\x{2DFF}\x{A640}-\x{A69F}\x{1D2B}\x{1D78}]')) AS c, len(regexp_extract_all(text, '[A-Za-zÀ-ɏ]')) AS l FROM documents)""")
 def t02(spark, d):
     return v.read(spark, d, "documents").select("doc_id", text.cyrillic_share(F.coalesce("text", F.lit(""))).alias("share"))
 
@@ -463,7 +485,7 @@ def f29(spark, d):
     return expr.consistent_tokens(_tokens(spark, d)).select("job_id", "no", "total_tokens", "cached_input_tokens", "cache_write_input_tokens", "reasoning_output_tokens")
 
 
-@query("r14_six_sums", _WITH + f""", {_TOKENS}, own AS (SELECT * FROM tk WHERE {_Y} AND NOT duplicate_response) SELECT (SELECT count(*) FROM tk WHERE {_Y}) AS attempts, (SELECT count(*) FROM tk WHERE {_Y} AND duplicate_response) AS duplicates, (SELECT count(*) FROM tk WHERE {_Y} AND status IN ('failed', 'rejected')) AS failed, count(*) AS responses, """ + ", ".join(f"CASE WHEN count(*) = 0 THEN 0 ELSE sum({m}) END::BIGINT AS {m}, count(*) FILTER (WHERE {m} IS NULL) AS {m}_unknown" for m in ("input_tokens", "output_tokens", "total_tokens", "cached_input_tokens", "cache_write_input_tokens", "reasoning_output_tokens")) + " FROM own")
+@query("r14_six_sums", _WITH + f""", {_TOKENS}, own AS (SELECT * FROM tk WHERE {_Y} AND environment = 'production' AND NOT duplicate_response) SELECT (SELECT count(*) FROM tk WHERE {_Y} AND environment = 'production') AS attempts, (SELECT count(*) FROM tk WHERE {_Y} AND environment = 'production' AND duplicate_response) AS duplicates, (SELECT count(*) FROM tk WHERE {_Y} AND environment = 'production' AND status IN ('failed', 'rejected')) AS failed, count(*) AS responses, """ + ", ".join(f"CASE WHEN count(*) = 0 THEN 0 ELSE sum({m}) END::BIGINT AS {m}, count(*) FILTER (WHERE {m} IS NULL) AS {m}_unknown" for m in ("input_tokens", "output_tokens", "total_tokens", "cached_input_tokens", "cache_write_input_tokens", "reasoning_output_tokens")) + " FROM own")
 def r14_six(spark, d):
     return reports.usage_totals(_tokens(spark, d), YEAR, ("input_tokens", "output_tokens", "total_tokens", "cached_input_tokens", "cache_write_input_tokens", "reasoning_output_tokens"))
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import checks, queues
 from ..sources import views as v
-from .registry import WITH, query
+from .registry import WITH, fair_sql, query
 
 _AT = "TIMESTAMP '1999-03-10 12:00:00'"
 
@@ -23,23 +25,45 @@ def w03(spark, d):
     return queues.served_at(v.jobs(spark, d).filter("status != 'queued'"), published)
 
 
-_READS = f"reading AS (SELECT id, {_AT} - to_seconds((id % 200)::INT) AS started_at, {_AT} + INTERVAL 60 SECOND AS lease FROM jobs WHERE status = 'failed' AND id % 97 = 1), q AS (SELECT id, account_id, row_number() OVER (ORDER BY created_at, id) - 1 + (SELECT count(*) FROM reading) AS place FROM (SELECT * FROM jobs WHERE status = 'queued' ORDER BY created_at, id LIMIT 200))"
+#: Rows made up to this moment are the aged ones.
+_AGED = "TIMESTAMP '1995-01-06 12:00:00'"
+_READS = f"""reading AS (SELECT id, account_id % 50 AS account_id, {_AT} - to_seconds((id % 200)::INT) AS started_at, {_AT} + INTERVAL 60 SECOND AS lease FROM jobs WHERE status = 'failed' AND id % 97 = 1),
+q AS (SELECT id, account_id % 50 AS account_id, created_at FROM jobs WHERE status = 'queued'), s AS (SELECT account_id % 50 AS account_id, max(started_at) AS served_at FROM jobs WHERE status = 'succeeded' GROUP BY 1),
+{fair_sql(_AGED)}, pl AS (SELECT id, account_id, place + (SELECT count(*) FROM reading) AS place FROM fair)"""
 
 
 def _reading(spark, d):
     n = F.col("id")
-    return v.jobs(spark, d).filter((F.col("status") == "failed") & (n % 97 == 1)).select("id", F.timestamp_add("SECOND", -(n % 200).cast("int"), _at()).alias("started_at"), (_at() + F.expr("INTERVAL 60 SECONDS")).alias("lease_expires_at"))
+    return v.jobs(spark, d).filter((F.col("status") == "failed") & (n % 97 == 1)).select("id", (F.col("account_id") % 50).alias("account_id"), F.timestamp_add("SECOND", -(n % 200).cast("int"), _at()).alias("started_at"), (_at() + F.expr("INTERVAL 60 SECONDS")).alias("lease_expires_at"))
 
 
-@query("w04_places", WITH + f", {_READS} SELECT id, account_id, place FROM q")
-def w04(spark, d):
-    return queues.places(v.jobs(spark, d).filter("status = 'queued'"), _reading(spark, d))
+def _placed(spark, d):
+    own = (F.col("account_id") % 50).alias("account_id")
+    queued = v.jobs(spark, d).filter("status = 'queued'").select("id", own, "created_at")
+    served = v.jobs(spark, d).filter("status = 'succeeded'").groupBy(own).agg(F.max("started_at").alias("served_at"))
+    aging = int((datetime(1999, 3, 10, 12) - datetime(1995, 1, 6, 12)).total_seconds())
+    return queued, queues.places(queued, served, _reading(spark, d), _at(), aging=aging)
 
 
-@query("w05_waiting_times", WITH + f""", {_READS}, s AS (SELECT epoch({_AT}) - epoch(started_at) AS spent, epoch(lease) - epoch({_AT}) AS lapses FROM reading), l AS (SELECT count(*) AS n, sum(CASE WHEN greatest(0, spent) < 150 THEN greatest(40 - greatest(0, spent), least(greatest(0, spent), 150 - greatest(0, spent))) ELSE greatest(0, lapses) + 40 END) AS total FROM s)
-SELECT account_id, greatest(1, ceil((total + 40 * (max(place) - n + 1)) / n))::BIGINT AS seconds FROM q, l GROUP BY account_id, total, n""")
+@query("w04_places", WITH + f", {_READS} SELECT id, account_id, place::BIGINT AS place FROM pl")
+def w04(spark, d):
+    return _placed(spark, d)[1].select("id", "account_id", F.col("place").cast("long").alias("place"))
+
+
+@query(
+    "w05_waiting_times",
+    WITH
+    + f""", {_READS}, x AS (SELECT account_id, epoch({_AT}) - epoch(started_at) AS spent, epoch(lease) - epoch({_AT}) AS lapses FROM reading),
+    l AS (SELECT account_id, CASE WHEN greatest(0, spent) < 150 THEN greatest(40 - greatest(0, spent), least(greatest(0, spent), 150 - greatest(0, spent))) ELSE greatest(0, lapses) + 40 END AS "left" FROM x),
+    b AS (SELECT count(*) AS n, coalesce(sum("left"), 0) AS total FROM l), o AS (SELECT account_id, max("left") AS own FROM l GROUP BY 1),
+    w AS (SELECT q.account_id, max(coalesce(place, (SELECT count(*) FROM pl) + n) - n) AS before FROM q LEFT JOIN pl ON pl.id = q.id, b GROUP BY 1)
+    SELECT account_id, CASE WHEN n > 0 OR {_AT} - (SELECT min(created_at) FROM q) <= INTERVAL 30 SECOND THEN greatest(1, ceil(CASE WHEN before IS NULL THEN own ELSE (total + 40 * (before + 1)) / greatest(n, 1) END))::BIGINT END AS seconds
+    FROM w FULL JOIN o USING (account_id), b""",
+)
 def w05(spark, d):
-    return queues.estimates(queues.places(v.jobs(spark, d).filter("status = 'queued'"), _reading(spark, d)), _reading(spark, d), _at(), usual=40.0)
+    """Every account with a row that waits or is being read, beyond the window too."""
+    queued, placed = _placed(spark, d)
+    return queues.estimates(queued, placed, _reading(spark, d), _at(), usual=40.0)
 
 
 @query("w07_final_rejections", WITH + ", l AS (SELECT job_id, arg_max(status, (created_at, no)) AS st, arg_max(no, (created_at, no)) AS no FROM att WHERE stage <> 'F' GROUP BY 1) SELECT job_id, CASE WHEN st = 'rejected' THEN 'reason' || no ELSE '' END AS rejection FROM l")

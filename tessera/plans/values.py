@@ -68,7 +68,7 @@ def f19(spark, d):
     return v.read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.array_join(expr.page_numbers(spec, 8).cast("array<string>"), ",").alias("pages"))
 
 
-_RANGES = ["bytes=0-9", "bytes=5-", "bytes=-7", "bytes=9-3", "bytes=-0", "items=1-2", "bytes=0-1,4-5", "bytes=900-", "bytes=-"]
+_RANGES = ["Bytes=0-9", "bytes=5-", "bytes=-7", "bytes=9-3", "bytes=-0", "items=1-2", "bytes=0-1,4-5", "bytes=900-", "bytes=-"]
 
 
 @query("f20_byte_ranges", """SELECT p_partkey AS id, CASE p_partkey % 9 WHEN 0 THEN '0-' || least(9, s - 1) WHEN 1 THEN CASE WHEN s > 5 THEN '5-' || (s - 1) ELSE 'none' END WHEN 2 THEN greatest(s - 7, 0) || '-' || (s - 1) WHEN 4 THEN 'none' WHEN 7 THEN 'none' END AS range FROM (SELECT p_partkey, p_size AS s FROM part)""")
@@ -137,18 +137,31 @@ def t32(spark, d):
     return v.read(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", text.is_writing(F.col("text")).alias("writing"))
 
 
-@query("t46_currencies", "SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN 'USD' WHEN 1 THEN 'EUR' WHEN 2 THEN 'RUB' WHEN 3 THEN 'UZS' END AS currency FROM part")
-def t46(spark, d):
-    cells = F.element_at(F.array(*map(F.lit, ("$ 12", "12 €", "12 руб.", "12 so'm", "12"))), (F.col("p_partkey") % 5 + 1).cast("int"))
-    return v.read(spark, d, "part").select(F.col("p_partkey").alias("id"), text.currency(cells).alias("currency"))
+_CELLS = {"$ {}": "usd", "{} dollarlik": "usd", "{} Долларов": "usd", "{}€": "eur", "{} EURO": "eur", "£{}": "gbp", "{} GBP": "gbp", "{} руб.": "rub", "₽ {}": "rub", "{} so‘m": "uzs", "{} сўм": "uzs", "{} UZS": "uzs", "jami {} sum": "uzs", "{} summary": None, "{} eurasia": "eur", "{} pounds": None}
 
 
-@query("t48_integer_shares", """WITH x AS (SELECT l_orderkey, l_linenumber, floor(l_extendedprice)::BIGINT AS val, sum(floor(l_extendedprice)::BIGINT) OVER (PARTITION BY l_orderkey)::BIGINT AS tot FROM lineitem), y AS (SELECT *, val * 100 // tot AS base, val * 100 % tot AS rest FROM x),
-z AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY rest DESC, l_linenumber) AS k, 100 - sum(base) OVER (PARTITION BY l_orderkey)::BIGINT AS left FROM y) SELECT l_orderkey, l_linenumber, base + CASE WHEN k <= "left" THEN 1 ELSE 0 END AS share FROM z""")
+@query("t46_currencies", "SELECT p_partkey AS id, [" + ", ".join("NULL" if c is None else f"'{c}'" for c in _CELLS.values()) + f"][p_partkey % {len(_CELLS)} + 1] AS currency FROM part")
+def t46(spark, d):
+    """Prices of parts in cells of sixteen ways."""
+    ways = F.element_at(F.array(*[F.lit(c.replace("{}", "%d")) for c in _CELLS]), (F.col("p_partkey") % len(_CELLS) + 1).cast("int"))
+    cell = F.replace(ways, F.lit("%d"), F.floor("p_retailprice").cast("string"))
+    return v.read(spark, d, "part").select(F.col("p_partkey").alias("id"), text.currency(cell).alias("currency"))
+
+
+#: Sets of tied rows that take exactly the points left, by a bit for each remainder; without one the first rows.
+@query(
+    "t48_integer_shares",
+    """WITH x AS (SELECT l_orderkey, l_linenumber * 100000 + l_partkey AS line, l_quantity::INT % 3 + 1 AS val FROM lineitem), t AS (SELECT *, sum(val) OVER (PARTITION BY l_orderkey)::BIGINT AS tot FROM x),
+    y AS (SELECT *, val * 100 // tot AS base, val * 100 % tot AS rest FROM t), z AS (SELECT *, 100 - sum(base) OVER (PARTITION BY l_orderkey)::BIGINT AS lft, row_number() OVER (PARTITION BY l_orderkey ORDER BY rest DESC, line) AS k FROM y),
+    g AS (SELECT l_orderkey, lft, rest, count(*) AS n, row_number() OVER (PARTITION BY l_orderkey ORDER BY rest) - 1 AS bit FROM z WHERE rest > 0 GROUP BY l_orderkey, lft, rest),
+    m AS (SELECT l_orderkey, lft, mask, sum(n) AS n, sum(n * rest) AS worth FROM g, (SELECT unnest(range(1, 8)) AS mask) WHERE (mask >> bit) & 1 = 1 GROUP BY ALL),
+    b AS (SELECT m.l_orderkey, arg_max(mask, (worth, -((mask & 1) * 4 + (mask & 2) + (mask >> 2 & 1)))) AS mask FROM m JOIN (SELECT l_orderkey, max(bit) AS top FROM g GROUP BY 1) USING (l_orderkey) WHERE n = m.lft AND mask < 1 << (top + 1) GROUP BY 1)
+    SELECT z.l_orderkey, line, (base + CASE WHEN z.lft = 0 THEN 0 WHEN b.mask IS NULL THEN (k <= z.lft)::INT ELSE coalesce((b.mask >> bit) & 1, 0) END)::BIGINT AS share FROM z LEFT JOIN b ON b.l_orderkey = z.l_orderkey LEFT JOIN g ON g.l_orderkey = z.l_orderkey AND g.rest = z.rest""",
+)
 def t48(spark, d):
-    """Whole shares that add to 100 by largest remainder; the earlier row wins a tie."""
-    li = v.read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.floor("l_extendedprice").cast("long").alias("value"))
-    return documents.integer_shares(li, "l_orderkey", "l_linenumber")
+    """Whole shares that add to 100 by largest remainder; rows of one remainder take a point together where that can be."""
+    li = v.read(spark, d, "lineitem").select("l_orderkey", (F.col("l_linenumber") * 100_000 + F.col("l_partkey")).alias("line"), (F.col("l_quantity").cast("int") % 3 + 1).alias("value"))
+    return documents.integer_shares(li, "l_orderkey", "line")
 
 
 @query("t50_local_numbers", "SELECT o_orderkey AS id, CASE o_orderkey % 2 WHEN 0 THEN format('{:,}', x // 100) || '.' || lpad((x % 100)::VARCHAR, 2, '0') ELSE replace(format('{:,}', x // 100), ',', ' ') || ',' || lpad((x % 100)::VARCHAR, 2, '0') END AS number FROM (SELECT o_orderkey, round(o_totalprice * 100)::BIGINT AS x FROM orders)")
@@ -171,11 +184,10 @@ def t54(spark, d):
     return v.read(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", F.regexp_count("text", F.lit(r"\p{L}")).cast("long").alias("letters")).filter("letters >= 200")
 
 
-@query("t56_source_excerpts", "WITH o AS (SELECT doc_id, source, length(text) AS n, sum(length(text)) OVER (PARTITION BY source ORDER BY doc_id) AS upto FROM documents WHERE text IS NOT NULL) SELECT doc_id, source, least(n, 20000 - (upto - n))::BIGINT AS taken FROM o WHERE upto - n < 20000")
+@query("t56_source_excerpts", "SELECT source, count(text) AS n_pages, coalesce(sum(least(length(text), 12000)) FILTER (WHERE text IS NOT NULL), 0)::BIGINT AS n_chars, coalesce(sum(least(length(text), 12000)) FILTER (WHERE text IS NOT NULL), 0) > 100000 AS refused FROM documents GROUP BY 1")
 def t56(spark, d):
-    """The first texts of each source that fit into its room; the last is cut."""
-    docs = v.read(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", "source", F.length("text").cast("long").alias("n"))
-    return documents.fitted(docs, "source", "doc_id", "n", 20_000)
+    """What each source gives, and whether that is more than a request may hold."""
+    return documents.source_excerpts(v.read(spark, d, "documents").select("source", "text"), "source", 100_000)
 
 
 @query("t60_call_ranges", "SELECT p_partkey AS id, unnest(range(0, greatest(1, p_size), 12))::INT AS first, least(unnest(range(0, greatest(1, p_size), 12)) + 12, p_size)::INT AS past FROM part")

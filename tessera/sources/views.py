@@ -64,7 +64,8 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
         _pick(F.col("l_partkey"), "m1", "m2").alias("requested_model"), _pick(F.col("l_suppkey"), "m1", "m2", "m3").alias("resolved_model"), F.col("l_linestatus").alias("stage"),
         F.when(F.col("l_linenumber") % 5 == 0, "failed").when(F.col("l_linenumber") % 6 == 0, "rejected").otherwise("succeeded").alias("status"),
         (F.col("l_returnflag") == "R").alias("duplicate_response"), F.when(F.col("l_partkey") % 7 != 0, n).alias("input_tokens"), F.when(F.col("l_suppkey") % 11 != 0, n * 3).alias("output_tokens"),
-        F.col("l_shipdate").cast("timestamp").alias("created_at"),
+        F.col("l_shipdate").cast("timestamp").alias("created_at"), F.when(F.col("l_suppkey") % 25 == 0, "development").when(F.col("l_suppkey") % 25 == 1, "unknown").otherwise("production").alias("environment"),
+        _pick(F.col("l_suppkey"), "en", "uz", "ru").alias("locale"), _pick(F.col("l_orderkey"), "web", "bot", "mini_app").alias("origin_channel"),
     )
 
 
@@ -114,7 +115,8 @@ ev AS (SELECT event_id AS id, user_id AS account_id, event_type, ts::TIMESTAMP A
 eacc AS (SELECT account_id AS id, min(occurred_at) AS created_at, any_value(locale) AS locale, any_value(channel) AS first_channel, bool_or(environment = 'development') AS is_test FROM ev WHERE event_type = 'signup' GROUP BY 1),
 att AS (SELECT l_orderkey AS job_id, l_linenumber AS no, ['alpha','beta'][(l_suppkey % 2 + 1)::INT] AS provider, ['pdf','slides','cv'][(l_partkey % 3 + 1)::INT] AS feature_id, ['m1','m2'][(l_partkey % 2 + 1)::INT] AS requested_model,
   ['m1','m2','m3'][(l_suppkey % 3 + 1)::INT] AS resolved_model, l_linestatus AS stage, CASE WHEN l_linenumber % 5 = 0 THEN 'failed' WHEN l_linenumber % 6 = 0 THEN 'rejected' ELSE 'succeeded' END AS status,
-  l_returnflag = 'R' AS duplicate_response, CASE WHEN l_partkey % 7 <> 0 THEN l_quantity::BIGINT END AS input_tokens, CASE WHEN l_suppkey % 11 <> 0 THEN l_quantity::BIGINT * 3 END AS output_tokens, l_shipdate::TIMESTAMP AS created_at FROM lineitem),
+  l_returnflag = 'R' AS duplicate_response, CASE WHEN l_partkey % 7 <> 0 THEN l_quantity::BIGINT END AS input_tokens, CASE WHEN l_suppkey % 11 <> 0 THEN l_quantity::BIGINT * 3 END AS output_tokens, l_shipdate::TIMESTAMP AS created_at,
+  CASE l_suppkey % 25 WHEN 0 THEN 'development' WHEN 1 THEN 'unknown' ELSE 'production' END AS environment, ['en','uz','ru'][(l_suppkey % 3 + 1)::INT] AS locale, ['web','bot','mini_app'][(l_orderkey % 3 + 1)::INT] AS origin_channel FROM lineitem),
 pay AS (SELECT o_orderkey AS id, o_custkey AS account_id, floor(o_totalprice)::BIGINT AS amount, CASE WHEN o_orderkey % 9 = 0 THEN 'referral' ELSE 'manual' END AS provider, o_orderdate::TIMESTAMP AS occurred_at FROM orders WHERE o_orderstatus = 'F'),
 ref AS (SELECT l_orderkey AS payment_id, floor(l_extendedprice)::BIGINT AS amount, CASE WHEN l_linenumber = 1 THEN 'requested' ELSE 'confirmed' END AS status, l_shipdate::TIMESTAMP AS confirmed_at FROM lineitem WHERE l_returnflag = 'R'),
 per AS (SELECT o_orderkey AS id, o_custkey AS account_id, CASE WHEN o_orderpriority < '3' THEN 'premium' ELSE 'plus' END AS plan, o_orderdate::TIMESTAMP AS starts_at, o_orderdate::TIMESTAMP + INTERVAL 30 DAY AS ends_at,
