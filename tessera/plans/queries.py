@@ -10,7 +10,7 @@ from ..functions import expr, text
 from ..operators import checks, documents, queues, reports, temporal
 from ..sources import views as v
 from ..streaming import events as streams
-from . import amounts, exports, facts, listings, outboxes, registry, states, values  # noqa: F401  each registers its queries
+from . import amounts, exports, facts, listings, outboxes, registry, scripts, states, values  # noqa: F401  each registers its queries
 from .filters import Filters
 from .registry import oracle_sql, queries, query  # noqa: F401
 
