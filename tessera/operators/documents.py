@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Callable
+from itertools import chain
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from ..functions.text import jaccard, shingles, words
+from ..functions.text import MARKS, jaccard, shingles, words
 
 #: Words from which sections and paragraphs are compared, and the similarity that makes a copy.
 SECTION, SECTION_ALIKE = 6, 0.6
@@ -19,43 +25,67 @@ def sections(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("no", "text"))
 
 
-def _runs(size: int):
-    """The distinct runs of `size` words as hashes of the words' hashes; the whole of fewer."""
-    h, n = F.col("h"), F.size("h")
-    runs = F.transform(F.sequence(F.lit(0), n - size), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(size)]))
-    return F.when(n >= size, F.array_distinct(runs)).otherwise(F.array(F.xxhash64(h)))
+def _runs(words: list[str], size: int) -> set[tuple[str, ...]]:
+    """The distinct runs of `size` words; the whole of fewer."""
+    return {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))}
 
 
-def _alike(parts: DataFrame, size, least: int, alike: float, owners: int) -> DataFrame:
-    """Per part of `least` words the first earlier part of the same document, of `owners` words, that is alike. Pairs meet on a shared shingle.
+def first_alike(parts: list[list[str]], runs: Callable[[list[str]], set], least: int, alike: float, owners: int) -> dict[int, int]:
+    """Of each part of `least` words the first earlier part, of `owners` words, with a Jaccard similarity of `alike` at least. Parts meet on a shared run.
 
     Equal parts are one: the first of them meets the others, and each later one has what the first has, or the first itself.
     """
-    p = parts.withColumn("h", F.transform(words(F.col("text")), lambda w: F.xxhash64(w))).filter(F.size("h") >= min(least, owners))
-    p = p.select("doc_id", "no", "h", F.xxhash64("h", F.size("h")).alias("same"))
-    firsts = p.groupBy("doc_id", "same").agg(F.min("no").alias("first"))
-    p = p.join(firsts, ["doc_id", "same"])
-    one = p.filter("no = first").select("doc_id", "no", size.alias("s"), (F.size("h") >= least).alias("later"), (F.size("h") >= owners).alias("owns"))
-    # The outer form: the plain one infers a filter on the array, which would compute the shingles a second time, word by word.
-    k = one.select("doc_id", "no", "later", "owns", F.size("s").alias("n"), F.explode_outer("s").alias("k"))
-    a, b = k.filter("later").alias("a"), k.filter("owns").alias("b")
-    met = a.join(b, (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.k") == F.col("b.k")) & (F.col("a.no") > F.col("b.no")))
-    pairs = met.groupBy(F.col("a.doc_id").alias("doc_id"), F.col("a.no").alias("first"), F.col("b.no").alias("owner")).agg(F.count("*").alias("both"), F.first("a.n").alias("n"), F.first("b.n").alias("m"))
-    best = pairs.filter(F.col("both") >= alike * (F.col("n") + F.col("m") - F.col("both"))).groupBy("doc_id", "first").agg(F.min("owner").alias("owner"))
-    found = p.filter(F.size("h") >= least).select("doc_id", "no", "first").join(best, ["doc_id", "first"], "left")
-    found = found.withColumn("owner", F.coalesce("owner", F.when((F.col("no") > F.col("first")) & F.lit(owners <= least), F.col("first"))))
-    return found.filter("owner IS NOT NULL").select("doc_id", "no", "owner")
+    first: dict[tuple[str, ...], int] = {}
+    holding: dict[tuple[str, ...], list[int]] = {}
+    sizes: dict[int, int] = {}
+    found: dict[int, int] = {}
+    for no, words in enumerate(parts):
+        if len(words) < min(least, owners):
+            continue
+        same = first.setdefault(tuple(words), no)
+        if same != no:
+            if len(words) >= least:
+                found[no] = found.get(same, same)
+            continue
+        own = runs(words)
+        if len(words) >= least:
+            both = Counter(chain.from_iterable(holding.get(r, ()) for r in own))
+            near = [other for other, n in both.items() if n >= alike * (len(own) + sizes[other] - n)]
+            if near:
+                found[no] = min(near)
+        if len(words) >= owners:
+            sizes[no] = len(own)
+            for r in own:
+                holding.setdefault(r, []).append(no)
+    return found
+
+
+_WORD = re.compile(r"[\w']+")
+_SAME = str.maketrans({**dict.fromkeys(MARKS, "'"), **dict.fromkeys("óòōŏ", "o'"), **dict.fromkeys("ÓÒŌŎ", "O'"), "ğ": "g'", "Ğ": "G'"})
+
+
+def _alike(docs: DataFrame, runs: Callable[[list[str]], set], least: int, alike: float, owners: int) -> DataFrame:
+    """doc_id, no and owner by one pass over the documents: each is read once and no row is shuffled."""
+
+    def whole(batches):
+        for batch in batches:
+            out: list[tuple] = []
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                parts = [_WORD.findall(line) for line in (text or "").translate(_SAME).lower().split("\n")]
+                out += [(doc_id, no, owner) for no, owner in first_alike(parts, runs, least, alike, owners).items()]
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], batch.schema.field(0).type), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.int32())], names=["doc_id", "no", "owner"])
+
+    return docs.select("doc_id", "text").mapInArrow(whole, f"doc_id {dict(docs.dtypes)['doc_id']}, no int, owner int")
 
 
 def repeated_sections(docs: DataFrame) -> DataFrame:
-    """Three-word shingles from 12 words on, else two; similarity 0.6. A shorter section than SECTION may be repeated and is no repeat itself."""
-    size = F.when(F.size("h") >= 12, _runs(3)).otherwise(_runs(2))
-    return _alike(sections(docs), size, SECTION, SECTION_ALIKE, 1)
+    """Three-word runs from 12 words on, else two; similarity 0.6. A shorter section than SECTION may be repeated and is no repeat itself."""
+    return _alike(docs, lambda w: _runs(w, 3 if len(w) >= 12 else 2), SECTION, SECTION_ALIKE, 1)
 
 
 def repeated_paragraphs(docs: DataFrame) -> DataFrame:
-    """Four-word shingles, similarity 0.8."""
-    return _alike(sections(docs), _runs(4), PARAGRAPH, PARAGRAPH_ALIKE, PARAGRAPH)
+    """Four-word runs, similarity 0.8."""
+    return _alike(docs, lambda w: _runs(w, 4), PARAGRAPH, PARAGRAPH_ALIKE, PARAGRAPH)
 
 
 def headings(parts: DataFrame) -> DataFrame:

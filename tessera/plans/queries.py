@@ -408,12 +408,21 @@ def t16(spark, d):
     return v.read(spark, d, "documents").select("doc_id", F.size(text.words(F.col("text"))).alias("n"))
 
 
-@query("t19_repeated_sections")
+def _alike_sql(size: str, least: int, alike: float, owners: int) -> str:
+    """The first earlier line of a document that is alike, by runs of words compared pair by pair."""
+    return f"""WITH s AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS text, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS no FROM documents),
+    w AS (SELECT doc_id, no, {values._WORDS} AS w FROM s), n AS (SELECT *, len(w) AS n FROM w WHERE len(w) >= {min(least, owners)}), z AS (SELECT *, {size} AS z FROM n),
+    r AS MATERIALIZED (SELECT doc_id, no, n, list_distinct(list_transform(range(1, greatest(n - z + 1, 1) + 1), lambda i: array_to_string(list_slice(w, i, i + z - 1), ' '))) AS r FROM z),
+    p AS (SELECT a.doc_id, a.no, b.no AS owner, len(list_intersect(a.r, b.r)) AS k, len(a.r) AS x, len(b.r) AS y FROM r a JOIN r b ON a.doc_id = b.doc_id AND b.no < a.no WHERE a.n >= {least} AND b.n >= {owners})
+    SELECT doc_id, no::INT AS no, min(owner)::INT AS owner FROM p WHERE k > 0 AND k >= {alike}::DOUBLE * (x + y - k) GROUP BY doc_id, no"""
+
+
+@query("t19_repeated_sections", _alike_sql("CASE WHEN n >= 12 THEN 3 ELSE 2 END", 6, 0.6, 1))
 def t19(spark, d):
     return documents.repeated_sections(v.read(spark, d, "documents"))
 
 
-@query("t20_repeated_paragraphs")
+@query("t20_repeated_paragraphs", _alike_sql("4", 10, 0.8, 10))
 def t20(spark, d):
     return documents.repeated_paragraphs(v.read(spark, d, "documents"))
 
