@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Callable
 from itertools import chain
 
@@ -30,10 +30,11 @@ def _runs(words: list[str], size: int) -> set[tuple[str, ...]]:
     return {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))}
 
 
-def first_alike(parts: list[list[str]], runs: Callable[[list[str]], set], least: int, alike: float, owners: int) -> dict[int, int]:
+def first_alike(parts: list[list[str]], runs: Callable[[list[str]], set], least: int, alike: float, owners: int, groups: list[int] | None = None) -> dict[int, int]:
     """Of each part of `least` words the first earlier part, of `owners` words, with a Jaccard similarity of `alike` at least. Parts meet on a shared run.
 
-    Equal parts are one: the first of them meets the others, and each later one has what the first has, or the first itself.
+    Equal parts are one: the first of them meets the others, and each later one has what the first has, or the first itself. With `groups`
+    parts of one group don't count for one another.
     """
     first: dict[tuple[str, ...], int] = {}
     holding: dict[tuple[str, ...], list[int]] = {}
@@ -42,7 +43,7 @@ def first_alike(parts: list[list[str]], runs: Callable[[list[str]], set], least:
     for no, words in enumerate(parts):
         if len(words) < min(least, owners):
             continue
-        same = first.setdefault(tuple(words), no)
+        same = first.setdefault(tuple(words), no) if groups is None else no
         if same != no:
             if len(words) >= least:
                 found[no] = found.get(same, same)
@@ -50,7 +51,7 @@ def first_alike(parts: list[list[str]], runs: Callable[[list[str]], set], least:
         own = runs(words)
         if len(words) >= least:
             both = Counter(chain.from_iterable(holding.get(r, ()) for r in own))
-            near = [other for other, n in both.items() if n >= alike * (len(own) + sizes[other] - n)]
+            near = [other for other, n in both.items() if n >= alike * (len(own) + sizes[other] - n) and (groups is None or groups[other] != groups[no])]
             if near:
                 found[no] = min(near)
         if len(words) >= owners:
@@ -64,28 +65,42 @@ _WORD = re.compile(r"[\w']+")
 _SAME = str.maketrans({**dict.fromkeys(MARKS, "'"), **dict.fromkeys("óòōŏ", "o'"), **dict.fromkeys("ÓÒŌŎ", "O'"), "ğ": "g'", "Ğ": "G'"})
 
 
-def _alike(docs: DataFrame, runs: Callable[[list[str]], set], least: int, alike: float, owners: int) -> DataFrame:
-    """doc_id, no and owner by one pass over the documents: each is read once and no row is shuffled."""
+def alike_parts(docs: DataFrame, runs: Callable[[list[str]], set], least: int, alike: float, owners: int) -> DataFrame:
+    """doc_id, no and owner by one pass over the documents: each is read once and no row is shuffled. docs: doc_id, parts (texts), and maybe groups, the number of each part's group."""
+    grouped = "groups" in docs.columns
 
     def whole(batches):
         for batch in batches:
             out: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                parts = [_WORD.findall(line) for line in (text or "").translate(_SAME).lower().split("\n")]
-                out += [(doc_id, no, owner) for no, owner in first_alike(parts, runs, least, alike, owners).items()]
+            for i, doc_id in enumerate(batch.column(0).to_pylist()):
+                parts = [_WORD.findall((part or "").translate(_SAME).lower()) for part in batch.column(1)[i].as_py() or []]
+                groups = batch.column(2)[i].as_py() if grouped else None
+                out += [(doc_id, no, owner) for no, owner in first_alike(parts, runs, least, alike, owners, groups).items()]
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], batch.schema.field(0).type), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.int32())], names=["doc_id", "no", "owner"])
 
-    return docs.select("doc_id", "text").mapInArrow(whole, f"doc_id {dict(docs.dtypes)['doc_id']}, no int, owner int")
+    return docs.select("doc_id", "parts", *["groups"] * grouped).mapInArrow(whole, f"doc_id {dict(docs.dtypes)['doc_id']}, no int, owner int")
+
+
+def _lines(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("parts"))
+
+
+def section_runs(words: list[str]) -> set:
+    return _runs(words, 3 if len(words) >= 12 else 2)
+
+
+def paragraph_runs(words: list[str]) -> set:
+    return _runs(words, 4)
 
 
 def repeated_sections(docs: DataFrame) -> DataFrame:
     """Three-word runs from 12 words on, else two; similarity 0.6. A shorter section than SECTION may be repeated and is no repeat itself."""
-    return _alike(docs, lambda w: _runs(w, 3 if len(w) >= 12 else 2), SECTION, SECTION_ALIKE, 1)
+    return alike_parts(_lines(docs), section_runs, SECTION, SECTION_ALIKE, 1)
 
 
 def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     """Four-word runs, similarity 0.8."""
-    return _alike(docs, lambda w: _runs(w, 4), PARAGRAPH, PARAGRAPH_ALIKE, PARAGRAPH)
+    return alike_parts(_lines(docs), paragraph_runs, PARAGRAPH, PARAGRAPH_ALIKE, PARAGRAPH)
 
 
 def headings(parts: DataFrame) -> DataFrame:
@@ -167,3 +182,52 @@ def source_excerpts(pages: DataFrame, group: str, room: int, most: int = 12_000)
     """What a request's sources give: pages and characters, each page cut at `most`, and whether that is refused, being more than the room. Nothing is cut to fit."""
     size = F.when(F.col("text").isNotNull(), F.least(F.length("text"), F.lit(most))).cast("long")
     return pages.groupBy(group).agg(F.count("text").alias("n_pages"), F.coalesce(F.sum(size), F.lit(0)).alias("n_chars")).withColumn("refused", F.col("n_chars") > room)
+
+
+def both_ends(sizes: list[list[int]], room: int) -> list[set[int]] | None:
+    """Which parts of each file fit into a room: files take turns, each giving its first part, its last, its next from the front, and so on
+    until one doesn't fit. None where some file would lose its first or last part."""
+    kept: list[set[int]] = [set() for _ in sizes]
+    turns = deque((i, 0, len(parts) - 1, True) for i, parts in enumerate(sizes) if parts)
+    while turns:
+        i, first, last, front = turns.popleft()
+        part = first if front else last
+        if sizes[i][part] > room:
+            continue
+        room -= sizes[i][part]
+        kept[i].add(part)
+        first, last = (first + 1, last) if front else (first, last - 1)
+        if first <= last:
+            turns.append((i, first, last, not front))
+    whole = all({0, len(parts) - 1} <= kept[i] for i, parts in enumerate(sizes) if parts)
+    return kept if whole else None
+
+
+def packed(pages: DataFrame, room: int, least: int = 40, ends: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The pages of each request that fit its room, and what is said of it: refused (source_unreadable, generation_limit or null), cut, unread files.
+
+    pages: key, file, page, text. Blank pages and files without a letter are left out; fewer than `least` letters are unreadable. What is too
+    much keeps the files' both ends, or is refused. The choice is made on sizes: one list of numbers a request, bounded by the pages it may have.
+    """
+    letters, text = F.regexp_count("text", F.lit(r"\p{L}")), F.coalesce("text", F.lit(""))
+    sized = pages.select("key", "file", "page", F.length(text).alias("size"), F.coalesce(letters, F.lit(0)).alias("letters"), (F.trim(F.regexp_replace(text, r"(?U)\s+", " ")) == "").alias("blank"))
+    files = sized.groupBy("key", "file").agg(F.sum(F.when(~F.col("blank"), F.col("letters")).otherwise(0)).alias("letters"), F.array_sort(F.collect_list(F.when(~F.col("blank"), F.struct("page", "size")))).alias("pages"))
+    asked = files.groupBy("key").agg(
+        F.sum("letters").alias("_letters"), F.array_sort(F.collect_list(F.when(F.col("letters") > 0, F.struct("file", "pages")))).alias("_files"), F.collect_list(F.when(F.col("letters") == 0, F.col("file"))).alias("unread"),
+    )
+    size = F.aggregate(F.flatten(F.transform("_files", lambda f: f["pages"])), F.lit(0).cast("bigint"), lambda a, p: a + p["size"])
+
+    @pandas_udf("array<array<int>>")
+    def chosen(of: pd.Series) -> pd.Series:
+        found = (both_ends([list(map(int, parts)) for parts in sizes], room) for sizes in of)
+        return pd.Series([None if x is None else [sorted(k) for k in x] for x in found])
+
+    over = size > room
+    asked = asked.withColumn("_over", over).withColumn("_kept", chosen(F.transform("_files", lambda f: F.transform(f["pages"], lambda p: p["size"]))))
+    refused = F.when(F.col("_letters") < least, "source_unreadable").when(F.col("_over") & (F.col("_kept").isNull() | F.lit(not ends)), "generation_limit")
+    asked = asked.withColumn("refused", refused)
+    said = asked.select("key", "refused", (F.col("_over") & F.col("refused").isNull()).alias("cut"), "unread")
+    file = asked.filter("refused IS NULL").select("key", "_over", F.posexplode("_files").alias("_i", "f"), "_kept")
+    page = file.select("key", "f.file", "_over", F.get("_kept", F.col("_i")).alias("_k"), F.posexplode("f.pages").alias("_j", "p"))
+    kept = page.filter(~F.col("_over") | F.array_contains("_k", F.col("_j"))).select("key", "file", "p.page")
+    return kept, said

@@ -7,7 +7,7 @@ import dataclasses
 from pyspark.sql import functions as F
 
 from ..functions import expr, text
-from ..operators import checks, documents, queues, reports, temporal
+from ..operators import checks, documents, queues, reports, review, temporal
 from ..sources import views as v
 from ..streaming import events as streams
 from . import amounts, exports, facts, listings, outboxes, registry, scripts, states, values  # noqa: F401  each registers its queries
@@ -408,9 +408,12 @@ def t16(spark, d):
     return v.read(spark, d, "documents").select("doc_id", F.size(text.words(F.col("text"))).alias("n"))
 
 
-def _alike_sql(size: str, least: int, alike: float, owners: int) -> str:
-    """The first earlier line of a document that is alike, by runs of words compared pair by pair."""
-    return f"""WITH s AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS text, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS no FROM documents),
+_LINES = "SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS text, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS no FROM documents"
+
+
+def _alike_sql(size: str, least: int, alike: float, owners: int, parts: str = _LINES) -> str:
+    """The first earlier part (doc_id, no, text) of a document that is alike, by runs of words compared pair by pair."""
+    return f"""WITH s AS ({parts}),
     w AS (SELECT doc_id, no, {values._WORDS} AS w FROM s), n AS (SELECT *, len(w) AS n FROM w WHERE len(w) >= {min(least, owners)}), z AS (SELECT *, {size} AS z FROM n),
     r AS MATERIALIZED (SELECT doc_id, no, n, list_distinct(list_transform(range(1, greatest(n - z + 1, 1) + 1), lambda i: array_to_string(list_slice(w, i, i + z - 1), ' '))) AS r FROM z),
     p AS (SELECT a.doc_id, a.no, b.no AS owner, len(list_intersect(a.r, b.r)) AS k, len(a.r) AS x, len(b.r) AS y FROM r a JOIN r b ON a.doc_id = b.doc_id AND b.no < a.no WHERE a.n >= {least} AND b.n >= {owners})
@@ -427,6 +430,39 @@ def t20(spark, d):
     return documents.repeated_paragraphs(v.read(spark, d, "documents"))
 
 
+_STEM = "replace(w, '''', '')[:5]"
+_SIZE = f"greatest(3, least(length({_STEM}), 5) - 1)"
+_REVIEWED = rf"""s AS MATERIALIZED (SELECT doc_id, no, text AS body, CASE no % 4 WHEN 0 THEN 'Head ' || (no % 8) WHEN 1 THEN 'Head ' || ((no - 1) % 8) END AS heading, no % 5 = 2 AS item, trim(regexp_replace(text, '\s+', ' ', 'g')) = '' AS blank FROM ({_LINES})),
+x AS MATERIALIZED (SELECT *, blank AND NOT item AS bare, blank AND NOT item AND heading IS NULL AS empty, concat_ws(chr(10), heading, nullif(body, ''), CASE WHEN item THEN 'б' END) AS text FROM s),
+h AS (SELECT doc_id, no, bare, lower(heading) AS h, last_value(lower(heading) IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS cur FROM x WHERE NOT empty),
+o AS (SELECT *, h IS NOT NULL AND NOT bare AND h IS DISTINCT FROM cur AS own FROM h), f AS (SELECT *, min(CASE WHEN own THEN no END) OVER (PARTITION BY doc_id, h) AS first FROM o),
+st AS (SELECT doc_id, no, {values._WORDS} AS ws FROM x),
+ot AS (SELECT doc_id, no FROM st WHERE len(ws) >= 25 AND doc_id IN (SELECT doc_id FROM x GROUP BY 1 HAVING count(*) >= 3)
+  AND len(list_filter(ws, lambda w: length(w) >= 3 AND NOT list_contains({review.STOP!r}, w) AND left({_STEM}, {_SIZE}) = left('repor', {_SIZE}))) = 0)"""
+
+
+@query(
+    "t24_document_review",
+    f"""WITH {_REVIEWED}
+    SELECT doc_id, no::INT AS section, 'script' AS code FROM x WHERE item UNION ALL SELECT doc_id, NULL, 'section_count' FROM x GROUP BY 1 HAVING count(*) <> 5 UNION ALL SELECT doc_id, no, 'empty_section' FROM x WHERE bare
+    UNION ALL SELECT doc_id, no, 'continued_heading' FROM f WHERE h = cur UNION ALL SELECT doc_id, no, 'repeated_heading' FROM f WHERE own AND no <> first UNION ALL SELECT doc_id, no, 'off_topic' FROM ot
+    UNION ALL SELECT doc_id, no, 'duplicate_section' FROM ({_alike_sql("CASE WHEN n >= 12 THEN 3 ELSE 2 END", 6, 0.6, 1, "SELECT doc_id, no, text FROM x WHERE NOT bare")})
+    UNION ALL SELECT doc_id, no, 'duplicate_paragraph' FROM ({_alike_sql("4", 10, 0.8, 10, "SELECT doc_id, no, body AS text FROM x")})""",
+)
+def t24(spark, d):
+    """Documents whose lines are sections of quotations, which are judged for no language, some under headings that go on or come again, some with a label in another alphabet."""
+    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
+    null = lambda kind="string": F.lit(None).cast(kind)
+    item = F.array(F.struct(F.lit("б").alias("label"), null().alias("text"), null().alias("value")))
+    head = lambda i: F.when(i % 4 == 0, F.concat(F.lit("Head "), i % 8)).when(i % 4 == 1, F.concat(F.lit("Head "), (i - 1) % 8))
+    section = lambda x, i: F.struct(head(i).alias("heading"), x.alias("body"), null().alias("notes"), F.when(i % 5 == 2, item).alias("items"), null("array<string>").alias("columns"), F.lit("quote").alias("layout"))
+    docs = v.read(spark, d, "documents").select(
+        "doc_id", F.lit("en").alias("locale"), F.lit("the report is on the and of that").alias("prompt"), null().alias("request"), F.lit(5).alias("expected"), null("array<string>").alias("subtopics"), null().alias("title"),
+        F.transform(lines, section).alias("sections"), null("array<struct<stem:string,answer:string,explanation:string,topic:string,options:array<string>>>").alias("questions"),
+    )
+    return review.check(docs)
+
+
 @query("t21_headings", """WITH p AS (SELECT conv_id AS doc_id, turn AS no, lower(trim(role)) AS h FROM conversations), w AS (SELECT *, last_value(nullif(h, '') IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b, row_number() OVER (PARTITION BY doc_id, h ORDER BY no) > 1 AS s FROM p),
 c AS (SELECT *, coalesce(h = b, false) AND h <> '' AS continued FROM w) SELECT doc_id, no, h = '' AS empty, continued, s AND h <> '' AND NOT continued AS repeated FROM c""")
 def t21(spark, d):

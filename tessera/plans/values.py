@@ -190,6 +190,24 @@ def t56(spark, d):
     return documents.source_excerpts(v.read(spark, d, "documents").select("source", "text"), "source", 100_000)
 
 
+@query(
+    "t54_readable_sources",
+    r"""WITH f AS (SELECT source, lang, sum(CASE WHEN trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) = '' THEN 0 ELSE len(regexp_extract_all(text, '\p{L}')) END) AS letters, sum(CASE WHEN trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) = '' THEN 0 ELSE length(text) END) AS n FROM documents GROUP BY ALL)
+    SELECT source AS key, CASE WHEN sum(letters) < 40 THEN 'source_unreadable' WHEN sum(n) FILTER (WHERE letters > 0) > 200000 THEN 'generation_limit' END AS refused, count(*) FILTER (WHERE letters = 0) AS unread FROM f GROUP BY 1""",
+)
+def t54(spark, d):
+    """A source's languages as its files: what is unreadable or too much when nothing may be cut."""
+    pages = v.read(spark, d, "documents").select(F.col("source").alias("key"), F.col("lang").alias("file"), F.col("doc_id").alias("page"), "text")
+    return documents.packed(pages, 200_000, ends=False)[1].select("key", "refused", F.size("unread").cast("long").alias("unread"))
+
+
+@query("t55_both_ends")
+def t55(spark, d):
+    """The same where each file keeps its beginning and its end."""
+    pages = v.read(spark, d, "documents").select(F.col("source").alias("key"), F.col("lang").alias("file"), F.col("doc_id").alias("page"), "text")
+    return documents.packed(pages, 100_000)[0]
+
+
 @query("t60_call_ranges", "SELECT p_partkey AS id, unnest(range(0, greatest(1, p_size), 12))::INT AS first, least(unnest(range(0, greatest(1, p_size), 12)) + 12, p_size)::INT AS past FROM part")
 def t60(spark, d):
     return v.read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.explode(expr.call_ranges(F.col("p_size"), 12)).alias("r")).select("id", "r.first", "r.past")
