@@ -148,9 +148,9 @@ def submissions(sent: DataFrame) -> DataFrame:
     return sent.join(first, ["account_id", "key"]).select("id", F.col("_f.id").alias("first_id"), (F.col("id") == F.col("_f.id")).alias("made"), (F.col("hash") != F.col("_f.hash")).alias("conflict"))
 
 
-def room(outstanding: DataFrame, limit: int, most: int = 50) -> DataFrame:
-    """Q3: how many more may be published."""
-    return outstanding.agg(F.greatest(F.lit(0), min(limit, most) - F.count("*")).cast("long").alias("room"))
+def room(outstanding: DataFrame, limit: int, most: int = 50, by: tuple[str, ...] = ()) -> DataFrame:
+    """Q3: how many more may be published, in all or of each group."""
+    return outstanding.groupBy(*by).agg(F.greatest(F.lit(0), min(limit, most) - F.count("*")).cast("long").alias("room"))
 
 
 def delivery_states(attempts: DataFrame, most: int = 10) -> DataFrame:

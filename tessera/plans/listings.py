@@ -234,8 +234,9 @@ def r25_standing(spark, d):
 
 @query("j08_settled_posts", f"WITH {_POSTS}, {_RCPT} SELECT id, created_at FROM posts WHERE id NOT IN (SELECT post_id FROM rc WHERE status = 'pending' AND pk % 4 = 0)")
 def j08(spark, d):
-    """J8 and Q10."""
-    return queues.settled(posts(spark, d), recipients(spark, d).filter("status != 'pending' OR pk % 4 = 0")).select("id", "created_at")
+    """J8 and Q10. Three of four pending copies are those of accounts that have gone: skipped, nothing waits for them."""
+    skipped = F.when((F.col("status") == "pending") & (F.col("pk") % 4 != 0), "skipped").otherwise(F.col("status"))
+    return queues.settled(posts(spark, d), recipients(spark, d).withColumn("status", skipped)).select("id", "created_at")
 
 
 @query("j09_unreferenced_keys", """WITH k AS (SELECT p_partkey, CASE WHEN p_partkey % 10 = 0 THEN 'review/a/' || (p_partkey % 50) || '/f' ELSE 'file/' || p_partkey END AS key FROM part),

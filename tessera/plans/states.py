@@ -103,10 +103,11 @@ def q02(spark, d):
     return a.join(last, ["job_id", "no"], "left_semi").select("job_id", "no", "status")
 
 
-@query("q03_publish_room", WITH + " SELECT greatest(0, least(40, 50) - count(*))::BIGINT AS room FROM jobs WHERE status = 'queued' AND created_at < TIMESTAMP '1995-02-01 00:00:00' AND id % 9 = 0")
+@query("q03_publish_room", WITH + " SELECT created_at::DATE AS day, greatest(0, least(40, 50) - count(*))::BIGINT AS room FROM jobs WHERE status = 'queued' GROUP BY 1")
 def q03(spark, d):
-    out = v.jobs(spark, d).filter("status = 'queued' AND id % 9 = 0").filter(F.col("created_at") < F.lit("1995-02-01 00:00:00").cast("timestamp"))
-    return queues.room(out, limit=40)
+    """How many more of each day's jobs may be published, over all that are queued."""
+    out = v.jobs(spark, d).filter("status = 'queued'").withColumn("day", F.to_date("created_at"))
+    return queues.room(out, limit=40, by=("day",))
 
 
 _LEASES = f"ls AS (SELECT id, CASE WHEN id % 3 = 0 THEN 'reading' ELSE status END AS status, {_AT} + to_minutes((id % 20 - 10)::INT) AS lease_expires_at, (id % 5)::INT AS attempts FROM jobs)"
