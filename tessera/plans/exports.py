@@ -43,7 +43,7 @@ def s07(spark, d):
     code = F.when(n % 5 == 0, 'a "quoted" code').when(n % 5 == 1, "@code")
     at = lambda c: sinks.local(F.col(c), zone).alias(c)
     rows = jobs.select("id", "account_id", "feature_id", "status", "origin_channel", at("created_at"), at("completed_at"), amount.alias("amount"), code.alias("error_code"))
-    return sinks.exported(rows, _PERIOD, [F.desc("created_at"), F.asc("id")], "2025-01-01 05:00:00+05:00")
+    return sinks.exported(rows, _PERIOD, [F.desc("created_at"), F.asc("id")], "2025-01-01 05:00:00+05:00", most=None, first="created_at")
 
 
 @query(

@@ -91,16 +91,26 @@ def local(ts: Column, zone: str) -> Column:
     return F.concat(F.date_format(there, "yyyy-MM-dd HH:mm:ss"), fraction, offset)
 
 
-def exported(rows: DataFrame, filters, order: list[Column], generated_at: str, most: int = MOST_ROWS) -> DataFrame:
-    """(no, line) of a CSV export: what it is, its filters, the columns' names, the rows in order. More than `most` rows raise ValueError before any is written."""
+def exported(rows: DataFrame, filters, order: list[Column], generated_at: str, most: int | None = MOST_ROWS, first: str | None = None) -> DataFrame:
+    """(no, line) of a CSV export: what it is, its filters, the columns' names, the rows in order. More than `most` rows raise ValueError before any is written.
+
+    Without `most` every row goes out. `first` names the column that `order` begins with: then rows are numbered within each of its values, after a count of those before.
+    """
     spark = rows.sparkSession
-    if rows.limit(most + 1).count() > most:
+    if most is not None and rows.limit(most + 1).count() > most:
         raise ValueError(f"Narrow filters to at most {most} rows")
     about = [("definitions_version", DEFINITIONS), ("generated_at", generated_at), ("times_timezone", filters.timezone), *dataclasses.asdict(filters).items()]
     head = spark.createDataFrame([(i - len(about) - 1, k, str(x)) for i, (k, x) in enumerate(about)], "no long, k string, x string").select("no", F.concat(F.col("k"), F.lit(","), csv_cell(F.col("x"))).alias("line"))
     names = spark.createDataFrame([(-1, ",".join(rows.columns))], "no long, line string")
-    no = F.row_number().over(Window.orderBy(*order)).cast("long") - 1  # at most `most` rows
-    body = rows.select(no.alias("no"), F.concat_ws(",", *[csv_cell(F.col(c)) for c in rows.columns]).alias("line"))
+    line = F.concat_ws(",", *[csv_cell(F.col(c)) for c in rows.columns]).alias("line")
+    if first is None:
+        no = F.row_number().over(Window.orderBy(*order))  # at most `most` rows
+    else:
+        upto = F.sum("_n").over(Window.orderBy(order[0]).rowsBetween(Window.unboundedPreceding, -1))  # a row a value of `first`
+        counts = rows.groupBy(first).agg(F.count("*").alias("_n")).select(F.col(first).alias("_first"), F.coalesce(upto, F.lit(0)).alias("_before"))
+        rows = rows.join(F.broadcast(counts), F.col(first).eqNullSafe(F.col("_first")))
+        no = F.col("_before") + F.row_number().over(Window.partitionBy(first).orderBy(*order[1:]))
+    body = rows.select((no.cast("long") - 1).alias("no"), line)
     lines = head.unionByName(names).unionByName(body)
     first = -len(about) - 1
     return lines.select((F.col("no") - first).alias("no"), F.when(F.col("no") == first, F.concat(F.lit("﻿"), "line")).otherwise(F.col("line")).alias("line"))

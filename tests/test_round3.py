@@ -11,6 +11,14 @@ from tessera.plans.filters import Filters
 from tessera.sources import sinks
 
 
+def test_an_export_without_a_limit_holds_every_row(spark):
+    rows = spark.range(10_500).select("id", (F.col("id") % 7).alias("day"))
+    lines = sinks.exported(rows, Filters("2026-10-01", "2026-10-02"), [F.desc("day"), F.asc("id")], "now", most=None, first="day").orderBy("no").collect()
+    body = [r for r in lines if r.line[0].isdigit()]
+    assert [r.line for r in body] == [f"{i},{day}" for day in range(6, -1, -1) for i in range(day, 10_500, 7)]
+    assert [r.no for r in lines] == list(range(len(lines)))
+
+
 def test_rate_windows_by_the_nearest_second(spark):
     at = [dt.datetime(2024, 1, 1, 12), dt.datetime(2024, 1, 1, 23, 59, 59, 700_000), dt.datetime(2024, 1, 1, 23, 59, 59, 400_000)]
     df = spark.createDataFrame([(i, 1, t) for i, t in enumerate(at)], "id int, key int, at timestamp")
