@@ -6,13 +6,15 @@ null, and nothing is brought to the driver.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import json_text, local_day, rank_index, rate, seconds, share
-from ..plans.filters import Filters
+from ..plans.filters import CHANNELS, Filters
 
 #: Steps of the funnel over the event log, in order.
 FUNNEL = ("signup", "view", "click", "purchase")
@@ -115,9 +117,9 @@ def activity(accounts: DataFrame, events: DataFrame, f: Filters, kinds: tuple[st
     return acts.select("account_id", "last", back).groupBy("days").agg(F.count_if(F.col("last") >= F.timestamp_add("DAY", -F.col("days"), f.now())).alias("users"))
 
 
-def step_funnel(events: DataFrame, f: Filters, steps: tuple[str, ...] = FUNNEL) -> DataFrame:
-    """People of the bot at each step, whatever the channel asked for, and their share of the step before."""
-    counts = replace(f, channel="bot").events(events).filter(F.col("event_type").isin(*steps)).groupBy("event_type").agg(F.count_distinct("account_id").alias("count"))
+def step_funnel(events: DataFrame, f: Filters, steps: tuple[str, ...] = FUNNEL, channel: str = "bot") -> DataFrame:
+    """People of the bot at each step, whatever channel the filters ask for, and their share of the step before."""
+    counts = replace(f, channel=channel).events(events).filter(F.col("event_type").isin(*steps)).groupBy("event_type").agg(F.count_distinct("account_id").alias("count"))
     names = events.sparkSession.createDataFrame([(i, s) for i, s in enumerate(steps)], "step int, event string")
     rows = names.join(counts, F.col("event") == F.col("event_type"), "left").select("step", "event", F.coalesce("count", F.lit(0)).alias("count"))
     before = F.lag("count").over(Window.partitionBy(F.lit(0)).orderBy("step"))  # a row a step
@@ -129,6 +131,12 @@ def _screen(events: DataFrame, f: Filters, kind: str) -> DataFrame:
     return replace(f, channel=f.channel or "bot").events(events).filter(F.col("event_type") == kind)
 
 
+def by_channel(report: Callable[[str], DataFrame]) -> DataFrame:
+    """A report of one channel for each of them: the bot's rows are the reference's, and no event is left out."""
+    each = [report(c).select(F.lit(c).alias("channel"), "*") for c in CHANNELS]
+    return reduce(DataFrame.unionByName, each)
+
+
 def screen_views(events: DataFrame, f: Filters, kind: str = "view") -> DataFrame:
     """R11 by source: openings and people; a missing source is `other`."""
     seen = _screen(events, f, kind)

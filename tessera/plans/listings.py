@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -148,18 +150,18 @@ def o05(spark, d):
 _PLANS = "['premium','free','plus','trial'][(account_id % 4 + 1)::INT]"
 
 
-@query("r11_screen_plans", WITH + f", s AS (SELECT {_PLANS} AS plan, count(*) AS views, count(DISTINCT account_id) AS people FROM ev WHERE {_D} AND environment = 'production' AND channel = 'bot' AND event_type = 'view' GROUP BY 1) SELECT *, row_number() OVER (ORDER BY CASE plan WHEN 'free' THEN 0 WHEN 'plus' THEN 1 WHEN 'premium' THEN 2 ELSE 3 END, plan)::INT AS place FROM s")
+@query("r11_screen_plans", WITH + f", s AS (SELECT channel, {_PLANS} AS plan, count(*) AS views, count(DISTINCT account_id) AS people FROM ev WHERE {_D} AND environment = 'production' AND event_type = 'view' GROUP BY 1, 2) SELECT *, row_number() OVER (PARTITION BY channel ORDER BY CASE plan WHEN 'free' THEN 0 WHEN 'plus' THEN 1 WHEN 'premium' THEN 2 ELSE 3 END, plan)::INT AS place FROM s")
 def r11_plans(spark, d):
     """R11 by plan, in the plans' own order."""
     plan = F.element_at(F.array(*map(F.lit, ("premium", "free", "plus", "trial"))), (F.col("account_id") % 4 + 1).cast("int"))
-    return reports.screen_plans(v.events(spark, d).withColumn("plan_at_event", plan), DAYS)
+    return reports.by_channel(lambda c: reports.screen_plans(v.events(spark, d).withColumn("plan_at_event", plan), dataclasses.replace(DAYS, channel=c)))
 
 
-@query("r11_screen_days", WITH + f""", c AS (SELECT (occurred_at + INTERVAL 5 HOUR)::DATE AS date, count(*) AS v, count(DISTINCT account_id) AS p FROM ev WHERE {_D} AND environment = 'production' AND channel = 'bot' AND event_type = 'view' GROUP BY 1),
-s AS (SELECT unnest(generate_series(DATE '2024-01-05', DATE '2024-01-24', INTERVAL 1 DAY))::DATE AS date), j AS (SELECT date, coalesce(v, 0)::BIGINT AS views, coalesce(p, 0)::BIGINT AS people FROM s LEFT JOIN c USING (date))
-SELECT date, views, people, round_even(100.0::DOUBLE * views / greatest((SELECT max(views) FROM j), 1), 1) AS height FROM j""")
+@query("r11_screen_days", WITH + f""", c AS (SELECT channel, (occurred_at + INTERVAL 5 HOUR)::DATE AS date, count(*) AS v, count(DISTINCT account_id) AS p FROM ev WHERE {_D} AND environment = 'production' AND event_type = 'view' GROUP BY 1, 2),
+s AS (SELECT channel, unnest(generate_series(DATE '2024-01-05', DATE '2024-01-24', INTERVAL 1 DAY))::DATE AS date FROM (SELECT unnest(['web', 'bot', 'mini_app']) AS channel)), j AS (SELECT channel, date, coalesce(v, 0)::BIGINT AS views, coalesce(p, 0)::BIGINT AS people FROM s LEFT JOIN c USING (channel, date))
+SELECT channel, date, views, people, round_even(100.0::DOUBLE * views / greatest(max(views) OVER (PARTITION BY channel), 1), 1) AS height FROM j""")
 def r11_days(spark, d):
-    return reports.screen_days(v.events(spark, d), DAYS)
+    return reports.by_channel(lambda c: reports.screen_days(v.events(spark, d), dataclasses.replace(DAYS, channel=c)))
 
 
 @query("o07_catalogue_order", WITH + ", s AS (SELECT DISTINCT category FROM reqs WHERE category IS NOT NULL), c AS (SELECT unnest(range(20))::INT AS pos, unnest(list_transform(range(20), lambda x: ((x * 7) % 40)::VARCHAR)) AS category) SELECT category, row_number() OVER (ORDER BY pos NULLS LAST, category)::INT AS place FROM s LEFT JOIN c USING (category)")

@@ -109,37 +109,41 @@ def r09_channel(spark, d):
     return reports.activity(v.event_accounts(spark, d), v.events(spark, d), dataclasses.replace(DAYS, channel="web"), ACTS)
 
 
-@query("r10_step_funnel", _WITH + f""", st AS (SELECT unnest([0, 1, 2, 3])::INT AS step, unnest(['signup', 'view', 'click', 'purchase']) AS event),
-c AS (SELECT event_type, count(DISTINCT account_id) AS n FROM ev WHERE {_D} AND environment = 'production' AND channel = 'bot' GROUP BY 1), r AS (SELECT step, event, coalesce(n, 0)::BIGINT AS count FROM st LEFT JOIN c ON event = event_type)
-SELECT step, event, count, CASE WHEN lag(count) OVER o > 0 THEN round_even(100.0::DOUBLE * count / lag(count) OVER o, 0)::BIGINT END AS share FROM r WINDOW o AS (ORDER BY step)""")
+def _of_channel(c: str) -> Filters:
+    return dataclasses.replace(DAYS, channel=c)
+
+
+@query("r10_step_funnel", _WITH + f""", st AS (SELECT channel, unnest([0, 1, 2, 3])::INT AS step, unnest(['signup', 'view', 'click', 'purchase']) AS event FROM (SELECT unnest(['web', 'bot', 'mini_app']) AS channel)),
+c AS (SELECT channel, event_type, count(DISTINCT account_id) AS n FROM ev WHERE {_D} AND environment = 'production' GROUP BY 1, 2), r AS (SELECT st.channel, step, event, coalesce(n, 0)::BIGINT AS count FROM st LEFT JOIN c ON event = event_type AND st.channel = c.channel)
+SELECT channel, step, event, count, CASE WHEN lag(count) OVER o > 0 THEN round_even(100.0::DOUBLE * count / lag(count) OVER o, 0)::BIGINT END AS share FROM r WINDOW o AS (PARTITION BY channel ORDER BY step)""")
 def r10(spark, d):
-    return reports.step_funnel(v.events(spark, d), DAYS)
+    return reports.by_channel(lambda c: reports.step_funnel(v.events(spark, d), DAYS, channel=c))
 
 
-@query("r11_screen_sources", _WITH + f""" SELECT coalesce(properties->>'$.k', 'other') AS source, count(*) AS views, count(DISTINCT account_id) AS people FROM ev WHERE {_D} AND environment = 'production' AND channel = 'bot' AND event_type = 'view' GROUP BY 1""")
+@query("r11_screen_sources", _WITH + f""" SELECT channel, coalesce(properties->>'$.k', 'other') AS source, count(*) AS views, count(DISTINCT account_id) AS people FROM ev WHERE {_D} AND environment = 'production' AND event_type = 'view' GROUP BY 1, 2""")
 def r11_sources(spark, d):
-    return reports.screen_views(v.events(spark, d), DAYS)
+    return reports.by_channel(lambda c: reports.screen_views(v.events(spark, d), _of_channel(c)))
 
 
 def _requests(spark, d):
     return v.events(spark, d).filter("event_type IN ('click', 'purchase')").select("account_id", F.col("occurred_at").alias("created_at"), (F.col("event_type") == "purchase").alias("approved"))
 
 
-_VIEWERS = f""", seen AS (SELECT * FROM ev WHERE {_D} AND environment = 'production' AND channel = 'bot' AND event_type = 'view'),
-p AS (SELECT account_id, count(*) AS views, min(occurred_at) AS first_view, max(occurred_at) AS last_view, arg_max(coalesce(properties->>'$.k', 'other'), (occurred_at, id)) AS last_source FROM seen GROUP BY 1),
+_VIEWERS = f""", seen AS (SELECT * FROM ev WHERE {_D} AND environment = 'production' AND event_type = 'view'),
+p AS (SELECT channel, account_id, count(*) AS views, min(occurred_at) AS first_view, max(occurred_at) AS last_view, arg_max(coalesce(properties->>'$.k', 'other'), (occurred_at, id)) AS last_source FROM seen GROUP BY 1, 2),
 q AS (SELECT p.*, EXISTS (SELECT 1 FROM ev r WHERE r.account_id = p.account_id AND event_type IN ('click', 'purchase') AND occurred_at >= first_view) AS started,
 EXISTS (SELECT 1 FROM ev r WHERE r.account_id = p.account_id AND event_type = 'purchase' AND occurred_at >= first_view) AS paid FROM p) """
 
 
 @query("r11_screen_viewers", _WITH + _VIEWERS + "SELECT * FROM q")
 def r11_viewers(spark, d):
-    return reports.screen_viewers(v.events(spark, d), _requests(spark, d), DAYS)
+    return reports.by_channel(lambda c: reports.screen_viewers(v.events(spark, d), _requests(spark, d), _of_channel(c)))
 
 
-@query("r11_screen_totals", _WITH + _VIEWERS + """SELECT (SELECT count(*) FROM seen) AS views, count(*) AS people, count(*) FILTER (WHERE started) AS started, count(*) FILTER (WHERE paid) AS paid,
-round_even(100.0::DOUBLE * count(*) FILTER (WHERE started) / count(*), 0)::BIGINT AS started_share, round_even(100.0::DOUBLE * count(*) FILTER (WHERE paid) / count(*), 0)::BIGINT AS paid_share FROM q""")
+@query("r11_screen_totals", _WITH + _VIEWERS + """SELECT channel, (SELECT count(*) FROM seen WHERE seen.channel = q.channel) AS views, count(*) AS people, count(*) FILTER (WHERE started) AS started, count(*) FILTER (WHERE paid) AS paid,
+round_even(100.0::DOUBLE * count(*) FILTER (WHERE started) / count(*), 0)::BIGINT AS started_share, round_even(100.0::DOUBLE * count(*) FILTER (WHERE paid) / count(*), 0)::BIGINT AS paid_share FROM q GROUP BY channel""")
 def r11_totals(spark, d):
-    return reports.screen_totals(v.events(spark, d), _requests(spark, d), DAYS)
+    return reports.by_channel(lambda c: reports.screen_totals(v.events(spark, d), _requests(spark, d), _of_channel(c)))
 
 
 @query("r12_refusals", _WITH + f""", s AS (SELECT min(occurred_at) AS since FROM ev WHERE event_type = 'error' AND environment = 'production'),

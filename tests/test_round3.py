@@ -24,3 +24,12 @@ def test_rate_windows_by_the_nearest_second(spark):
     df = spark.createDataFrame([(i, 1, t) for i, t in enumerate(at)], "id int, key int, at timestamp")
     refused = lambda nearest: [r.refused for r in queues.rate_limited(df, 86_400, 1, nearest).orderBy("id").collect()]
     assert refused(True) == [False, False, True] and refused(False) == [False, True, True]
+
+
+def test_reports_by_channel_leave_no_event_out(spark):
+    when = dt.datetime(2024, 1, 10)
+    rows = [(i, i, "view", when, c, "en", "production", "{}") for i, c in enumerate(["bot", "web", "web", "mini_app"])]
+    events = spark.createDataFrame(rows, "id int, account_id int, event_type string, occurred_at timestamp, channel string, locale string, environment string, properties string")
+    days = Filters("2024-01-05", "2024-01-25")
+    got = {r.channel: r["count"] for r in reports.by_channel(lambda c: reports.step_funnel(events, days, channel=c)).filter("event = 'view'").collect()}
+    assert got == {"bot": 1, "web": 2, "mini_app": 1}
