@@ -184,10 +184,12 @@ def t54(spark, d):
     return v.read(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", F.regexp_count("text", F.lit(r"\p{L}")).cast("long").alias("letters")).filter("letters >= 200")
 
 
-@query("t56_source_excerpts", "SELECT source, count(text) AS n_pages, coalesce(sum(least(length(text), 12000)) FILTER (WHERE text IS NOT NULL), 0)::BIGINT AS n_chars, coalesce(sum(least(length(text), 12000)) FILTER (WHERE text IS NOT NULL), 0) > 100000 AS refused FROM documents GROUP BY 1")
+@query("t56_source_excerpts", "SELECT doc_id, source, length(text)::BIGINT AS taken, count(*) OVER s AS n_pages, sum(length(text)) OVER s::BIGINT AS n_chars, sum(length(text)) OVER s > 100000 AS refused FROM documents WHERE text IS NOT NULL WINDOW s AS (PARTITION BY source)")
 def t56(spark, d):
-    """What each source gives, and whether that is more than a request may hold."""
-    return documents.source_excerpts(v.read(spark, d, "documents").select("source", "text"), "source", 100_000)
+    """Every page that a source gives, whole, and whether its source is more than a request may hold."""
+    pages = v.read(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", "source", "text")
+    sources = documents.source_excerpts(pages, "source", 100_000, most=None).withColumnRenamed("source", "_source")
+    return pages.join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("_source"))).select("doc_id", "source", F.length("text").cast("long").alias("taken"), "n_pages", "n_chars", "refused")
 
 
 @query(

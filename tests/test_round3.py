@@ -33,3 +33,9 @@ def test_reports_by_channel_leave_no_event_out(spark):
     days = Filters("2024-01-05", "2024-01-25")
     got = {r.channel: r["count"] for r in reports.by_channel(lambda c: reports.step_funnel(events, days, channel=c)).filter("event = 'view'").collect()}
     assert got == {"bot": 1, "web": 2, "mini_app": 1}
+
+
+def test_pages_without_a_limit_are_whole(spark):
+    pages = spark.createDataFrame([("a", "x" * 13_000), ("a", None), ("b", "y")], "g string, text string")
+    got = {r.g: (r.n_pages, r.n_chars, r.refused) for r in documents.source_excerpts(pages, "g", 12_500, most=None).collect()}
+    assert got == {"a": (1, 13_000, True), "b": (1, 1, False)}
