@@ -11,6 +11,13 @@ from tessera.plans.filters import Filters
 from tessera.sources import sinks
 
 
+def test_similarity_of_long_texts_takes_linear_time(spark):
+    df = spark.range(1).select(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(20_000)), lambda i: F.concat(F.lit("w"), i)), " ").alias("t"))
+    began = time.time()
+    runs = df.select(shingles(words(F.col("t")), 2).alias("r")).select(F.size("r").alias("n"), jaccard(F.col("r"), F.col("r")).alias("same")).first()
+    assert (runs.n, runs.same) == (19_999, 1.0) and time.time() - began < 20
+
+
 def test_an_export_without_a_limit_holds_every_row(spark):
     rows = spark.range(10_500).select("id", (F.col("id") % 7).alias("day"))
     lines = sinks.exported(rows, Filters("2026-10-01", "2026-10-02"), [F.desc("day"), F.asc("id")], "now", most=None, first="day").orderBy("no").collect()
