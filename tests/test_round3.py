@@ -46,3 +46,15 @@ def test_pages_without_a_limit_are_whole(spark):
     pages = spark.createDataFrame([("a", "x" * 13_000), ("a", None), ("b", "y")], "g string, text string")
     got = {r.g: (r.n_pages, r.n_chars, r.refused) for r in documents.source_excerpts(pages, "g", 12_500, most=None).collect()}
     assert got == {"a": (1, 13_000, True), "b": (1, 1, False)}
+
+
+def test_a_text_of_many_rows_is_read_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def size(text):
+        read.add(1)
+        return len(text)
+
+    rows = spark.range(3_000).select("id", F.repeat(F.lit("x"), (F.col("id") % 3).cast("int")).alias("text"))
+    got = read_once(rows, "text", F.udf(size, "int")("text").alias("n")).agg(F.sum("n")).first()[0], read.value
+    assert got == (3_000, 3)
