@@ -17,12 +17,13 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import arrow, pieces, written
@@ -34,6 +35,8 @@ CHUNK, CHUNK_BYTES, SHARD, SHARD_POSTINGS = 2_048, 8 << 20, 64, 1 << 18
 EXCHANGES = 6
 #: Items of a block, shards searched first for an item, shards whose bounds are ordered together.
 BLOCK, BLOCK_BYTES, FIRST, GROUP = 512, 4 << 20, 2, 32
+#: Shards that are read and handed to Python together: a batch of Spark's own size would hold all of a partition, which grows with the input.
+ROWS = 32
 _SLICE = 1 << 20
 _INDEX = "shard bigint, doc_ids array<bigint>, lengths array<bigint>, terms array<binary>, starts array<int>, most array<bigint>, shortest array<bigint>, docs array<smallint>, tfs array<int>"
 
@@ -323,6 +326,19 @@ def _visited(block: _Block, least: dict[int, int], top: int):
     return run
 
 
+@contextmanager
+def _few_rows(spark: SparkSession) -> Iterator[None]:
+    """Within it plans that run read and hand over at most ROWS rows at a time."""
+    before = {name: spark.conf.get(name) for name in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")}
+    try:
+        for name in before:
+            spark.conf.set(name, str(ROWS))
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 _BOUNDS = ("shard", "terms", "most", "shortest")
 
 
@@ -353,7 +369,8 @@ def search(shards: DataFrame, items: DataFrame, *, top: int = TOP) -> DataFrame:
 
     def done() -> None:
         if ids and of.n:
-            parts.append(_searched(shards, _Block(ids, kind, counts), of.n, of.total, top))
+            with _few_rows(spark):
+                parts.append(_searched(shards, _Block(ids, kind, counts), of.n, of.total, top))
 
     for r in items.select("item_id", "text").toLocalIterator():
         text = (r.text or "").encode()

@@ -58,3 +58,13 @@ def test_a_text_of_many_rows_is_read_once(spark):
     rows = spark.range(3_000).select("id", F.repeat(F.lit("x"), (F.col("id") % 3).cast("int")).alias("text"))
     got = read_once(rows, "text", F.udf(size, "int")("text").alias("n")).agg(F.sum("n")).first()[0], read.value
     assert got == (3_000, 3)
+
+
+def test_shards_are_read_a_few_at_a_time(spark):
+    from tessera.llm import ranked_search
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    with ranked_search._few_rows(spark):
+        seen = spark.range(0, 1_000, 1, 1).mapInArrow(lambda batches: (b.slice(0, 1) for b in batches if len(b) <= ranked_search.ROWS), "id long").count()
+    assert seen == -(-1_000 // ranked_search.ROWS) and spark.conf.get(name) == before
