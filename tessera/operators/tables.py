@@ -83,6 +83,16 @@ def read(cell: Column, locale: Column) -> Column:
     return let(F.trim(F.regexp_replace(F.coalesce(cell, F.lit("")), r"(?U)\s+", " ")), parse)
 
 
+def once(rows: DataFrame, cells: list[str], **made: Column) -> DataFrame:
+    """rows with what is made of `cells` alone, for each distinct choice of them once; a null is a choice like any other."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = [f"_of_{i}" for i in range(len(cells))]
+    distinct = rows.select(*cells).distinct().repartition(n, *cells)
+    found = distinct.select(*[F.col(c).alias(o) for c, o in zip(cells, own, strict=True)], *[x.alias(k) for k, x in made.items()])
+    same = [F.col(c).eqNullSafe(F.col(o)) for c, o in zip(cells, own, strict=True)]
+    return rows.join(found, same).drop(*own)
+
+
 def money(r: Column) -> Column:
     """The currency that a read cell names, null for none."""
     return currency(F.concat_ws(" ", r["prefix"], r["unit"]))
@@ -216,7 +226,7 @@ def total_rows(cells: DataFrame, key: str = "key", locale: Column | None = None,
     own = F.coalesce(currency(paper), F.nullif(F.lower(F.trim(F.regexp_replace(paper, r"(?U)\s+", " "))), F.lit("")), F.lit("uzs"))
     stated = F.lit(None).cast("string") if stated is None else stated
     lines = cells.filter(~F.coalesce("label", F.lit("")).rlike(TOTAL_ROW)).withColumn("_locale", locale).withColumn("_paper", own).withColumn("_stated", stated)
-    r = lines.withColumn("_read", read(F.col("text"), F.col("_locale")))
+    r = once(lines, ["text", "_locale"], _read=read(F.col("text"), F.col("_locale")))
     r = r.withColumn("_money", F.when(F.col("_read").isNotNull(), F.coalesce(money(F.col("_read")), "_paper")))
     named = (F.trim(F.coalesce("label", F.lit(""))) != "") | (F.trim(F.coalesce("text", F.lit(""))) != "")
     held = F.transform(F.array_sort(F.collect_list(F.when(F.col("_read").isNotNull(), F.struct("row", F.col("_read").alias("r"))))), lambda x: x["r"])

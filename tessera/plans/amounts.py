@@ -42,15 +42,16 @@ def t45(spark, d):
     FROM (SELECT *, floor(l_extendedprice)::BIGINT AS p, l_quantity::BIGINT AS q, l_quantity::BIGINT * 1000 AS r FROM lineitem)""",
 )
 def t47(spark, d):
-    """Pieces times price, price against a plan, pieces as a percent of the line's number."""
-    p, q, uz = F.floor("l_extendedprice").cast("long"), F.col("l_quantity").cast("long"), F.lit("uz")
+    """Pieces times price, price against a plan, pieces as a percent of the line's number; each pair of cells is computed once."""
+    p, q, uz = F.col("_p"), F.col("_q"), F.lit("uz")
     read = lambda x: tables.read(x, uz)
     price, pieces = F.concat(_grouped(p), F.lit(" so‘m/dona")), F.concat(q, F.lit(" dona"))
     bare = lambda x: read(x.cast("string"))
-    return v.read(spark, d, "lineitem").select(
-        *_LINE, tables.computed("product", F.array(read(pieces), read(price)), uz).alias("amount"), tables.computed("difference", F.array(read(_grouped(p)), read(_grouped(q * 1000))), uz).alias("change"),
-        tables.computed("percent", F.array(bare(q), bare(F.col("l_linenumber"))), uz).alias("share"),
-    )
+    lines = v.read(spark, d, "lineitem").select(*_LINE, F.floor("l_extendedprice").cast("long").alias("_p"), F.col("l_quantity").cast("long").alias("_q"))
+    amount, change = tables.computed("product", F.array(read(pieces), read(price)), uz), tables.computed("difference", F.array(read(_grouped(p)), read(_grouped(q * 1000))), uz)
+    lines = tables.once(lines, ["_p", "_q"], amount=amount, change=change)
+    lines = tables.once(lines, ["_q", "l_linenumber"], share=tables.computed("percent", F.array(bare(q), bare(F.col("l_linenumber"))), uz))
+    return lines.select(*_LINE, "amount", "change", "share")
 
 
 @query(
