@@ -24,6 +24,7 @@ RUSSIAN = {
 }
 UZBEK_VOWELS, RUSSIAN_VOWELS = "аеёиоуэюяў", "аеёиоуыэюяў"
 TWINS = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "х": "x", "у": "y", "і": "i", "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "Х": "X", "У": "Y", "І": "I"}
+_LETTERS = r"\p{L}\p{N}_Ѐ-ԯ'‘’ʻʼ`"
 WORD = r"[\p{L}\p{N}_Ѐ-ԯ'‘’ʻʼ`]+|[^\p{L}\p{N}_Ѐ-ԯ'‘’ʻʼ`]+"
 UZBEK_ONLY = "[ЎўҚқҒғҲҳ]"
 # ---- End of fixed values. ----
@@ -51,14 +52,25 @@ def _spelled(word: Column, table: dict[str, str], vowels: str, drop: bool) -> Co
     return let(F.struct(F.regexp_extract_all(word, F.lit("(?s)."), F.lit(0)).alias("chars"), loud.alias("loud")), letters)
 
 
+def _spelled_small(text: Column, table: dict[str, str], vowels: str, drop: bool, start: str = "^") -> Column:
+    """`_spelled` where every letter is a small one, as a few passes over the whole: `start` matches before the first letter of a word."""
+    one = {c: x for c, x in table.items() if len(x) == 1}
+    none = "".join(c for c, x in table.items() if not x)
+    out = F.translate(F.regexp_replace(text, f"(?:{start}|(?<=[{vowels}]))е", "ye"), "".join(one) + none, "".join(one.values()))
+    for c, x in table.items():
+        if len(x) > 1:
+            out = F.replace(out, F.lit(c), F.lit(x))
+    return F.regexp_replace(out, CYRILLIC, "") if drop else out
+
+
 def to_latin(word: Column) -> Column:
     """A word of Uzbek Cyrillic in Latin letters; what is in no table stays."""
-    return _spelled(word, UZBEK, UZBEK_VOWELS, False)
+    return F.when(word == F.lower(word), _spelled_small(word, UZBEK, UZBEK_VOWELS, False)).otherwise(_spelled(word, UZBEK, UZBEK_VOWELS, False))
 
 
 def russian_to_latin(word: Column) -> Column:
     """A word of Russian, or of another Cyrillic alphabet, as English writes it."""
-    return _spelled(word, RUSSIAN, RUSSIAN_VOWELS, True)
+    return F.when(word == F.lower(word), _spelled_small(word, RUSSIAN, RUSSIAN_VOWELS, True)).otherwise(_spelled(word, RUSSIAN, RUSSIAN_VOWELS, True))
 
 
 def settle(word: Column) -> Column:
@@ -82,6 +94,9 @@ def _by_word(text: Column, fix) -> Column:
 def clean(text: Column) -> Column:
     """Uzbek in Latin letters: mixed words settled, Cyrillic ones spelled, one apostrophe in o‘ and g‘."""
     latin = _by_word(text, lambda w: F.when(w.rlike(CYRILLIC), to_latin(w)).otherwise(w))
+    # Without Latin letters and capitals no word is mixed or loud, and the text is spelled as a whole.
+    small = (text == F.lower(text)) & ~text.rlike("[A-Za-z]")
+    latin = F.when(small, _spelled_small(text, UZBEK, UZBEK_VOWELS, False, f"(?<![{_LETTERS}])")).otherwise(latin)
     return F.regexp_replace(latin, r"(?<=[oOgG])['’ʻ`´](?=[\p{L}\p{N}_])", "‘")
 
 
