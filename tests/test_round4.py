@@ -60,3 +60,20 @@ def test_pairs_tested_together_are_bounded_by_their_words(words, monkeypatch):
     ok = line_dedup.all_similar(a, b)
     assert ok.all() == line_dedup.similar(a[0], b[0]) and len(ok) == 2100
     assert max(held, default=0) <= max(line_dedup.HELD, line_dedup.FEW * words * words)
+
+
+def test_cells_are_computed_once_and_null_is_a_choice(spark):
+    from tessera.operators import tables
+
+    rows = spark.createDataFrame([(1, "5"), (2, "5"), (3, None)], "k int, text string")
+    out = tables.once(rows, ["text"], n=F.coalesce(F.length("text"), F.lit(-1)))
+    assert sorted(map(tuple, out.collect())) == [(1, "5", 1), (2, "5", 1), (3, None, -1)]
+
+
+def test_small_letters_are_spelled_as_letter_by_letter(spark):
+    from tessera.functions import alphabets as al
+
+    words = spark.createDataFrame([(w,) for w in ("елка", "поезд", "ўзбекча", "чўл", "щенок", "объект", "тоғ’е", "ҷӯй", "")], "w string")
+    for table, vowels, drop in ((al.UZBEK, al.UZBEK_VOWELS, False), (al.RUSSIAN, al.RUSSIAN_VOWELS, True)):
+        got = words.select(al._spelled_small(F.col("w"), table, vowels, drop).alias("a"), al._spelled(F.col("w"), table, vowels, drop).alias("b")).collect()
+        assert [r.a for r in got] == [r.b for r in got]
