@@ -3,7 +3,7 @@
 Fixed patterns find the base spans. Their values are labelled credentials: from a bounded sample of them, one probabilistic
 automaton for each kind is inferred by merging, in a prefix tree over character classes, the states whose continuations are
 statistically compatible (Hoeffding's bound, red states against blue ones). All text outside base spans is then scored: runs of SHORTEST
-or more token characters and what follows a separator in them, by the likelihood of their format, per character and relative
+or more token characters and every part of them between separators, by the likelihood of their format, per character and relative
 to a bigram model of ordinary long tokens; those that score like the labelled values become spans of kind `format`.
 """
 
@@ -14,11 +14,11 @@ import json
 import math
 import re
 import string
-from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import accumulate
+from heapq import nlargest
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -50,12 +50,10 @@ SEPARATOR = re.compile(r"[=/.]+")
 ROW = 8
 #: Ordinary tokens of a row that are learnt from, at most.
 PLAIN = 8
-#: Candidates have at most so many times the characters of the longest labelled value, but for whole runs.
-REACH = 4
-#: Separators after a start that are tried as its end.
-ENDS = 16
-#: Values that a worker remembers, lengths that are scored beside one another, how many at once, and candidates that wait for it.
-MEMO, _WIDTHS, _MANY, _HELD = 1 << 16, (8, 16, 32, 64, 128, 256), 1 << 15, 1 << 17
+#: Stretches that a worker remembers, lengths that are scored beside one another, how many at once, and candidates that wait for it.
+MEMO, _WIDTHS, _MANY, _HELD = 1 << 18, (8, 16, 32, 64, 128, 256), 1 << 15, 1 << 17
+#: Candidates of a stretch from which it is walked, places of one block of such a walk, and what rounding may do to its sums.
+_FEW, _BLOCK, _SLACK = 64, 4096, 1e-6
 _ALPHABET = string.ascii_letters + string.digits + "+/_.=-"
 _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
@@ -191,7 +189,6 @@ class Grammar:
 
     def __init__(self, labelled: dict[str, list[str]], ordinary: list[str]):
         self.ordinary = Ordinary(ordinary)
-        self.longest = [max(values, key=len) for values in labelled.values()]
         self.kinds = {}
         for kind, values in sorted(labelled.items()):
             automaton = Automaton(sorted(values))
@@ -229,7 +226,8 @@ class Scorer:
             step = np.array([[math.log((s.passes[c] or 0.5) / (s.count + 0.5) / _SIZE.get(c, 1)) for c in classes] for s in automaton.states])
             end = np.array([math.log((s.ends or 0.5) / (s.count + 0.5)) for s in automaton.states])
             self.tables.append((to, step, end, least))
-        self.longest = max((len(v) for v in grammar.longest), default=0)
+        self.lists = [(to.tolist(), step.tolist(), end.tolist(), least) for to, step, end, least in self.tables]
+        self.one = self._joined() if self.tables else None
 
     def __call__(self, values: list[str]) -> np.ndarray:
         """Whether each value is accepted."""
@@ -279,82 +277,177 @@ class Scorer:
                 return True
         return False
 
-
-def _candidates(text: str, taken: list[tuple[int, int]], reach: int) -> Iterator[tuple[int, int, list[int]]]:
-    """(stretch, start, ends to try, longest first) of every stretch of token characters outside `taken`.
-
-    A stretch is tried whole; a part of it begins at its start or after a separator and ends at the stretch's end or at one of the next
-    `ENDS` separators, `reach` characters at most.
-    """
-    first, stretch = 0, 0
-    ends_of = list(accumulate((b for _, b in taken), max))
-    for m in TOKEN.finditer(text):
-        free, at = [], m.start()
-        while first < len(taken) and ends_of[first] <= m.start():
-            first += 1
-        for a, b in taken[first:]:
-            if a >= m.end():
-                break
-            if at < b:
-                free.append((at, a))
-                at = b
-        for a, b in (*free, (at, m.end())):
-            if b - a < SHORTEST:
+    def _joined(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All automata as one: where each begins, by class where each state goes and what that adds to its score over the least one that counts, and what ending in a state adds."""
+        first = np.cumsum([0, *(len(end) for *_, end, _ in self.tables)])
+        to = np.concatenate([to + k for (to, *_), k in zip(self.tables, first, strict=False)])
+        gain = np.concatenate([step - least for _, step, _, least in self.tables])
+        return first, to.T.copy(), gain.T.copy(), np.concatenate([end for *_, end, _ in self.tables])
+
+    def _hopeful(self, starts: np.ndarray, codes: np.ndarray, kinds: np.ndarray, pairs: np.ndarray, is_end: np.ndarray) -> np.ndarray:
+        """The starts from which an end might be accepted, if after SHORTEST characters every step were the best that its class and the one before allow."""
+        first, to, gain, end = self.one
+        ok = np.zeros(len(starts), bool)
+        for a, b in zip(first, first[1:], strict=False):
+            state, before, at = np.full(len(starts), a), np.full(len(starts), self.first), np.zeros(len(starts))
+            for j in range(SHORTEST):
+                c = codes[starts + j]
+                at += gain[self.kind_of[c], state] - self.pairs[before, c]
+                state, before = to[self.kind_of[c], state], c
+            most = np.stack([gain[:, np.unique(x[a:b])].max(1) for x in to])
+            ahead = np.r_[0, np.cumsum(np.r_[0, most[kinds[:-1], kinds[1:]]] - pairs)]
+            top = np.maximum.accumulate(np.where(is_end, ahead, -np.inf)[::-1])[::-1]
+            ok |= at + (top - ahead)[starts + SHORTEST] + end[a:b].max() >= -_SLACK
+        return starts[ok]
+
+    def walked(self, value: str, starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
+        """From the left, the longest part from each start to one of the ends that is accepted; none begins within another.
+
+        The best that any end adds, from a place and a state on, is found backwards for all states at once, so that a start is
+        walked only as far as an accepted end is ahead. Of the bests one in _BLOCK places stays; those between are found again.
+        """
+        if not self.tables:
+            return []
+        n, codes = len(value), self.of[np.frombuffer(value.encode(), np.uint8)]
+        kinds, pairs, is_end = self.kind_of[codes], self.pairs[np.r_[self.first, codes[:-1]], codes], np.zeros(n + 1, bool)
+        is_end[ends] = True
+        begins = self._hopeful(np.array([s for s in starts if n - s >= SHORTEST], np.int64), codes, kinds, pairs, is_end).tolist()
+        if not begins:
+            return []
+        first, to, gain, end = self.one
+        so_far = np.r_[0, np.cumsum(pairs)]  # the bests are held less this, up to their place: a step is then the same for all of a class
+        steps, take, maximum = list(zip(to, gain, strict=True)), np.ndarray.take, np.maximum
+
+        def back(best: np.ndarray, low: int, high: int) -> Iterator[np.ndarray]:
+            """The bests from high - 1 down to low."""
+            for k, e, p in zip(kinds[low:high][::-1].tolist(), is_end[low:high][::-1].tolist(), so_far[low:high][::-1].tolist(), strict=True):
+                next_, more = steps[k]
+                best = take(best, next_)
+                best += more
+                if e:
+                    maximum(best, end - p, best)
+                yield best
+
+        blocks = -(-n // _BLOCK)
+        after = {blocks - 1: end - so_far[n]}  # the bests at the first place after a block
+        for b in range(blocks - 1, (begins[0] + SHORTEST) // _BLOCK, -1):
+            for best in back(after[b], b * _BLOCK, min(n, (b + 1) * _BLOCK)):
+                pass
+            after[b - 1] = best
+        held: dict[int, np.ndarray] = {}
+
+        def best_at(i: int, state: int) -> float:
+            b = i // _BLOCK
+            if b not in held:
+                held.pop(b - 2, None)
+                held[b] = np.array(list(back(after[b], b * _BLOCK, min(n, (b + 1) * _BLOCK)))[::-1])
+            return held[b].item(i - b * _BLOCK, state) + before[i]
+
+        out, done = [], -1
+        kinds_, pairs_, before, stops = kinds.tolist(), pairs.tolist(), so_far.tolist(), is_end.tolist()
+        for s in begins:
+            if s < done:
                 continue
-            stretch += 1
-            cuts = [(x.start(), x.end()) for x in SEPARATOR.finditer(text, a, b)]
-            starts = [*[a] * (not cuts or cuts[0][0] > a), *(y for _, y in cuts)]  # none begins with a separator
-            ends = [x for x, _ in cuts]
-            for s in starts:
-                next_ = bisect_right(ends, s)
-                tried = [e for e in (*ends[next_ : min(next_ + ENDS, bisect_right(ends, s + reach))], *[b] * (b - s <= reach or s == a)) if e - s >= SHORTEST]
-                if tried:
-                    yield stretch, s, tried[::-1]
-
-
-def _formats(texts: list[str], taken: list[list[tuple[int, int]]], scorer: Scorer, known: dict[str, bool]) -> list[list[tuple[int, int, str]]]:
-    """Spans of each text outside `taken` that the grammar takes; none begins within another. `known` remembers short values."""
-    out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-    held: list[tuple[int, int, int, list[int]]] = []
-    last, done = None, -1
+            longest = -1
+            for (to_, step, end_, least), a in zip(self.lists, first.tolist(), strict=False):
+                state, total, plain, i = 0, 0.0, 0.0, s
+                while True:
+                    if i - s == SHORTEST or (stops[i] and i - s > SHORTEST):
+                        if stops[i] and (total + end_[state] - plain) / (i - s) >= least:
+                            longest = max(longest, i)
+                        if i == n or total - plain - least * (i - s) + best_at(i, a + state) < -_SLACK:
+                            break
+                    k = kinds_[i]
+                    plain += pairs_[i] if i > s else self.pairs[self.first, codes[i]]
+                    total += step[state][k]
+                    state = to_[state][k]
+                    i += 1
+            if longest > 0:
+                out.append((s, longest))
+                done = longest
+        return out
+
+
+def _free(n: int, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """What `taken`, sorted, leaves of n characters."""
+    at = 0
+    for a, b in taken:
+        if at < a:
+            yield at, a
+        at = max(at, b)
+    if at < n:
+        yield at, n
+
+
+def _cut(value: str) -> tuple[list[int], list[int]]:
+    """Where candidates of a stretch begin, at its start and after its separators but never with one, and where they end: before its separators and at its end."""
+    cuts = [m.span() for m in SEPARATOR.finditer(value)]
+    return [*[0] * (not cuts or cuts[0][0] > 0), *(b for _, b in cuts)], [*(a for a, _ in cuts), len(value)]
+
+
+def _taken_of(values: set[str], scorer: Scorer) -> dict[str, tuple[tuple[int, int], ...]]:
+    """Of each stretch the spans that the grammar takes: from the left, the longest of a start, none begins within another.
+
+    All pairs of a start and an end of SHORTEST characters or more are tried: those of a stretch with few beside those of others,
+    those of one with many by a walk that is linear in the stretch.
+    """
+    told: dict[str, tuple] = dict.fromkeys(values, ())
+    whole = [v for v in values if not ("." in v or "/" in v or "=" in v)]
+    for k in range(0, len(whole), _HELD):
+        told.update((v, ((0, len(v)),)) for v in compress(whole[k : k + _HELD], scorer(whole[k : k + _HELD]).tolist()))
+    held: list[tuple[str, list[tuple[int, int]]]] = []
+    waiting = 0
 
     def decide() -> None:
-        nonlocal last, done
-        asked = list({texts[t][s:e] for t, _, s, ends in held for e in ends if texts[t][s:e] not in known})
-        told = dict(zip(asked, scorer(asked).tolist(), strict=True))
-        for t, stretch, s, ends in held:
-            if (t, stretch) != last:
-                last, done = (t, stretch), -1
-            if s < done:
-                continue
-            for e in ends:
-                value = texts[t][s:e]
-                if told[value] if value in told else known[value]:
-                    out[t].append((s, e, FORMAT))
+        asked = list({v[s:e] for v, pairs in held for s, e in pairs})
+        good = set(compress(asked, scorer(asked).tolist()))
+        for v, pairs in held if good else ():
+            done = -1
+            for s, e in pairs:
+                if s >= done and v[s:e] in good:
+                    told[v] += ((s, e),)
                     done = e
-                    break
-        if len(known) > MEMO:
-            known.clear()
-        known.update((v, x) for v, x in told.items() if len(v) <= _WIDTHS[2])
         held.clear()
 
-    waiting = 0
-    for t, (text, spans) in enumerate(zip(texts, taken, strict=True)):
-        for stretch, s, ends in _candidates(text, spans, REACH * scorer.longest):
-            held.append((t, stretch, s, ends))
-            waiting += len(ends)
-            if waiting >= _HELD:
-                decide()
-                waiting = 0
+    for v in values.difference(whole):
+        starts, ends = _cut(v)
+        if len(starts) * len(ends) > _FEW or len(v) > _WIDTHS[-1]:
+            told[v] = tuple(scorer.walked(v, starts, ends))
+            continue
+        held.append((v, [(s, e) for s in starts for e in reversed(ends) if e - s >= SHORTEST]))
+        waiting += len(held[-1][1])
+        if waiting >= _HELD:
+            decide()
+            waiting = 0
     decide()
+    return told
+
+
+def _formats(texts: list[str], taken: list[list[tuple[int, int]]], scorer: Scorer, known: dict[str, tuple]) -> list[list[tuple[int, int, str]]]:
+    """Spans of each text outside `taken` that the grammar takes; none begins within another. `known` remembers short stretches, each of which is decided once."""
+    stretches = [{m[0] for a, b in _free(len(t), spans) for m in TOKEN.finditer(t, a, b)} for t, spans in zip(texts, taken, strict=True)]
+    told = _taken_of(set().union(*stretches).difference(known), scorer)
+    hits = {v: spans for v, spans in told.items() if spans}
+    hits |= {v: spans for v, spans in known.items() if spans}
+    out: list[list[tuple[int, int, str]]] = []
+    for text, spans, own in zip(texts, taken, stretches, strict=True):
+        out.append([])
+        if not own.isdisjoint(hits):
+            for m in (m for a, b in _free(len(text), spans) for m in TOKEN.finditer(text, a, b)):
+                out[-1] += [(m.start() + s, m.start() + e, FORMAT) for s, e in hits.get(m[0], ())]
+    if len(known) > MEMO:
+        known.clear()
+    known.update((v, spans) for v, spans in told.items() if len(v) <= _WIDTHS[2])
     return out
 
 
 def plain_tokens(text: str, base: list[tuple[int, int, str, str]], most: int = PLAIN) -> list[str]:
     """Ordinary tokens of a text: of those that touch no base span the first with a digit and the longest, half of each."""
-    found = [m[0] for m in TOKEN.finditer(text) if not any(a < m.end() and m.start() < b for a, b, *_ in base)]
-    digits = [t for t in found if any(c.isdigit() for c in t)][: most // 2]
-    return digits + sorted({t for t in found if t not in digits}, key=lambda t: (-len(t), t))[: most - len(digits)]
+    found = [m[0] for m in TOKEN.finditer(text) if not any(a < m.end() and m.start() < b for a, b, *_ in base)] if base else TOKEN.findall(text)
+    digits = [t for t in found if not t.isalpha() and any(c.isdigit() for c in t)][: most // 2]
+    rest, left = set(found).difference(digits), most - len(digits)
+    least = nlargest(left, map(len, rest))[-1:]
+    return digits + sorted((t for t in rest if len(t) >= least[0]), key=lambda t: (-len(t), t))[:left]
 
 
 def scan(docs: DataFrame) -> DataFrame:

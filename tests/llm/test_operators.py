@@ -578,6 +578,31 @@ def test_secret_scan_is_linear():
     assert time.time() - began < 60
 
 
+def test_secret_candidates_have_no_cap():
+    """Values of more than 16 separators inside a longer run, and walks against all pairs of a start and an end tried one by one."""
+    r = random.Random(7)
+    key = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
+    grammar = secret_scan.Grammar({"hex": [".".join(key(4) for _ in range(20)) for _ in range(80)], "assign": [key(18) for _ in range(80)]}, [prose(3, s).replace(" ", "") for s in range(200)])
+    def each(v, starts, ends):
+        out, done = [], -1
+        for s in starts:
+            if s >= done and (e := next((e for e in reversed(ends) if e - s >= 6 and grammar.accepts(v[s:e])), None)):
+                out.append((s, e))
+                done = e
+        return out
+
+    scorer, some = grammar.scorer(), 0
+    v = ".".join(key(4) for _ in range(24)) + "/" + ".".join(["ordinarywords"] * 40)
+    ((a, b, _),) = secret_scan._formats([f"x {v} y"], [[]], scorer, {})[0]
+    assert a == 2 and v[: b - a].count(".") >= 23
+    for _ in range(40):
+        v = "".join(r.choice((key(4), key(18), "words", "ordinary")) + r.choice(("=", ".", "/", "==", ".")) for _ in range(25))
+        want = each(v, *secret_scan._cut(v))
+        assert scorer.walked(v, *secret_scan._cut(v)) == want
+        some += len(want)
+    assert some > 40
+
+
 def test_secret_scan_learns_each_kind(spark):
     late = spark.createDataFrame([(1, json.dumps([*[[0, 1, "hex", str(k)] for k in range(20)], [5, 6, "assign", "abcdef"]]), None)], "doc_id long, base string, ordinary string")
     assert secret_scan.learn(late).kinds.keys() == {"assign", "hex"}
