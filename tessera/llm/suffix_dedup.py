@@ -5,7 +5,9 @@
    starts; their bytes are a segment (about 140 bytes, one for each 43 bytes of text).
 2. Segments meet by anchor. Of equal segments the earliest stays and the others are repeats throughout; they are combined
    within each piece of input before the shuffle. Where an anchor has several distinct segments, the earliest of each goes on.
-3. Those segments form texts of bounded size, each with whole anchors. For each a run-compressed Burrows-Wheeler transform is
+3. A window that two segments of an anchor share holds LENGTH - GRAM bytes beside the anchor: k times UNIT of them before it
+   and the rest but two parts of a UNIT after it, for some k. Segments that have such bytes in common with no other one share
+   no window and go no further. The others form texts of bounded size, each with whole anchors. For each a run-compressed Burrows-Wheeler transform is
    built, with the suffix sampled at both sides of every run boundary and the length of their match. The index yields, for
    a stream of all positions, matching statistics: the match with the lexicographic predecessor, which falls by one with
    each position until the next sample. Positions with LENGTH or more link to that predecessor; of a chain all but the
@@ -32,6 +34,9 @@ TEXT, ANCHOR = 1 << 20, 8 << 20
 SPAN = 1 << 18
 
 _GRAMS = LENGTH - GRAM + 1
+#: Bytes in which what equal windows share beside their anchors is counted, and how many times that is there on both sides in all, at least.
+UNIT = 12
+_UNITS = -(-(LENGTH - GRAM - 2 * (UNIT - 1)) // UNIT)
 _ENTRY = np.random.default_rng(11).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 _R = np.uint64(0xD6E8FEB86659FD93)
@@ -193,9 +198,9 @@ class RunIndex:
             key = (key << np.uint64(8)) | padded[j : n + j]
         levels, depth = [], 8
         while True:
-            order = np.argsort(key, kind="stable")
-            rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(np.concatenate(([0], key[order][1:] != key[order][:-1])))
+            order = np.argsort(key)  # equal keys get one rank, and at last none are equal
+            rank, sorted_ = np.empty(n, np.int64), key[order]
+            rank[order] = np.cumsum(np.concatenate(([0], sorted_[1:] != sorted_[:-1])))
             levels.append((depth, rank.astype(np.int32)))
             if rank[order[-1]] == n - 1:
                 break
@@ -260,6 +265,29 @@ def repeats(segments: list[bytes]) -> list[np.ndarray]:
     return [again[b : b + s - LENGTH + 1] for b, s in zip(begin, size, strict=True)]
 
 
+def meeting(segments: list[bytes], anchors: np.ndarray) -> np.ndarray:
+    """Which of the segments, each with its anchor's hash, have what stands beside the anchor, _UNITS times UNIT bytes split between both sides in some way, in common with another one of that anchor."""
+    raw = np.frombuffer(b"".join(segments), np.uint8)
+    size = np.array([len(x) for x in segments])
+    begin = np.cumsum(size) - size
+    h, step = _ENTRY[raw], 1
+    for odd in _ODD:
+        h = h[:-step] * odd + h[step:]
+        step *= 2
+    hits = np.flatnonzero(_mix(h) >> np.uint64(20) == np.repeat(anchors.view(np.uint64), size)[: len(h)])
+    of, first = np.unique(np.searchsorted(begin, hits, "right") - 1, return_index=True)  # the anchor is the first gram of its hash in a segment
+    at = np.zeros(len(size), np.int64)
+    at[of] = hits[first]
+    out, own = np.zeros(len(size), bool), _mix(anchors.view(np.uint64))
+    for k in range(_UNITS + 1):
+        before, after = UNIT * k, UNIT * (_UNITS - k)
+        which = np.flatnonzero((at - before >= begin) & (at + GRAM + after <= begin + size))
+        beside = at[which, None] + np.concatenate((np.arange(-before, 0), np.arange(GRAM, GRAM + after)))
+        _, same, many = np.unique(_mix((_ENTRY[raw[beside]] * _POWER[: before + after]).sum(1) ^ own[which]), return_inverse=True, return_counts=True)
+        out[which] |= many[same] > 1
+    return out
+
+
 def _texts(docs: DataFrame, asked: DataFrame) -> DataFrame:
     """anchor, doc_id, start and the bytes of each asked segment."""
     per_doc = asked.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "start", "n")).alias("at"))  # at most a document's own segments
@@ -285,7 +313,8 @@ def _indexed(segments: DataFrame, parts: int, most: int = ANCHOR) -> DataFrame:
 
     def runs(rows):
         doc, start, n = [], [], []
-        for (i, s, _), again in zip(rows, repeats([r[2] for r in rows]), strict=True):
+        rows = [rows[k] for k in np.flatnonzero(meeting([r[2] for r in rows], np.array([r[3] for r in rows], np.int64))).tolist()]
+        for (i, s, *_), again in zip(rows, repeats([r[2] for r in rows]) if rows else (), strict=True):
             edge = np.flatnonzero(np.diff(np.concatenate(([0], again.view(np.int8), [0]))))
             for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
                 doc.append(i)
@@ -296,7 +325,7 @@ def _indexed(segments: DataFrame, parts: int, most: int = ANCHOR) -> DataFrame:
 
     def windows(rows):
         doc, start, a, b = [], [], [], []
-        for i, s, data in rows:
+        for i, s, data, _ in rows:
             for o in range(len(data) - LENGTH + 1):
                 d = hashlib.blake2b(data[o : o + LENGTH], digest_size=16).digest()
                 doc.append(i)
@@ -322,7 +351,7 @@ def _indexed(segments: DataFrame, parts: int, most: int = ANCHOR) -> DataFrame:
                             yield runs(text)
                             text, size = [], 0
                     own, own_size, anchor, large = [], 0, x, False
-                own.append((i, s, data))
+                own.append((i, s, data, x))
                 own_size += len(data)
                 if own_size > (1 << 16 if large else most):
                     large = True

@@ -1,6 +1,7 @@
 """The training-data operators against brute force, on small tables with nulls, empty texts, ties, repeats and odd columns."""
 
 import base64
+import collections
 import hashlib
 import itertools
 import json
@@ -492,6 +493,25 @@ def test_suffix_dedup(spark, none):
     assert suffix_dedup.report(none).count() == 0
 
 
+def test_suffix_dedup_indexes_what_may_repeat():
+    """Segments of one anchor that share no window don't reach the index, those that share one all do."""
+    r = random.Random(3)
+    draw = lambda n: "".join(r.choice("abcdefgh") for _ in range(n)).encode()
+    common, passage = draw(40), draw(240)
+    texts = [draw(150) + common + draw(150) for _ in range(60)] + [draw(120) + passage[r.randrange(60) :][: r.randrange(90, 180)] + draw(120) for _ in range(60)]
+    found = {}
+    for text, ok, *_ in suffix_dedup._spans(texts):
+        for s, n, a, c in zip(*suffix_dedup._segments(text, ok), strict=True):
+            found.setdefault(int(a), {})[int(c)] = text[s : s + n + 99].tobytes()
+    segments, anchors = zip(*[(x, a) for a, of in found.items() if len(of) > 1 for x in of.values()], strict=True)
+    meets = suffix_dedup.meeting(list(segments), np.array(anchors, np.uint64).view(np.int64))
+    windows = collections.Counter(x[k : k + 100] for x in segments for k in range(len(x) - 99))
+    shares = np.array([any(windows[x[k : k + 100]] > 1 for k in range(len(x) - 99)) for x in segments])
+    assert shares.sum() > 20 and not (shares & ~meets).any() and meets.mean() < 0.9
+    again = [x.any() for x in suffix_dedup.repeats([x for x, m in zip(segments, meets, strict=True) if m])]
+    assert sum(again) == sum(x.any() for x in suffix_dedup.repeats(list(segments)))
+
+
 def test_run_index():
     text = np.frombuffer(b"abracadabra\xffabracadabra!\xff", np.uint8)
     length, where = suffix_dedup.RunIndex(text).statistics()
