@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import alphabets
-from ..functions.text import stems, words, written_in, written_in_russian
+from ..functions.text import let, stems, stems_of, words, written_in, written_in_russian
 from . import documents
 
 #: Layouts that hold no prose of their own, words from which a section may stray, and sections from which a document is judged for it.
@@ -58,7 +58,11 @@ def check(docs: DataFrame, fmt: str = "pdf", stop: list[str] | None = None) -> D
     """
     stop = STOP if stop is None else stop
     whole = docs.withColumn("prompt", F.coalesce("prompt", F.lit("")))
-    s = whole.select("doc_id", "locale", "prompt", "request", "title", F.size(F.coalesce("sections", F.array())).alias("_n"), F.posexplode("sections").alias("no", "s"))
+    brief = F.when(written_in_russian(F.col("prompt")), "ru").otherwise(written_in(F.col("prompt"), 4))
+    anchor = F.array_union(stems(F.col("prompt"), stop), stems(F.coalesce("title", F.lit("")), stop))
+    # What a prompt and a title say is made below the explode, once for a document: a filter above it would make the anchor for each word of a section.
+    s = whole.withColumns({"brief": brief, "anchor": anchor, "_n": F.size(F.coalesce("sections", F.array()))})
+    s = s.select("doc_id", "locale", "prompt", "request", "brief", "anchor", "_n", F.posexplode("sections").alias("no", "s"))
     s = s.select("*", _text(F.col("s")).alias("text"), (_blank(F.col("s.body")) & (F.size(F.coalesce("s.items", F.array())) == 0)).alias("bare"), F.coalesce("s.layout", F.lit("")).alias("layout"))
     s = s.withColumn("empty", _blank(F.col("text"))).withColumn("counted", ~F.col("empty") & ~F.col("bare") & ~F.col("layout").isin(*STRUCTURAL))
     code = lambda df, name: df.select("doc_id", F.col("no").cast("int").alias("section"), F.lit(name).alias("code"))
@@ -69,8 +73,7 @@ def check(docs: DataFrame, fmt: str = "pdf", stop: list[str] | None = None) -> D
     counts = of_document(whole.filter(F.col("expected").isNotNull() & (F.size(F.coalesce("sections", F.array())) != F.col("expected"))), "section_count")
     found = [script, counts, code(s.filter(F.col("empty") | (F.lit(fmt != "pptx") & F.col("bare"))), "empty_section")]
 
-    brief = F.when(written_in_russian(F.col("prompt")), "ru").otherwise(written_in(F.col("prompt"), 4))
-    told = s.filter(~F.col("empty") & (F.col("layout") != "quote")).select("doc_id", "no", "locale", "request", brief.alias("brief"), F.concat_ws("\n", "prompt", "request").rlike(NAMES_RUSSIAN).alias("named"), written_in(_text(F.col("s"), True)).alias("is"))
+    told = s.filter((F.col("layout") != "quote") & ~F.col("empty")).select("doc_id", "no", "locale", "request", "brief", F.concat_ws("\n", "prompt", "request").rlike(NAMES_RUSSIAN).alias("named"), written_in(_text(F.col("s"), True)).alias("is"))
     other = F.col("is").isNotNull() & (F.col("is") != F.col("locale"))
     plain = other & (F.col("is").eqNullSafe(F.col("brief")) | ((F.col("is") == "ru") & ~F.col("named")))
     per = Window.partitionBy("doc_id")  # over a document's sections
@@ -98,9 +101,8 @@ def check(docs: DataFrame, fmt: str = "pdf", stop: list[str] | None = None) -> D
     same = brief == F.col("locale")
     text = F.concat_ws("\n", F.coalesce("title", F.lit("")), F.array_join(F.transform(F.coalesce("sections", F.array()), lambda x: _text(x, True)), "\n"))
     found.append(of_document(whole.filter(same & (F.size(F.coalesce("subtopics", F.array())) > 0)).filter(F.size(missing(F.col("subtopics"), stems(text, stop), stop)) > 0), "missing_subtopics"))
-    anchor = F.array_union(stems(F.col("prompt"), stop), stems(F.coalesce("title", F.lit("")), stop))
-    long = s.filter(same & (F.col("_n") >= SECTIONS)).withColumn("_anchor", anchor).filter((F.size("_anchor") > 0) & (F.size(words(F.col("text"))) >= STRAYS))
-    found.append(code(long.filter(~overlap(stems(F.col("text"), stop), F.col("_anchor"))), "off_topic"))
+    strays = let(words(F.col("text")), lambda w: (F.size(w) >= STRAYS) & ~overlap(stems_of(w, stop), F.col("anchor")))
+    found.append(code(s.filter((F.col("brief") == F.col("locale")) & (F.col("_n") >= SECTIONS) & (F.size("anchor") > 0)).filter(strays), "off_topic"))
 
     every = found[0]
     for more in found[1:]:
